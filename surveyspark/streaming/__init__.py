@@ -1,0 +1 @@
+"""surveyspark.streaming."""
