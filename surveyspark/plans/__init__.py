@@ -1,6 +1,6 @@
 """Query bindings of every operator to the provided tables, with DuckDB oracle SQL."""
 
-from . import cleaning, flagship, scoring, survey  # noqa: F401  (registers queries)
+from . import cleaning, explain, flagship, scoring, survey  # noqa: F401  (registers queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
