@@ -42,7 +42,7 @@ def safe_name(c) -> Column:
 def sheet_name(n, title) -> Column:
     """Numbered sheet name: 3-digit number, blank, first 27 characters of the title,
     then characters a sheet name cannot hold replaced by ``_``."""
-    raw = F.concat(F.lpad(_c(n).cast("string"), 3, "0"), F.lit(" "), F.substring(_c(title), 1, 27))
+    raw = F.concat(F.format_string("%03d", _c(n).cast("bigint")), F.lit(" "), F.substring(_c(title), 1, 27))
     return F.regexp_replace(raw, r"[\\/*?:$]", "_")
 
 
