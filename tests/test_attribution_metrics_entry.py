@@ -106,3 +106,61 @@ def test_entry_and_every_query_runs(spark):
         d = fn(spark, SF001)
         d.write.format("noop").mode("overwrite").save()
         assert len(d.columns) == len(set(d.columns)), name
+
+
+def test_tree_attribution_is_additive(spark):
+    import random
+    from surveyspark.operators.model import tree_attribution, train_multiclass
+    rng = random.Random(0)
+    rows = []
+    for i in range(600):
+        a, b, c = rng.random(), rng.randint(0, 4), rng.random()
+        y = "x" if a + 0.1 * b > 0.8 else ("y" if c > 0.5 else "z")
+        rows.append((i, a, float(b), c if i % 17 else float("nan"), y))
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y string")
+    model, pred = train_multiclass(df, ["a", "b", "c"], "y", "k", num_trees=4, max_depth=4)
+    att = tree_attribution(spark, model, df.join(pred.select("k"), "k"), ["a", "b", "c"], "k")
+    sums = {(r["class_label"], r["example_index"]): r["s"]
+            for r in att.groupBy("class_label", "example_index").agg(F.sum("value").alias("s")).collect()}
+    labels = model.stages[0].labels
+    for r in pred.collect():
+        for ci, lab in enumerate(labels):
+            assert abs(sums[(lab, r["k"])] - r["probability"][ci]) < 1e-9
+
+
+def test_tree_attribution_matches_brute_force_shapley(spark):
+    import itertools
+    import random
+
+    import numpy as np
+    from surveyspark.operators.model import forest_attribution_batch, forest_tables, train_multiclass
+    rng = random.Random(1)
+    rows = [(i, rng.random(), float(rng.randint(0, 3)), rng.random(), rng.choice("pq"))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y string")
+    model, _ = train_multiclass(df, ["a", "b", "c"], "y", "k", num_trees=2, max_depth=4)
+    trees = forest_tables(spark, model)
+    X = np.array([[r[1], r[2], r[3]] for r in rows[:25]])
+    phi, base = forest_attribution_batch(trees, X, trees[0]["value"].shape[1])
+
+    def expval(tree, x, S, node=0):
+        if tree["left"][node] < 0:
+            return tree["value"][node]
+        lft, rgt, f = tree["left"][node], tree["right"][node], tree["feat"][node]
+        if f in S:
+            go_left = x[f] <= tree["thr"][node]
+            return expval(tree, x, S, lft if go_left else rgt)
+        c = tree["cover"]
+        return (c[lft] * expval(tree, x, S, lft) + c[rgt] * expval(tree, x, S, rgt)) / c[node]
+
+    m = 3
+    for r in range(len(X)):
+        for j in range(m):
+            others = [f for f in range(m) if f != j]
+            tot = 0.0
+            for size in range(m):
+                for S in itertools.combinations(others, size):
+                    w = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
+                    gain = np.mean([expval(t, X[r], set(S) | {j}) - expval(t, X[r], set(S)) for t in trees], axis=0)
+                    tot = tot + w * gain
+            assert np.allclose(phi[r, j], tot, atol=1e-12)
