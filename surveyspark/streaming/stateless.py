@@ -1,0 +1,34 @@
+"""Row-local operators on streaming DataFrames.
+
+The original pipeline has no streaming, windows over event time, state or late
+data. What carries over unchanged is every row-local operator: applied to a
+``readStream`` DataFrame they need no state, so any output mode works. This
+module only wires such operators to a file stream; it does not add stateful
+semantics the original never had.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
+                max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """Files arriving in the folder ``path`` (optionally only those matching ``glob``)."""
+    r = spark.readStream.format(fmt).schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.load(path)
+
+
+def apply_row_local(stream: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply row-local steps (e.g. ``normalize_text``, ``extract_fields``,
+    ``sentiment_lexicon``, ``attribution_text``) to a stream."""
+    for step in steps:
+        stream = step(stream)
+    return stream

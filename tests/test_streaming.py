@@ -1,0 +1,22 @@
+import tempfile
+
+from pyspark.sql import functions as F
+
+from surveyspark.functions.text import tokens
+from surveyspark.operators.clean import normalize_text
+from surveyspark.streaming.stateless import apply_row_local, file_stream
+from tests.conftest import SF001
+
+
+def test_row_local_ops_on_a_stream(spark):
+    src = spark.read.parquet(f"{SF001}/part.parquet")
+    s = file_stream(spark, SF001, src.schema, glob="part.parquet")
+    out = apply_row_local(s, lambda d: normalize_text(d, ["p_name"]),
+                          lambda d: d.withColumn("n_tok", F.size(tokens(F.col("p_name")))))
+    name = "part_stream_" + next(tempfile._get_candidate_names())
+    q = (out.writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="stream-ckpt-", dir="/tmp")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.sql(f"SELECT count(*) AS n, min(n_tok) AS m FROM {name}").first()
+    assert got["n"] == src.count() and got["m"] >= 1
