@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from .split import split_stratified
 
 
@@ -57,7 +57,9 @@ def train_multiclass(df: DataFrame, features: Sequence[str], label: str, key: st
     the label, its index, ``prediction`` (label text), ``pred_index`` and
     ``probability`` as an array.
     """
-    d = split_stratified(model_inputs(df, features), key, label, 1.0 - test_frac, seed)
+    # the labelled split is read by every training pass and by validation: cut its
+    # lineage once into the shared checkpoint folder
+    d = cut_lineage(split_stratified(model_inputs(df, features), key, label, 1.0 - test_frac, seed))
     idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
     vec = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,

@@ -110,7 +110,8 @@ def q_attribution_text(spark, sf):
 
 
 def _heads(spark, sf):
-    return head_per_group(attribution_text(nested(spark, sf)), "class_label", "example_index", HEAD_N)
+    # the first examples per class are picked before any text is built
+    return attribution_text(head_per_group(nested(spark, sf), "class_label", "example_index", HEAD_N))
 
 
 @query("explanation_request", f"""WITH {SQL_ATTR},
@@ -171,9 +172,9 @@ def q_synonym_expand(spark, sf):
 def explanation_scores(spark, sf):
     g = _generated(spark, sf).withColumn(
         "top", F.transform(top_n(F.col("attrs"), 10), lambda a: F.translate(a["feature"], "_", " ")))
-    g = features_with_synonyms(g, "top", _syn_df(spark), ["class_label", "example_index"],
-                               domain=explode_attrs(nested(spark, sf)).select(
-                                   F.translate("feature", "_", " ").alias("feature")))
+    # lookup domain: the model's feature names (metadata, known before any row is scored)
+    names = spark.createDataFrame([(f.replace("_", " "),) for f in FEATURES], "feature string")
+    g = features_with_synonyms(g, "top", _syn_df(spark), ["class_label", "example_index"], domain=names)
     g = keyword_coverage(g, "features_with_synonyms", "llm_text")
     cos = tfidf_pair_cosine(g, ["class_label", "example_index"], "shap_text", "llm_text")
     return g.join(cos, ["class_label", "example_index"])
