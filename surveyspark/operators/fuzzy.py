@@ -1,0 +1,131 @@
+"""Weighted fuzzy ratio scorer for ``standardize_categories(scorer="wratio")``.
+
+Written from the published description of the weighted ratio: the plain ratio
+(normalised indel similarity, 100 * 2 * LCS / (len1 + len2)); for strings of
+similar length also the token-sort / token-set ratios scaled by 0.95; otherwise
+the best partial alignment of the shorter string scaled by 0.9 (0.6 when one
+string is over 8 times longer) and the partial token ratio scaled by both.
+Strings are compared as given (no preprocessing). It runs in a ``pandas_udf``
+on the *distinct* values only, the dictionary shipped with the function.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+UNBASE_SCALE = 0.95
+
+
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel over ``a``."""
+    if not a or not b:
+        return 0
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    v = full
+    for ch in b:
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - bin(v).count("1")
+
+
+def ratio(a: str, b: str) -> float:
+    total = len(a) + len(b)
+    if total == 0:
+        return 100.0
+    return 100.0 * 2.0 * _lcs(a, b) / total
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """Best ratio of the shorter string against every window of the longer one
+    (windows of its length, shortened at both ends)."""
+    if not a or not b:
+        return 0.0
+    s, t = (a, b) if len(a) <= len(b) else (b, a)
+    m, n = len(s), len(t)
+    best = 0.0
+    for i in range(-(m - 1), n):
+        w = t[max(i, 0):min(i + m, n)]
+        if w:
+            best = max(best, ratio(s, w))
+            if best == 100.0:
+                break
+    return best
+
+
+def _tokens(s: str) -> list[str]:
+    return s.split()
+
+
+def token_sort_ratio(a: str, b: str) -> float:
+    return ratio(" ".join(sorted(_tokens(a))), " ".join(sorted(_tokens(b))))
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    ta, tb = set(_tokens(a)), set(_tokens(b))
+    if not ta or not tb:
+        return 0.0
+    inter = ta & tb
+    da, db = ta - tb, tb - ta
+    if inter and (not da or not db):
+        return 100.0
+    sect = " ".join(sorted(inter))
+    ab = " ".join(sorted(da))
+    ba = " ".join(sorted(db))
+    cab = (sect + " " + ab) if sect else ab
+    cba = (sect + " " + ba) if sect else ba
+    scores = [ratio(cab, cba)]
+    if sect:
+        scores += [ratio(sect, cab), ratio(sect, cba)]
+    return max(scores)
+
+
+def partial_token_ratio(a: str, b: str) -> float:
+    ta, tb = set(_tokens(a)), set(_tokens(b))
+    if not ta or not tb:
+        return 0.0
+    if ta & tb:
+        return 100.0
+    return partial_ratio(" ".join(sorted(ta)), " ".join(sorted(tb)))
+
+
+def wratio(a: str, b: str) -> float:
+    if not a or not b:
+        return 0.0
+    la, lb = len(a), len(b)
+    len_ratio = max(la, lb) / min(la, lb)
+    end = ratio(a, b)
+    if len_ratio < 1.5:
+        return max(end, max(token_sort_ratio(a, b), token_set_ratio(a, b)) * UNBASE_SCALE)
+    scale = 0.9 if len_ratio < 8.0 else 0.6
+    end = max(end, partial_ratio(a, b) * scale)
+    return max(end, partial_token_ratio(a, b) * UNBASE_SCALE * scale)
+
+
+def best_term(text: str, terms: Sequence[str], cutoff: float) -> str | None:
+    """Highest-scoring term with score >= cutoff; the earliest term wins ties."""
+    best, best_score = None, -1.0
+    for t in terms:
+        sc = wratio(text, t)
+        if sc >= cutoff and sc > best_score:
+            best, best_score = t, sc
+            if sc == 100.0:
+                break
+    return best
+
+
+def wratio_best_match(text: Column, terms: Sequence[tuple[int, str]], cutoff: float) -> Column:
+    ordered = [t for _, t in sorted(terms)]
+
+    @F.pandas_udf(T.StringType())
+    def match(s: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else best_term(v, ordered, cutoff) for v in s], dtype=object)
+
+    return match(text)

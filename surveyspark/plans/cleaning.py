@@ -150,3 +150,9 @@ FROM p LEFT JOIN lut USING (raw)
 @query("standardize_categories", SQL_STD)
 def q_standardize_categories(spark, sf):
     return standardize_categories(part_typo_names(spark, sf), "raw", part_dictionary(spark, sf), 70.0, out="std")
+
+
+@query("standardize_categories_wratio")
+def q_standardize_categories_wratio(spark, sf):
+    return standardize_categories(part_typo_names(spark, sf), "raw", part_dictionary(spark, sf), 70.0, out="std",
+                                  scorer="wratio")

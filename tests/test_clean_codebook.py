@@ -125,3 +125,17 @@ def test_field_extraction_and_pairs(spark):
     assert p[1]["prompt"] == "Intro."
     pairs = prompt_completion_pairs(df, "t", cfg, "Intro.", r"Q18 \(S17.*", keys=["id"]).collect()
     assert [(r["id"], r["completion"]) for r in pairs] == [(1, "Wechsler l10y")]
+
+
+def test_wratio_scorer(spark):
+    from surveyspark.operators.fuzzy import partial_ratio, ratio, token_set_ratio, token_sort_ratio, wratio
+    assert ratio("this is a test", "this is a test!") == pytest.approx(96.551724, abs=1e-5)
+    assert token_sort_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 100.0
+    assert token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100.0
+    assert partial_ratio("this is a test", "this is a test!") == 100.0
+    assert wratio("", "abc") == 0.0
+    assert wratio("tk", "die techniker krankenkasse tk") > 50
+    dic = spark.createDataFrame([(0, "aok"), (1, "barmer"), (2, "ikk classic")], "pos int, term string")
+    df = spark.createDataFrame([(1, "Barmer GEK"), (2, "ikk"), (3, "xyz"), (4, None)], "id int, raw string")
+    out = {r["id"]: r["raw"] for r in standardize_categories(df, "raw", dic, 70, scorer="wratio").collect()}
+    assert out[1] == "barmer" and out[2] == "ikk classic" and out[3] == "xyz" and out[4] == "keine angabe"
