@@ -4,10 +4,10 @@ box summaries (A13) and alias lookup (X5)."""
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,18 +111,80 @@ def welch_pvalue(df: DataFrame, run_col: str, value: str, run_a: str, run_b: str
     return r.withColumn("p_value", _p_value(F.col("t_stat"), F.col("dof")))
 
 
-def box_summary(df: DataFrame, run_col: str, value: str) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
+                    accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles with linear interpolation (as ``percentile``) without holding a
+    group's values in one task.
+
+    1. one grouped pass: count and ``percentile_approx`` at ``p -/+ margin`` (a
+       mergeable sketch) gives a narrow value band around every target rank;
+    2. one pass counts the values below each band and, inside the bands, the
+       *distinct* values with their multiplicity (a hot value is one row);
+    3. running counts over the small in-band tables give the exact order
+       statistics at ranks floor/ceil((n - 1) * p).
+    Groups with fewer values than ``accuracy`` (bounded by it) take the exact
+    ``percentile`` aggregate directly; a band that misses its rank (not expected
+    with the margin used, 4 ranks per ``n / accuracy``) is flagged and that group
+    alone is recomputed the same way.
+    Output: ``(group..., n, q0, q1, ...)``.
+    """
+    group = list(group)
+    probs = [float(p) for p in probs]
+    m = 4.0 / accuracy
+    d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
+    edges = [x for p in probs for x in (max(p - m, 0.0), min(p + m, 1.0))]
+    st = d.groupBy(*group).agg(F.count(F.lit(1)).cast("bigint").alias("_n"),
+                               F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    # groups smaller than the sketch accuracy are exact and bounded as they are
+    j = d.join(st.filter(F.col("_n") >= accuracy), group)
+    k = len(probs)
+    lo_b = [F.col("_e")[2 * i] for i in range(k)]
+    hi_b = [F.col("_e")[2 * i + 1] for i in range(k)]
+    below = j.groupBy(*group).agg(*[F.count(F.when(F.col("_v") < lo_b[i], 1)).alias(f"_lt{i}") for i in range(k)])
+    inb = j.select(*group, "_v", F.explode(F.array(*[
+        F.when((F.col("_v") >= lo_b[i]) & (F.col("_v") <= hi_b[i]), F.lit(i)) for i in range(k)])).alias("_i"))
+    cnt = inb.filter(F.col("_i").isNotNull()).groupBy(*group, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cnt = cnt.withColumn("_cum", F.sum("_c").over(run)).join(below, group).join(st.select(*group, "_n"), group)
+    aggs, checks = [], []
+    for i, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * F.lit(p)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        end = F.col(f"_lt{i}") + F.col("_cum") - 1          # rank of the last copy of this value
+        mine = F.col("_i") == i
+        aggs += [F.min(F.when(mine & (end >= lo), F.col("_v"))).alias(f"_xl{i}"),
+                 F.min(F.when(mine & (end >= hi), F.col("_v"))).alias(f"_xh{i}"),
+                 F.first(pos - lo).alias(f"_f{i}"),
+                 F.max(F.when(mine, end)).alias(f"_last{i}"), F.first(F.col(f"_lt{i}")).alias(f"_b{i}"),
+                 F.first(lo).alias(f"_lo{i}"), F.first(hi).alias(f"_hi{i}")]
+    r = cnt.groupBy(*group).agg(F.first("_n").alias("n"), *aggs)
+    for i in range(k):
+        checks.append((F.col(f"_b{i}") <= F.col(f"_lo{i}")) & (F.col(f"_last{i}") >= F.col(f"_hi{i}")))
+    ok = checks[0]
+    for c in checks[1:]:
+        ok = ok & c
+    qs = [(F.col(f"_xl{i}") + F.col(f"_f{i}") * (F.col(f"_xh{i}") - F.col(f"_xl{i}"))).alias(f"q{i}")
+          for i in range(k)]
+    r = r.select(*group, "n", *qs, F.coalesce(ok, F.lit(False)).alias("_ok"))
+    good = r.filter("_ok").drop("_ok")
+    missed = r.filter(~F.col("_ok")).select(*group).unionByName(
+        st.filter(F.col("_n") < accuracy).select(*group))
+    redo = d.join(missed, group, "left_semi").groupBy(*group).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+    redo = redo.select(*group, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(k)])
+    return good.unionByName(redo)
+
+
+def box_summary(df: DataFrame, run_col: str, value: str, accuracy: int = 10_000) -> DataFrame:
     """Box-plot numbers per run: quartiles (linear interpolation), 1.5 IQR whiskers
     at the most extreme values inside the fences, outlier count.
 
-    Quartiles come from one grouped ``percentile`` aggregate; the fences are joined
-    back (one row per run, broadcast by AQE) for a second conditional aggregate.
+    Quartiles are exact but bounded per task (``exact_quantiles``); the fences
+    (one row per run) are joined back for one conditional aggregate.
     """
-    q = df.groupBy(run_col).agg(
-        F.count(value).cast("bigint").alias("n"),
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(run_col, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(df, [run_col], value, [0.25, 0.5, 0.75], accuracy)
+    q = q.select(run_col, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")

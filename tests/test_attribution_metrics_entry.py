@@ -164,3 +164,20 @@ def test_tree_attribution_matches_brute_force_shapley(spark):
                     gain = np.mean([expval(t, X[r], set(S) | {j}) - expval(t, X[r], set(S)) for t in trees], axis=0)
                     tot = tot + w * gain
             assert np.allclose(phi[r, j], tot, atol=1e-12)
+
+
+def test_exact_quantiles_match_percentile(spark):
+    import random
+    from surveyspark.operators.compare import exact_quantiles
+    rng = random.Random(2)
+    rows = [("hot", 5.0) for _ in range(3000)] + [("hot", rng.random()) for _ in range(2000)]
+    rows += [("b", float(rng.randint(0, 50))) for _ in range(777)] + [("c", 1.5)] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in
+           exact_quantiles(df, ["g"], "v", probs, accuracy=100).collect()}
+    exp = {r["g"]: r["q"] for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect() if r["q"] is not None}
+    assert set(got) == set(exp)
+    for g in exp:
+        assert got[g] == pytest.approx(exp[g], abs=1e-12), g
