@@ -156,3 +156,20 @@ def test_render_full_and_tools(spark):
     assert '<|start_header_id|>assistant<|end_header_id|>\n\n{"name": "search", "parameters": {"q": "x"}}<|eot_id|>' in t1
     assert t1.endswith('<|start_header_id|>ipython<|end_header_id|>\n\n"a \\"b\\""<|eot_id|>')
     assert r[2][0] is None and r[2][1] is not None
+
+
+def test_question_table_sink_round_trip(spark):
+    import tempfile
+    from surveyspark.operators.crosstab import write_question_tables
+    ls = ["T1,,", "S1,,", "a,b,c", B, B, "T2,,", "S2,,", "d,e,f", "g,h,i", B]
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(ls)], "file string, line_no bigint, line string")
+    sec = crosstab_sections(lines)
+    cells = (sec.filter(F.col("role") == "data")
+             .select("file", "section", "block", "row_in_block", F.posexplode(F.split("line", ",")).alias("col_no", "value"))
+             .withColumn("col_no", F.col("col_no").cast("int")))
+    tables = combine_blocks(sec, crosstab_questions(sec), cells)
+    out = tempfile.mkdtemp(prefix="qtables-", dir="/tmp")
+    write_question_tables(tables, out + "/t")
+    back = spark.read.parquet(out + "/t")
+    assert sorted(r["question_no"] for r in back.select("question_no").distinct().collect()) == [1, 2]
+    assert back.filter("question_no = 2").count() == 6
