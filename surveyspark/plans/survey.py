@@ -2,7 +2,8 @@
 
 The provided tables carry no survey, so a codebook and a wide answers sheet are
 derived from them with SQL that both Spark and DuckDB run unchanged:
-nation/region/orders give the questions and options, customer the respondents.
+nation/region/orders/supplier give the questions and options (the supplier
+question grows with the data), customer the respondents.
 The operators under test then run through the DataFrame API on top.
 """
 
@@ -44,6 +45,8 @@ UNION ALL SELECT CAST(611 + r_regionkey AS BIGINT), NULL, NULL, NULL, CAST(r_reg
        FROM region WHERE r_regionkey < 2
 UNION ALL SELECT CAST(700 AS BIGINT), 'Q8', 'Ranking', 'S08: Rank', NULL, 'Rank of the nation'
 UNION ALL SELECT CAST(800 AS BIGINT), 'Q9', 'Net Promoter Score®', 'S09: NPS', NULL, NULL
+UNION ALL SELECT CAST(900 AS BIGINT), 'Q10', 'Dropdown', 'S10: Supplier', NULL, 'Preferred supplier'
+UNION ALL SELECT CAST(901 + s_suppkey AS BIGINT), NULL, NULL, NULL, CAST(s_suppkey AS STRING), s_name FROM supplier
 """
 
 WIDE_SQL = """
@@ -58,6 +61,7 @@ SELECT CAST(c.c_custkey AS STRING) AS pid,
        CAST(c.c_nationkey % 3 AS STRING) AS Q7_1,
        CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'n/a' ELSE CAST(c.c_nationkey % 4 + 1 AS STRING) END AS Q8,
        CAST(c.c_nationkey * 7 % 11 AS STRING) AS Q9,
+       CAST(c.c_custkey % 131 AS STRING) AS Q10,
        c.c_acctbal AS Weight
 FROM customer c
 JOIN nation n ON n.n_nationkey = c.c_nationkey
@@ -71,7 +75,7 @@ LEFT JOIN (SELECT o_custkey,
 """
 
 # column of the wide sheet -> question id (dotted ids cannot be plain SQL names)
-WIDE_QIDS = ["Q1", "Q2", "Q3", "Q4", "Q5", "Q6.1", "Q6.2", "Q6.3", "Q6.4", "Q6.5", "Q7.1", "Q8", "Q9"]
+WIDE_QIDS = ["Q1", "Q2", "Q3", "Q4", "Q5", "Q6.1", "Q6.2", "Q6.3", "Q6.4", "Q6.5", "Q7.1", "Q8", "Q9", "Q10"]
 
 
 def survey_codebook(spark, sf):
