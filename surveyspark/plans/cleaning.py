@@ -32,7 +32,7 @@ WITH {SQL_EV},
 c AS (SELECT count(*) AS n, count(event_id) AS c0, count(user_id) AS c1, count(event_type) AS c2,
              count(value) AS c3, count(props) AS c4 FROM ev)
 SELECT pos, "column", n AS n_rows, n - cnt AS n_null, round(100.0 * (n - cnt) / n, 6) AS null_pct
-FROM (SELECT 0 AS pos, 'event_id' AS "column", c0 AS cnt, n FROM c UNION ALL
+FROM (SELECT CAST(0 AS BIGINT) AS pos, 'event_id' AS "column", c0 AS cnt, n FROM c UNION ALL
       SELECT 1, 'user_id', c1, n FROM c UNION ALL SELECT 2, 'event_type', c2, n FROM c UNION ALL
       SELECT 3, 'value', c3, n FROM c UNION ALL SELECT 4, 'props', c4, n FROM c)
 """)
