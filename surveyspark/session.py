@@ -47,6 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder all executors share")
+        # local runs only (tests, bench): a scratch folder on this machine is shared by all threads
         d = tempfile.mkdtemp(prefix="surveyspark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
