@@ -139,3 +139,11 @@ def test_wratio_scorer(spark):
     df = spark.createDataFrame([(1, "Barmer GEK"), (2, "ikk"), (3, "xyz"), (4, None)], "id int, raw string")
     out = {r["id"]: r["raw"] for r in standardize_categories(df, "raw", dic, 70, scorer="wratio").collect()}
     assert out[1] == "barmer" and out[2] == "ikk classic" and out[3] == "xyz" and out[4] == "keine angabe"
+
+
+def test_category_codes_distributed_path(spark):
+    from surveyspark.operators.clean import category_codes
+    df = spark.createDataFrame([(f"v{i % 337:04d}",) for i in range(3000)] + [(None,)], "x string")
+    local = {r["_v"]: r["_code"] for r in category_codes(df, "x").collect()}
+    spread = {r["_v"]: r["_code"] for r in category_codes(df.repartition(7), "x", max_local=10).collect()}
+    assert local == spread and sorted(local.values()) == list(range(337))
