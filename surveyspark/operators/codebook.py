@@ -63,6 +63,35 @@ def forward_fill(df: DataFrame, cols: Sequence[str], order: Sequence[str],
     return out.drop("_bkt", *[f"_c_{c}" for c in cols])
 
 
+def running_sums(df: DataFrame, cols: dict[str, Column], order: Sequence[str], partition: Sequence[str] = (),
+                 bucket: Column | None = None) -> DataFrame:
+    """Inclusive running sums ``{out: expression}`` in ``order`` within ``partition``.
+
+    With ``bucket`` (non-decreasing in ``order``) it is a two-level scan: every
+    (key, bucket) is summed in its own task, the bucket totals are summed across
+    buckets on the small per-bucket table, and that carry is joined back, so a
+    single huge partition key is spread over many tasks.
+    """
+    part, order = list(partition), list(order)
+    d = df.withColumns({f"_x_{o}": e for o, e in cols.items()})
+    if bucket is None:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        if part:
+            w = w.partitionBy(*part)
+        return d.withColumns({o: F.sum(f"_x_{o}").over(w) for o in cols}).drop(*[f"_x_{o}" for o in cols])
+    d = d.withColumn("_bkt", bucket)
+    keys = part + ["_bkt"]
+    wb = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"_r_{o}": F.sum(f"_x_{o}").over(wb) for o in cols})
+    tot = d.groupBy(*keys).agg(*[F.sum(f"_x_{o}").alias(f"_t_{o}") for o in cols])
+    wc = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    if part:
+        wc = wc.partitionBy(*part)
+    carry = tot.select(*keys, *[F.coalesce(F.sum(f"_t_{o}").over(wc), F.lit(0)).alias(f"_c_{o}") for o in cols])
+    out = d.join(carry, keys).withColumns({o: F.col(f"_r_{o}") + F.col(f"_c_{o}") for o in cols})
+    return out.drop("_bkt", *[f"_{p}_{o}" for o in cols for p in ("x", "r", "c")])
+
+
 def canonical_code(c: Column) -> Column:
     """Answer/option code as text: numbers lose their fraction (``1.0`` -> ``1``,
     truncation like ``int()``), other text is only stripped."""

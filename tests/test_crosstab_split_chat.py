@@ -65,8 +65,11 @@ def test_crosstab_matches_sequential_rules(spark):
     files = {f"f{i}": random_dump(rng, rng.randint(3, 40)) for i in range(120)}
     rows = [(f, i, ln) for f, ls in files.items() for i, ln in enumerate(ls)]
     lines = spark.createDataFrame(rows, "file string, line_no bigint, line string")
-    for keep_tail in (True, False):
-        sec = crosstab_sections(lines, keep_tail=keep_tail)
+    for keep_tail, chunk in ((True, None), (False, None), (True, 4), (False, 7)):
+        sec = crosstab_sections(lines, keep_tail=keep_tail, chunk_lines=chunk)
+        if chunk:
+            plain = crosstab_sections(lines, keep_tail=keep_tail).collect()
+            assert sorted(tuple(r) for r in sec.collect()) == sorted(tuple(r) for r in plain)
         qs = crosstab_questions(sec).collect()
         idx = {(r["file"], r["question_no"]): (r["title"], r["subtitle"]) for r in question_index(
             crosstab_questions(sec)).collect()}
