@@ -176,3 +176,19 @@ def test_question_table_sink_round_trip(spark):
     back = spark.read.parquet(out + "/t")
     assert sorted(r["question_no"] for r in back.select("question_no").distinct().collect()) == [1, 2]
     assert back.filter("question_no = 2").count() == 6
+
+
+def test_question_tables_chunked_equals_windowed(spark):
+    import random as _r
+    rng = _r.Random(9)
+    rows = []
+    for f in range(30):
+        for i in range(rng.randint(5, 60)):
+            n = rng.choice([1, 1, 2, 3, 4])
+            for j in range(n):
+                v = rng.choice(["Frage A", "Frage B", "Gesamt", "x", "1", None]) if n == 1 else rng.choice(["a", None, "3"])
+                rows.append((f"f{f}", i, j, v))
+    cells = spark.createDataFrame(rows, "file string, row_no bigint, col_no int, value string")
+    a = sorted(tuple(r) for r in question_tables(cells).collect())
+    b = sorted(tuple(r) for r in question_tables(cells, chunk_rows=5).collect())
+    assert a == b and len(a) > 0
