@@ -30,3 +30,11 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, lut_rows_hi
     if lut_rows_hint:
         return df
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """The lookup side of a join: broadcast when proven small, otherwise marked for
+    a sort-merge join, so that the planner never broadcasts the other (large)
+    side on a low size estimate (exploded rows, or a side without statistics such
+    as a checkpoint). AQE still may pick a broadcast from measured shuffle sizes."""
+    return F.broadcast(df) if is_small(df, max_rows) else df.hint("merge")

@@ -86,6 +86,52 @@ def test_crosstab_matches_sequential_rules(spark):
         assert qs is not None
 
 
+def fold_heads(heads):
+    """Plain fold of the continuation rule over ordered (title, subtitle, has_data):
+    [(title, subtitle, question_no)] per section of a kept question, else None."""
+    state, q, out = None, 0, []
+    for t, s, hd in heads:
+        if state is None or t not in (state[0], state[1]):
+            state, q = (t, s), q + 1
+        out.append((q, state[0], state[1], hd))
+    qdata = {}
+    for qq, _, _, hd in out:
+        qdata[qq] = max(qdata.get(qq, 0), hd)
+    kept = sorted(qq for qq in qdata if qdata[qq] or qq == q)
+    num = {qq: i + 1 for i, qq in enumerate(kept)}
+    return [(t, s, num[qq]) if qq in num else None for qq, t, s, _ in out]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5, 64])
+def test_question_scan_over_chunks_equals_plain_fold(spark, chunk):
+    rng = random.Random(100 + chunk)
+    titles = ["A", "B", "C", "D"]
+    files, expected = {}, {}
+    for i in range(6):
+        lines, heads = [], []
+        for _ in range(rng.randint(1, 60)):
+            t = rng.choice(titles)
+            sub = rng.choice(titles + [None])
+            ndata = rng.choice([0, 0, 1, 2])
+            lines.append(t)
+            if sub is not None or ndata:
+                lines.append(sub if sub is not None else "x")
+            lines += ["1,2"] * ndata
+            lines += [B, B]
+            heads.append((t, sub if sub is not None else ("x" if ndata else None), int(ndata > 0)))
+        files[f"h{i}"] = lines
+        expected[f"h{i}"] = fold_heads(heads)
+    rows = [(f, j, ln) for f, ls in files.items() for j, ln in enumerate(ls)]
+    lines = spark.createDataFrame(rows, "file string, line_no bigint, line string")
+    sec = crosstab_sections(lines)
+    got = crosstab_questions(sec, chunk_sections=chunk).collect()
+    secs = sorted({(r["file"], r["section"]) for r in sec.filter(F.col("role") == "title").collect()})
+    by = {(r["file"], r["section"]): (r["title"], r["subtitle"], r["question_no"]) for r in got}
+    for f in files:
+        order = [k for k in secs if k[0] == f]
+        assert [by.get(k) for k in order] == expected[f], f
+
+
 def test_combine_blocks_drops_leading_columns_and_empty_ones(spark):
     ls = ["Title,,", "Sub,,", "a,b,,c", "d,e,,f", B, "g,h,,i", "j,k,,", B, B]
     lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(ls)], "file string, line_no bigint, line string")
