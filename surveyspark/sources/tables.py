@@ -12,10 +12,46 @@ TABLES = (
     "conversations",
 )
 
+# Row key of every table (unique, so hashing on it never makes a hot partition).
+TABLE_KEYS = {
+    "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",),
+    "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",),
+    "lineitem": ("l_orderkey", "l_linenumber"), "events": ("event_id",), "documents": ("doc_id",),
+    "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",),
+    "conversations": ("conv_id", "turn"),
+}
+
+# Inputs up to this size (bytes on storage) are spread over all task slots; see ``table``.
+SPREAD_CONF = "surveyspark.input.spreadBelowBytes"
+SPREAD_DEFAULT = 1 << 30
+
+
+def scan_bytes(df: DataFrame) -> int | None:
+    """Size of a file scan as listed by the file index (no data is read)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy scan of one table; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Lazy scan of one table; Catalyst prunes columns and pushes filters into it.
+
+    A large input is read as its file splits (many tasks). A small one (at most
+    ``surveyspark.input.spreadBelowBytes`` on storage, 1 GiB by default) may be a
+    single file with a single row group, which Spark reads in one task; it is
+    hash-partitioned on its row key over all task slots so the per-row work
+    after the scan runs in parallel. Filters and column pruning pass through
+    the repartition to the scan.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    keys = TABLE_KEYS.get(name)
+    limit = int(spark.conf.get(SPREAD_CONF, str(SPREAD_DEFAULT)))
+    if keys and limit > 0:
+        size = scan_bytes(df)
+        if size is not None and size <= limit:
+            df = df.repartition(spark.sparkContext.defaultParallelism, *keys)
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
