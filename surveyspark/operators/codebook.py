@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from .broadcast import is_small
 
-# A codebook up to this many rows is broadcast (one label per option: small rows).
-CODEBOOK_MAX_ROWS = 1_000_000
 
 # Question types and how a plain (undotted) answer is rendered.
 LABELLED_TYPES = ("Single Select", "Dropdown", "Rating Scale", "Single Matrix", "Rating Matrix")
@@ -150,18 +147,19 @@ def decode_answers(answers: DataFrame, codebook: DataFrame) -> DataFrame:
 
     ``answer`` is the option label for coded types (or the unknown-code text),
     the raw value for number/NPS/other, the quoted value for open text, and
-    ``Rank n`` / ``(invalid rank)`` for rankings. The codebook tables are small and
-    broadcast; the answers are never shuffled here.
+    ``Rank n`` / ``(invalid rank)`` for rankings. The lookups (question info and
+    options) are aggregations of the codebook: their size is measured when their
+    shuffle ends and AQE broadcasts them then (no extra job to count them first),
+    so the answers are not shuffled for them.
     """
     cb = fill_codebook(codebook)
-    bc = F.broadcast if is_small(codebook, CODEBOOK_MAX_ROWS) else (lambda d: d)
     types = question_types(cb, filled=True)
     labels = question_labels(cb, filled=True)
     opts = codebook_options(cb, filled=True)
     qinfo = types.join(labels, "qid", "full")
-    a = (answers.join(bc(qinfo), "qid", "left")
+    a = (answers.join(qinfo, "qid", "left")
                 .withColumn("code", canonical_code(F.col("value")))
-                .join(bc(opts.withColumnRenamed("label", "opt_label")), ["qid", "code"], "left"))
+                .join(opts.withColumnRenamed("label", "opt_label"), ["qid", "code"], "left"))
     qtype = F.coalesce(F.col("qtype"), F.lit(""))
     v = F.col("value")
     num = v.try_cast("double")

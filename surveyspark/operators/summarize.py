@@ -38,7 +38,8 @@ def respondent_summary(wide: DataFrame, codebook: DataFrame, key: str = "pid",
     labels = question_labels(fill_codebook(codebook), filled=True)
     main = F.substring_index(F.col("qid"), ".", 1)
     dec = dec.withColumn("main", main).join(
-        maybe_broadcast(labels.select(F.col("qid").alias("main"), F.col("qlabel").alias("mlabel"))),
+        maybe_broadcast(labels.select(F.col("qid").alias("main"), F.col("qlabel").alias("mlabel")),
+                        lut_rows_hint=True),
         "main", "left")
     is_multi = F.col("qtype") == MULTI_SELECT
     chosen = F.col("value").try_cast("double").cast("bigint") == 1

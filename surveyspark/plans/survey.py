@@ -79,13 +79,13 @@ WIDE_QIDS = ["Q1", "Q2", "Q3", "Q4", "Q5", "Q6.1", "Q6.2", "Q6.3", "Q6.4", "Q6.5
 
 
 def survey_codebook(spark, sf):
-    register_views(spark, sf)
+    register_views(spark, sf, ("nation", "region", "orders", "supplier"))
     return spark.sql(CODEBOOK_SQL)
 
 
 def survey_answers(spark, sf):
     """Wide answers sheet: pid, Q1..Q9 (with dotted ids), Weight."""
-    register_views(spark, sf)
+    register_views(spark, sf, ("customer", "nation", "orders"))
     w = spark.sql(WIDE_SQL)
     return w.withColumnsRenamed({q.replace(".", "_"): q for q in WIDE_QIDS if "." in q})
 

@@ -44,18 +44,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     after the scan runs in parallel. Filters and column pruning pass through
     the repartition to the scan.
     """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    keys = TABLE_KEYS.get(name)
+    path = os.path.join(sf_dir, f"{name}.parquet")
     limit = int(spark.conf.get(SPREAD_CONF, str(SPREAD_DEFAULT)))
+    ck = (spark.sparkContext.applicationId, path, limit)
+    if ck in _SCANS:
+        return _SCANS[ck]
+    df = spark.read.parquet(path)
+    keys = TABLE_KEYS.get(name)
     if keys and limit > 0:
         size = scan_bytes(df)
         if size is not None and size <= limit:
             df = df.repartition(spark.sparkContext.defaultParallelism, *keys)
+    _SCANS[ck] = df
     return df
 
 
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
+# (application, path, spread limit) -> the lazy scan (read once: file listing and footer)
+_SCANS: dict[tuple[str, str, int], DataFrame] = {}
+
+
+# (application, view) -> parquet path it currently points at
+_VIEWS: dict[tuple[str, str], str] = {}
+
+
+def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+    """Temp views of the named tables; a view already pointing at the same file is kept
+    (no new file listing or footer read)."""
+    app = spark.sparkContext.applicationId
+    for name in names:
         p = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(p):
-            spark.read.parquet(p).createOrReplaceTempView(name)
+        if _VIEWS.get((app, name)) == p or not os.path.exists(p):
+            continue
+        spark.read.parquet(p).createOrReplaceTempView(name)
+        _VIEWS[(app, name)] = p
