@@ -45,8 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     the repartition to the scan.
     """
     path = os.path.join(sf_dir, f"{name}.parquet")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (a session without a local context: plain scan)
+        return spark.read.parquet(path)
     limit = int(spark.conf.get(SPREAD_CONF, str(SPREAD_DEFAULT)))
-    ck = (spark.sparkContext.applicationId, path, limit)
+    ck = (sc.applicationId, path, limit)
     if ck in _SCANS:
         return _SCANS[ck]
     df = spark.read.parquet(path)
@@ -54,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if keys and limit > 0:
         size = scan_bytes(df)
         if size is not None and size <= limit:
-            df = df.repartition(spark.sparkContext.defaultParallelism, *keys)
+            df = df.repartition(sc.defaultParallelism, *keys)
     _SCANS[ck] = df
     return df
 
