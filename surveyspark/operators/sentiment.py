@@ -3,13 +3,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_PATTERN, tokens
+from ..session import cut_lineage
 from .broadcast import is_small
 
 MAX_LEXICON = 500_000
@@ -35,13 +36,21 @@ def sentiment_lexicon(df: DataFrame, text: str, lexicon: DataFrame, word: str =
 
 
 def fit_sentiment(train: DataFrame, text: str, label: str, num_features: int = 1 << 18, seed: int = 42):
-    """Spark ML pipeline: tokens -> hashed term counts -> IDF -> logistic regression."""
+    """Spark ML pipeline: tokens -> hashed term counts -> IDF -> logistic regression.
+
+    The training texts are tokenized and hashed once into the shared checkpoint
+    folder (sparse term counts, far smaller than the texts); the IDF fit and
+    every regression pass read that instead of tokenizing again. The result is
+    the same four-stage ``PipelineModel``.
+    """
     tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="_features")
-    lr = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=50, regParam=0.01)
     data = train.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(label).cast("double").alias("_label"))
-    return Pipeline(stages=[tok, tf, idf, lr]).fit(data)
+    counts = cut_lineage(tf.transform(tok.transform(data)).select("_tf", "_label"))
+    idf = IDF(inputCol="_tf", outputCol="_features").fit(counts)
+    lr = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=50, regParam=0.01).fit(
+        idf.transform(counts))
+    return PipelineModel(stages=[tok, tf, idf, lr])
 
 
 def sentiment_trained(df: DataFrame, text: str, model, labels: dict[int, str] | None = None,
