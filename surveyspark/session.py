@@ -41,19 +41,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; only when it is unset (local tests)
-    a scratch folder is created and registered.
+    a scratch folder is created and registered with the context (the setting
+    itself is a core config that cannot be changed at run time).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        master = spark.sparkContext.master or ""
+        master = sc.master or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder all executors share")
         # local runs only (tests, bench): a scratch folder on this machine is shared by all threads
         d = tempfile.mkdtemp(prefix="surveyspark-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
