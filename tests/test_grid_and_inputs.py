@@ -59,3 +59,24 @@ def test_small_side_broadcasts_only_below_the_bound(spark):
     plan = big.join(small_side(lut, max_rows=10), "k")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert big.join(small_side(lut, max_rows=10), "k").count() == 50
+
+
+def test_checkpoint_folder_when_the_setting_is_absent(tmp_path):
+    """A local session without ``spark.checkpoint.dir`` (no defaults file) still
+    checkpoints: the scratch folder is registered with the context, not the config."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from surveyspark.session import cut_lineage\n"
+        "print(cut_lineage(s.range(7)).count(), cut_lineage(s.range(3)).count())\n"
+    ) % repo
+    env = dict(os.environ, SPARK_CONF_DIR=str(tmp_path))
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.strip().splitlines()[-1] == "7 3"
