@@ -72,12 +72,12 @@ _VIEWS: dict[tuple[str, str], str] = {}
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views of the named tables; a view already pointing at the same file is kept
+    """Temp views of the named tables; a view still registered for the same file is kept
     (no new file listing or footer read)."""
     app = spark.sparkContext.applicationId
     for name in names:
         p = os.path.join(sf_dir, f"{name}.parquet")
-        if _VIEWS.get((app, name)) == p or not os.path.exists(p):
+        if not os.path.exists(p) or (_VIEWS.get((app, name)) == p and spark.catalog.tableExists(name)):
             continue
         spark.read.parquet(p).createOrReplaceTempView(name)
         _VIEWS[(app, name)] = p
