@@ -12,6 +12,7 @@ on the *distinct* values only, the dictionary shipped with the function.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,14 +22,21 @@ from pyspark.sql import types as T
 UNBASE_SCALE = 0.95
 
 
+@lru_cache(maxsize=8192)
+def _masks(a: str) -> tuple[dict[str, int], int]:
+    """Character bit masks of ``a`` (read-only; a text is compared with every
+    dictionary term and every window, so its masks are built once)."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    return masks, (1 << len(a)) - 1
+
+
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     if not a or not b:
         return 0
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    masks, full = _masks(a)
     v = full
     for ch in b:
         u = v & masks.get(ch, 0)
