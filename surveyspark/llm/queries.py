@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm import bpe, chat_format, lang_id, ngram_join, substring_dedup, url_filter
+from surveyspark.llm import (
+    bpe,
+    chat_format,
+    decontam,
+    embedding_dedup,
+    lang_id,
+    lm_score,
+    ngram_join,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +31,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -34,10 +49,26 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict_languages(read(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and test item found in it."""
+    found = decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as flat token files, then counted from the files alone."""
+    blocks = token_counts.write_blocks(read(spark, sf_dir, "documents"))
+    return token_counts.count_documents(blocks).select("doc_id", "n_tokens", "finished")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(read(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -45,9 +76,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
+    "op7_token_counts": op7_token_counts,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
 }
 

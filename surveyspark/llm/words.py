@@ -85,8 +85,11 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
 class Words:
     """Word borders of a slice: ``start``/``end`` byte places, ``first[d]:first[d + 1]`` words of text d."""
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, fold: np.ndarray | None = None):
+        """``fold``: another byte for each byte, e.g. to make punctuation a separator."""
         self.data, self.offsets = text_buffer(col)
+        if fold is not None:
+            self.data = fold[self.data]
         solid = ~_SPACE[self.data]
         begins, ends = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
