@@ -29,6 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every component of near duplicates."""
+    docs = docs.select(*COLUMNS)
     kept = ngram_join.similar(docs).where("doc_id = component_id").select("doc_id").distinct()
     alone = docs.where("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(alone).select(*COLUMNS)

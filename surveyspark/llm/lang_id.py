@@ -237,7 +237,8 @@ def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, switch: flo
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (share of letters in spans of that language) and
-    ``lang_spans``: runs of words (counted from 0) with one label."""
+    ``lang_spans``: runs of words (counted from 0) with one label. Columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "lang_spans")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.expr(
         "cast(array() as array<struct<lang:string,first:int,last:int>>)").alias("lang_spans")).schema
     text_at = docs.columns.index(text_col)
