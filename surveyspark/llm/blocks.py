@@ -10,6 +10,7 @@ the same frame by block, so Spark reuses the exchange.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.session import checkpoint_dir
+
 BLOCK_BYTES = 8 << 20  # text bytes of a block; raise it with the corpus (blocks x buckets rows are sent)
 
 SENT = "block bigint, bucket bigint, keys binary, more binary"
@@ -31,6 +34,14 @@ def count_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
     return max(2 * parts, -(-int(size) // block_bytes))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder: cuts the lineage, and takes a
+    fraction of the room of checkpoint(), which writes rows as they are."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> DataFrame:
     """Adds ``block``; other columns stay."""
     return docs.withColumn("block", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)))

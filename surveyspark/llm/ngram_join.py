@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from surveyspark.llm import blocks
 from surveyspark.llm.components import components
 from surveyspark.llm.words import Family, Words, has_window, mix, owner, slices, window_hashes
-from surveyspark.session import cut_lineage
 
 WORDS = 5
 CELLS = 1 << 17  # cells of the frequency estimate: 1 MB, whatever the corpus
@@ -117,65 +116,62 @@ class Prefixes:
         self.inside = self.place < np.repeat(length, n)
 
 
-def _sets_of(docs: pa.Table, width: int) -> Iterator[tuple[int, int, Sets]]:
-    text = docs.column("text").combine_chunks()
-    for a, b in slices(text):
-        yield a, b, Sets(text.slice(a, b - a), width)
-
-
-def prefix_table(docs: DataFrame, width: int, t_num: int, t_den: int, block_bytes: int) -> DataFrame:
-    """Per document: ``id, n, sig_a, sig_b`` and, if any prefix shingle occurs elsewhere, the
-    packed ``live`` shingles with their ``places``, ``matches`` and the whole packed ``shingles``."""
+def prefix_table(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
+    """Per document: ``id, n, sig_a, sig_b, matches`` and its packed ``prefix``, rarest first."""
     counts = cell_counts(docs, width)
-    n_blocks = blocks.count_blocks(docs, "text", block_bytes)
-    rows = blocks.in_blocks(docs, "id", "text", n_blocks)
-
-    def keys_of(table: pa.Table) -> list[tuple[Sets, Prefixes]]:
-        return [(s, Prefixes(s, counts, t_num, t_den)) for _, _, s in _sets_of(table, width)]
 
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        found = [p.shingle[p.inside] for _, p in keys_of(blocks.in_order(table, "id", "text"))]
-        keys, times = np.unique(blocks.joined(found, np.uint64), return_counts=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                sets = Sets(batch.column(1).slice(a, b - a), width)
+                prefix = Prefixes(sets, counts, t_num, t_den)
+                sig = []
+                for k in range(2):
+                    with np.errstate(over="ignore"):
+                        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets.shingle + _FAMILY.factor[50 + k]))])
+                        sig.append(pa.array((upto[sets.first[1:]] - upto[sets.first[:-1]]).view(np.int64)))
+                kept = prefix.shingle[prefix.inside]
+                border = np.concatenate([[0], np.cumsum(prefix.inside)])[sets.first]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(sets.size.astype(np.int64)), *sig,
+                     pa.array(prefix.matches.astype(np.int32)),
+                     pa.array([kept[x:y].tobytes() for x, y in zip(border[:-1], border[1:])], pa.binary())],
+                    names=["id", "n", "sig_a", "sig_b", "matches", "prefix"])
+
+    return blocks.stored(docs.mapInArrow(
+        run, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, prefix binary"))
+
+
+def live_table(table: DataFrame, n_blocks: int) -> DataFrame:
+    """``id, n, sig_a, sig_b, matches`` with the ``live`` prefix shingles (those that occur
+    elsewhere) and their ``places``; documents without any are left out."""
+    rows = table.where("n > 0 and id is not null").withColumn(
+        "block", F.pmod(F.xxhash64("id", "sig_a"), F.lit(n_blocks)))
+    order = ("id", "sig_a", "sig_b")
+
+    def shingles(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(p, np.uint64) for p in docs.column("prefix").to_pylist()]
+        return blocks.joined(parts, np.uint64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+    def ask(key: tuple, docs: pa.Table) -> pa.Table:
+        keys, times = np.unique(shingles(blocks.in_order(docs, *order))[0], return_counts=True)
         return blocks.send(key[0].as_py(), keys, n_blocks, bits=times > 1)
 
-    schema = ("id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, live binary, places binary, "
-              "shingles binary")
-
-    def live(_: int, table: pa.Table, flags: pa.Table) -> pa.Table:
-        table = blocks.in_order(table, "id", "text")
-        parts = keys_of(table)
-        found = [p.shingle[p.inside] for _, p in parts]
-        keys, where = np.unique(blocks.joined(found, np.uint64), return_inverse=True)
+    def live(_: int, docs: pa.Table, flags: pa.Table) -> pa.Table:
+        docs = blocks.in_order(docs, *order)
+        found, border = shingles(docs)
+        keys, where = np.unique(found, return_inverse=True)
         again = blocks.answered(flags, 1, keys, n_blocks)[where]
-        cols: dict[str, list] = {c: [] for c in ("n", "sig_a", "sig_b", "matches", "live", "places", "shingles")}
-        base = 0
-        for sets, prefix in parts:
-            hit = np.zeros(len(prefix.shingle), bool)
-            inside = np.flatnonzero(prefix.inside)
-            hit[inside] = again[base:base + len(inside)]
-            base += len(inside)
-            for k, name in enumerate(("sig_a", "sig_b")):
-                with np.errstate(over="ignore"):
-                    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets.shingle + _FAMILY.factor[50 + k]))])
-                    cols[name].append((upto[sets.first[1:]] - upto[sets.first[:-1]]).view(np.int64))
-            cols["n"].append(sets.size)
-            cols["matches"].append(prefix.matches)
-            for d in range(len(sets.size)):
-                a, b = sets.first[d], sets.first[d + 1]
-                at = a + np.flatnonzero(hit[a:b])
-                cols["live"].append(prefix.shingle[at].tobytes() if len(at) else None)
-                cols["places"].append(prefix.place[at].astype(np.int32).tobytes() if len(at) else None)
-                cols["shingles"].append(sets.shingle[a:b].tobytes() if len(at) else None)
-        return pa.table({
-            "id": table.column("id"), "n": pa.array(blocks.joined(cols["n"], np.int64).astype(np.int64)),
-            "sig_a": pa.array(blocks.joined(cols["sig_a"], np.int64)), "sig_b": pa.array(blocks.joined(cols["sig_b"], np.int64)),
-            "matches": pa.array(blocks.joined(cols["matches"], np.int64).astype(np.int32)),
-            "live": pa.array(cols["live"], pa.binary()), "places": pa.array(cols["places"], pa.binary()),
-            "shingles": pa.array(cols["shingles"], pa.binary()),
-        })
+        spans = list(zip(border[:-1], border[1:]))
+        some = pa.array([bool(again[a:b].any()) for a, b in spans], pa.bool_())
+        out = docs.select(["id", "n", "sig_a", "sig_b", "matches"])
+        out = out.append_column("live", pa.array([found[a:b][again[a:b]].tobytes() for a, b in spans], pa.binary()))
+        places = [np.flatnonzero(again[a:b]).astype(np.int32).tobytes() for a, b in spans]
+        return out.append_column("places", pa.array(places, pa.binary())).filter(some)
 
     asked = blocks.occurs_elsewhere(rows.groupBy("block").applyInArrow(ask, blocks.SENT))
-    return cut_lineage(blocks.with_answers(rows, asked, live, schema))
+    return blocks.with_answers(rows, asked, live, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, "
+                                                  "live binary, places binary")
 
 
 def entries(prefixes: DataFrame) -> DataFrame:
@@ -195,23 +191,24 @@ def entries(prefixes: DataFrame) -> DataFrame:
         run, "token bigint, place bigint, id bigint, n bigint, matches bigint")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t_num: int, t_den: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[at] == x))
-                keep.append(t_den * both >= t_num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+            for at, end in slices(batch.column(2)):
+                part = batch.slice(at, end - at)
+                x, y = Sets(part.column(2), width), Sets(part.column(3), width)
+                row, shingle = np.concatenate([x.text, y.text]), np.concatenate([x.shingle, y.shingle])
+                order = np.lexsort((shingle, row))
+                row, shingle = row[order], shingle[order]
+                same = (row[1:] == row[:-1]) & (shingle[1:] == shingle[:-1])
+                both = np.bincount(row[1:][same], minlength=part.num_rows)
+                keep = t_den * both >= t_num * (x.size + y.size - both)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -220,13 +217,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """Per document: ``id_col, n_shingles, component_id`` (smallest id reachable by links of
     Jaccard >= t_num / t_den)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    table = prefix_table(rows, width, t_num, t_den, block_bytes)
+    table = prefix_table(rows, width, t_num, t_den)
+    n_blocks = blocks.count_blocks(table, "prefix", block_bytes)
 
     sig = ["n", "sig_a", "sig_b"]
     classes = table.where("n > 0 and id is not null").groupBy(*sig).agg(F.min("id").alias("rep"))
-    # one row per class, with its sets; a class may hold rows of equal id
-    reps = cut_lineage(table.where("live is not null and id is not null").join(classes, sig)
-                       .where("id = rep").drop("rep").dropDuplicates(["id"]))
+    reps = blocks.stored(live_table(table, n_blocks).join(classes, sig).where("id = rep").drop("rep").dropDuplicates(["id"]))
 
     # partners m of n share >= ceil(t (n + m) / (1 + t)) <= n - place + matches - 1
     hi = F.floor(F.lit(t_num + t_den) * (F.col("n") - F.col("place") + F.col("matches") - 1) / F.lit(t_num)) - F.col("n")
@@ -246,13 +242,21 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
                       & (F.col("y.n") * t_den >= F.col("x.n") * t_num)
                       & ((F.col("y.n") < F.col("x.n")) | (F.col("y.id") < F.col("x.id"))))
 
+    # only lists of two or more documents matter, and only their members' texts are fetched
+    lists = (probe.select("token", "class", "id").unionByName(index.select("token", "class", "id"))
+             .groupBy("token", "class").agg(F.min("id").alias("lo"), F.max("id").alias("up")).where("lo <> up")
+             .select("token", "class"))
+    probe, index = (blocks.stored(d.join(lists, ["token", "class"])) for d in (probe, index))
+    members = probe.select("id").unionByName(index.select("id")).distinct()
+    texts = blocks.stored(rows.join(members, "id", "left_semi").dropDuplicates(["id"]))
+
     # the list's member with the fewest rare shingles in front of this one is its centre
     centres = index.groupBy("token", "class").agg(F.min(F.struct("place", "id", "n", "hi", "matches")).alias("c"))
     centres = centres.select("token", "class", "c.*")
     both_ways = probe.alias("x").join(centres.alias("y"), ["token", "class"]).where(
-        "x.id <> y.id and y.n <= x.n and y.n <= x.hi and x.n <= y.hi and y.n * {} >= x.n * {}".format(t_den, t_num))
-    star = both_ways.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    first = cut_lineage(verified(star, reps.select("id", "shingles"), t_num, t_den))
+        f"x.id <> y.id and y.n <= x.n and y.n <= x.hi and x.n <= y.hi and y.n * {t_den} >= x.n * {t_num}")
+    star = blocks.stored(both_ways.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    first = blocks.stored(verified(star, texts, width, t_num, t_den))
     merged = components(first).select(F.col("node").alias("id"), "root")
 
     tagged = [d.join(merged, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root") for d in (probe, index)]
@@ -263,8 +267,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     met = sides(left, right).where("x.comp <> y.comp").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
         F.count("*").alias("met"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("met >= asked")
     rest = met.select("a", "b").join(star, ["a", "b"], "left_anti")
-    links = first.unionByName(verified(rest, reps.select("id", "shingles"), t_num, t_den))
-    roots = components(links)
+    roots = components(first.unionByName(verified(rest, texts, width, t_num, t_den)))
 
     label = classes.join(roots, classes["rep"] == roots["node"], "left").select(
         *sig, F.coalesce("root", "rep").alias("component"))
