@@ -10,6 +10,7 @@ the same frame by block, so Spark reuses the exchange.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -20,18 +21,18 @@ from pyspark.sql import functions as F
 
 from surveyspark.session import checkpoint_dir
 
-BLOCK_BYTES = 8 << 20  # text bytes of a block; raise it with the corpus (blocks x buckets rows are sent)
+BLOCK_BYTES = 8 << 20  # text bytes of a block
 
 SENT = "block bigint, bucket bigint, keys binary, more binary"
 FLAGS = "block bigint, bucket bigint, kind int, flags binary"
 
 
 def count_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> int:
-    """As many blocks as the text bytes need, and at least two per shuffle partition."""
-    spark = docs.sparkSession
+    """As many blocks, and as many buckets, as ``block_bytes`` per block ask for. Blocks times
+    buckets rows are sent; beyond 64 GB blocks grow with the root of the corpus, so that a row
+    always carries dozens of keys."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("bigint")).alias("n")).first()["n"] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * parts, -(-int(size) // block_bytes))
+    return max(1, -(-int(size) // max(block_bytes, math.isqrt(1024 * int(size)))))
 
 
 def stored(df: DataFrame) -> DataFrame:
