@@ -12,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a lookup table that may be shipped to every executor. Lookup rows here
-# are short (a word and a label, a code and a label): 2M rows stay well below 1 GB.
+# A lookup that is shipped to every executor holds at most this many rows and this many bytes
+# (measured on its rows as JSON, which is more than their binary form).
 DEFAULT_MAX_ROWS = 2_000_000
+MAX_BYTES = 64 << 20
 
 
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    found = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("bigint")).alias("bytes")).first()
+    return found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS, lut_rows_hint: bool = False) -> DataFrame:

@@ -26,7 +26,10 @@ TOOLS_INTRO = ("Given the following functions, please respond with a JSON for a
                "with its proper arguments that best answers the given prompt.\n\n"
                'Respond in the format {"name": function name, "parameters": dictionary of argument name '
                'and its value}.Do not use variables.\n\n')
-MESSAGE_TYPE = "array<struct<role:string,content:string>>"
+TOOLS_SYSTEM = ("You have access to the following functions. To call a function, please respond with JSON for a "
+                'function call.Respond in the format {"name": function name, "parameters": dictionary of argument name '
+                'and its value}.Do not use variables.\n\n')
+EOM, PYTHON_TAG, CODE_TOOL = "<|eom_id|>", "<|python_tag|>", "code_interpreter"
 
 
 def _c(c) -> Column:
@@ -95,59 +98,79 @@ def _json_object(m: Column) -> Column:
 
 
 def render_full(messages, add_generation_prompt: bool = False, date_string: str = DEFAULT_DATE,
-                tools: Sequence[dict] | None = None) -> Column:
+                tools: Sequence[dict] | None = None, builtin_tools: Sequence[str] | None = None,
+                tools_in_user_message: bool = True, calls: bool | None = None) -> Column:
     """The full chat template.
 
-    A leading system message is pulled into the system header; every other
-    message becomes a header block ended by the end tag. With ``tools`` the
-    system header announces the tool environment and the first remaining
-    message is wrapped with the tool list; an assistant message with exactly one
-    entry in ``tool_calls`` (``array<struct<name, arguments map<string,string>>>``)
-    renders as a JSON call; ``tool``/``ipython`` messages render as ipython blocks
-    with their content as a JSON string. More than one tool call yields null (see
-    ``template_error``).
+    A leading system message is pulled into the system header. ``tools`` are listed in front of
+    the first remaining message, or in the system header when ``tools_in_user_message`` is
+    false; ``builtin_tools`` are named in the header and called behind the python tag, and then
+    calls end with the message tag. ``tool``/``ipython`` messages render as ipython blocks with
+    their content as a JSON string, an assistant message with one entry in ``tool_calls``
+    (``array<struct<name, arguments map<string,string>>>``; ``calls`` says whether the messages
+    have that field, by default when tools are given) as a call. A conversation the template
+    cannot render yields null; ``template_error`` says why.
     """
     msgs = _c(messages)
-    has_sys = msgs[0]["role"] == "system"
-    system_message = F.when(has_sys, strip_ws(msgs[0]["content"])).otherwise(F.lit(""))
+    calls = bool(tools or builtin_tools) if calls is None else calls
+    listed = bool(tools) and tools_in_user_message
+    first = F.get(msgs, F.lit(0))
+    has_sys = F.coalesce(first["role"] == "system", F.lit(False))
+    system_message = F.when(has_sys, _text(first)).otherwise(F.lit(""))
     rest = F.when(has_sys, F.slice(msgs, 2, 1 << 30)).otherwise(msgs)
-    head = F.lit(BOS + f"{HDR_START}system{HDR_END}\n\n" + ("Environment: ipython\n" if tools else "")
-                 + CUTOFF_LINE + f"Today Date: {date_string}\n\n")
-    out = [head, system_message, F.lit(EOT)]
-    if tools:
-        tool_text = "".join(json.dumps(t, indent=4, ensure_ascii=False) + "\n\n" for t in tools)
-        first = strip_ws(rest[0]["content"])
-        out += [F.lit(f"{HDR_START}user{HDR_END}\n\n" + TOOLS_INTRO + tool_text), first, F.lit(EOT)]
+    head = BOS + f"{HDR_START}system{HDR_END}\n\n"
+    if tools or builtin_tools is not None:
+        head += "Environment: ipython\n"
+    if builtin_tools is not None:
+        head += "Tools: " + ", ".join(x for x in builtin_tools if x != CODE_TOOL) + "\n\n"
+    head += CUTOFF_LINE + f"Today Date: {date_string}\n\n"
+    tool_text = "".join(json.dumps(t, indent=4, ensure_ascii=False) + "\n\n" for t in tools or ())
+    if tools and not tools_in_user_message:
+        head += TOOLS_SYSTEM + tool_text
+    out = [F.lit(head), system_message, F.lit(EOT)]
+    if listed:
+        out += [F.lit(f"{HDR_START}user{HDR_END}\n\n" + TOOLS_INTRO + tool_text), _text(F.get(rest, F.lit(0))), F.lit(EOT)]
         rest = F.slice(rest, 2, 1 << 30)
+    end = F.lit(EOT if builtin_tools is None else EOM)
 
     def one(m):
-        plain = F.concat(F.lit(HDR_START), m["role"], F.lit(HDR_END + "\n\n"), strip_ws(m["content"]), F.lit(EOT))
-        if not tools:
+        block = F.concat(F.lit(HDR_START), m["role"], F.lit(HDR_END + "\n\n"), _text(m), F.lit(EOT))
+        answer = F.concat(F.lit(f"{HDR_START}ipython{HDR_END}\n\n"),
+                          _json_string(F.coalesce(m["content"], F.lit(""))), F.lit(EOT))
+        plain = F.when(m["role"].isin("tool", "ipython"), answer).otherwise(block)
+        if not calls:
             return plain
-        call = m["tool_calls"][0]
-        call_text = F.concat(F.lit(f"{HDR_START}assistant{HDR_END}\n\n" + '{"name": "'), call["name"],
-                             F.lit('", "parameters": '), _json_object(call["arguments"]), F.lit("}" + EOT))
-        tool_text = F.concat(F.lit(f"{HDR_START}ipython{HDR_END}\n\n"), _json_string(m["content"]), F.lit(EOT))
-        n_calls = F.coalesce(F.size(m["tool_calls"]), F.lit(-1))
-        return (F.when(m["role"].isin("tool", "ipython"), tool_text)
-                 .when(m["tool_calls"].isNull(), plain)
-                 .when(n_calls == 1, call_text))
-    body = F.array_join(F.transform(rest, one), "")
-    if tools:
-        bad = F.exists(rest, lambda m: m["tool_calls"].isNotNull() & (F.size(m["tool_calls"]) != 1)
-                       & ~m["role"].isin("tool", "ipython"))
-        body = F.when(~bad, body)
-    out.append(body)
+        call = F.get(m["tool_calls"], F.lit(0))
+        said = F.concat(F.lit('{"name": "'), call["name"], F.lit('", "parameters": '), _json_object(call["arguments"]), F.lit("}"))
+        if builtin_tools:
+            arguments = F.array_join(F.transform(F.map_entries(call["arguments"]), lambda e: F.concat(
+                e["key"], F.lit('="'), e["value"], F.lit('"'))), ", ")
+            said = F.when(call["name"].isin(*builtin_tools), F.concat(
+                F.lit(PYTHON_TAG), call["name"], F.lit(".call("), arguments, F.lit(")"))).otherwise(said)
+        return F.when(m["tool_calls"].isNull(), plain).otherwise(
+            F.concat(F.lit(f"{HDR_START}assistant{HDR_END}\n\n"), said, end))
+    out.append(F.array_join(F.transform(rest, one), ""))
     if add_generation_prompt:
         out.append(F.lit(f"{HDR_START}assistant{HDR_END}\n\n"))
-    return F.concat(*out)
+    return F.when(template_error(messages, listed, calls).isNull(), F.concat(*out))
 
 
-def template_error(messages) -> Column:
-    """Error text for conversations the tool template cannot render, else null."""
-    bad = F.exists(_c(messages), lambda m: m["tool_calls"].isNotNull() & (F.size(m["tool_calls"]) != 1)
-                   & ~m["role"].isin("tool", "ipython"))
-    return F.when(bad, F.lit("This model only supports single tool-calls at once!"))
+def _text(message: Column) -> Column:
+    return F.coalesce(strip_ws(message["content"]), F.lit(""))
+
+
+def template_error(messages, tools_listed: bool = True, calls: bool = True) -> Column:
+    """Error text for conversations the template cannot render, else null."""
+    msgs = _c(messages)
+    n = F.coalesce(F.size(msgs), F.lit(0))
+    lead = F.when(F.get(msgs, F.lit(0))["role"] == "system", 1).otherwise(0)
+    error = F.when(n < 1, F.lit("The conversation has no messages."))
+    if tools_listed:
+        error = error.when(n - lead < 1, F.lit("Cannot put tools in the first user message when there's no first user message!"))
+    if calls:
+        many = F.exists(msgs, lambda m: F.coalesce(m["tool_calls"].isNotNull() & (F.size(m["tool_calls"]) != 1), F.lit(False)))
+        error = error.when(many, F.lit("This model only supports single tool-calls at once!"))
+    return error
 
 
 def chat_dataset(df: DataFrame, key: str, prompt: str = "prompt", completion: str = "completion",

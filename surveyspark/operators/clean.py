@@ -12,10 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import lower_strip
 from ..session import cut_lineage
-from .broadcast import is_small
-
-# Distinct values of one column ranked in a single task; beyond, a range-partitioned ranking.
-MAX_LOCAL_CATEGORIES = 1_000_000
+from .broadcast import small_side
 
 _FLOATS = (T.DoubleType, T.FloatType)
 
@@ -115,36 +112,32 @@ def fill_defaults(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def category_codes(df: DataFrame, col: str, max_local: int = MAX_LOCAL_CATEGORIES) -> DataFrame:
+def category_codes(df: DataFrame, col: str) -> DataFrame:
     """``(_v, _code)``: 0-based rank of every distinct non-null value in sorted order.
 
-    Up to ``max_local`` distinct values (checked with a bounded count) are ranked
-    in one task. Beyond that the values are range-partitioned (a distributed
-    sort), the partitioning is fixed by a checkpoint into the shared folder, and
-    every partition is numbered from the counts of the partitions before it.
+    The distinct values are range-partitioned (a distributed sort), the partitioning is fixed
+    by a checkpoint into the shared folder, and every partition is numbered from the counts of
+    the partitions before it (one row per partition).
     """
     vals = df.select(F.col(_q(col)).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    if is_small(vals, max_local):
-        return vals.withColumn("_code", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("bigint"))
     ranged = cut_lineage(vals.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
     cnt = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy("_v")) - 1
-    return (ranged.join(F.broadcast(off), "_p")
-                  .select("_v", (F.col("_off") + local).cast("bigint").alias("_code")))
+    return ranged.join(F.broadcast(off), "_p").select("_v", (F.col("_off") + local).cast("bigint").alias("_code"))
 
 
-def encode_categories(df: DataFrame, cols: Iterable[str], suffix: str = "_code",
-                      max_local: int = MAX_LOCAL_CATEGORIES) -> DataFrame:
+def encode_categories(df: DataFrame, cols: Iterable[str], suffix: str = "_code") -> DataFrame:
     """Category codes in sorted order of the distinct values (0-based); null -> -1.
 
-    Per column the distinct values are ranked (``category_codes``) and joined back;
-    AQE broadcasts the code table when it is small.
+    Per column the distinct values are ranked (``category_codes``) and joined back: the code
+    table is broadcast after a check of its size, so rows are not shuffled onto a few values;
+    beyond it the join is by sort and merge, with hot values split at run time.
     """
     out = df
     for c in cols:
-        lut = category_codes(df, c, max_local)
+        lut = small_side(cut_lineage(category_codes(df, c)))
         out = (out.join(lut, out[_q(c)] == lut["_v"], "left")
                   .withColumn(c + suffix, F.coalesce(F.col("_code"), F.lit(-1).cast("bigint")))
                   .drop("_v", "_code"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
+from ..session import cut_lineage
+from .broadcast import small_side
 
 
 # Question types and how a plain (undotted) answer is rendered.
@@ -21,6 +23,7 @@ UNKNOWN_FORMAT = {  # type -> text used when a code has no label
     "Single Matrix": "(Unknown response {})",
     "Rating Matrix": "(Unknown response {})",
 }
+CODEBOOK_CHUNK = 4096  # codebook rows filled in one task
 MULTI_SELECT = "Multiple Select"
 OPEN_TEXT = "Open Text"
 RANKING = "Ranking"
@@ -55,11 +58,21 @@ def forward_fill(df: DataFrame, cols: Sequence[str], order: Sequence[str],
         wc = wc.partitionBy(*part)
     carry = last.select(*keys, *[F.last(F.col(f"_l_{c}"), ignorenulls=True).over(wc).alias(f"_c_{c}")
                                  for c in cols])
-    out = d.join(carry, keys, "left")
+    out = join_null_safe(d, carry, keys)
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) for c in cols})
     return out.drop("_bkt", *[f"_c_{c}" for c in cols])
 
 
+def join_null_safe(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of every row with the carry of its key; null keys are keys like any other."""
+    carry = carry.withColumnsRenamed({k: f"_k_{i}" for i, k in enumerate(keys)})
+    cond = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+        cond = same if cond is None else cond & same
+    return rows.join(carry, cond, "left").drop(*[f"_k_{i}" for i in range(len(keys))])
+
+
 def running_sums(df: DataFrame, cols: dict[str, Column], order: Sequence[str], partition: Sequence[str] = (),
                  bucket: Column | None = None) -> DataFrame:
     """Inclusive running sums ``{out: expression}`` in ``order`` within ``partition``.
@@ -85,22 +98,32 @@ def running_sums(df: DataFrame, cols: dict[str, Column], order: Sequence[str], p
     if part:
         wc = wc.partitionBy(*part)
     carry = tot.select(*keys, *[F.coalesce(F.sum(f"_t_{o}").over(wc), F.lit(0)).alias(f"_c_{o}") for o in cols])
-    out = d.join(carry, keys).withColumns({o: F.col(f"_r_{o}") + F.col(f"_c_{o}") for o in cols})
+    out = join_null_safe(d, carry, keys).withColumns({o: F.col(f"_r_{o}") + F.col(f"_c_{o}") for o in cols})
     return out.drop("_bkt", *[f"_{p}_{o}" for o in cols for p in ("x", "r", "c")])
 
 
+_NUMERIC = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def whole_number(c: Column) -> Column:
+    """The whole part of a number written as text; null for other text and beyond 64 bits."""
+    s = strip_ws(c.cast("string"))
+    n = F.when(s.rlike(_NUMERIC), s.try_cast("double"))
+    return F.when(F.abs(n) < 2.0 ** 63, n.try_cast("bigint"))
+
+
 def canonical_code(c: Column) -> Column:
     """Answer/option code as text: numbers lose their fraction (``1.0`` -> ``1``,
-    truncation like ``int()``), other text is only stripped."""
-    s = strip_ws(c.cast("string"))
-    num = s.try_cast("double")
-    as_int = F.when(num.isNotNull() & ~F.isnan(num), num.cast("bigint").cast("string"))
-    return F.coalesce(as_int, s)
+    truncation like ``int()``), other text is only stripped. A number too large for
+    64 bits stays text."""
+    return F.coalesce(whole_number(c).cast("string"), strip_ws(c.cast("string")))
 
 
 def fill_codebook(codebook: DataFrame) -> DataFrame:
-    """Forward fill question, type and name over the codebook row order."""
-    return forward_fill(codebook, ["question", "type", "name"], ["row_no"])
+    """Forward fill question, type and name over the codebook row order, in chunks of rows:
+    a codebook of any length is filled by many tasks."""
+    return forward_fill(codebook, ["question", "type", "name"], ["row_no"],
+                        bucket=F.floor(F.col("row_no") / CODEBOOK_CHUNK))
 
 
 def codebook_options(codebook: DataFrame, filled: bool = False) -> DataFrame:
@@ -126,18 +149,27 @@ def question_labels(codebook: DataFrame, filled: bool = False, last_label: bool
 
 
 def question_types(codebook: DataFrame, filled: bool = False) -> DataFrame:
-    """``(qid, qtype)``: first non-null type of the question."""
+    """``(qid, qtype)``: last non-null type of the question (the filled type of a block's first
+    rows may still be that of the question before)."""
     cb = codebook if filled else fill_codebook(codebook)
     return cb.groupBy(F.col("question").alias("qid")).agg(
-        F.min_by(F.col("type"), F.when(F.col("type").isNotNull(), F.col("row_no"))).alias("qtype"))
+        F.max_by(F.col("type"), F.when(F.col("type").isNotNull(), F.col("row_no"))).alias("qtype"))
 
 
 def answers_long(wide: DataFrame, key: str = "pid", prefix: str = "Q") -> DataFrame:
     """Wide answers -> ``(pid, pos, qid, value)`` for columns starting with ``prefix``;
     ``pos`` is the column position, null cells are dropped. Row-local (no shuffle)."""
     cols = [(i, c) for i, c in enumerate(wide.columns) if c.startswith(prefix) and c != key]
+    kinds = dict(wide.dtypes)
+
+    def text(c: str) -> Column:
+        cell = F.col(f"`{c}`")
+        if kinds[c] in ("double", "float"):  # a missing number is missing, not the text NaN
+            cell = F.when(~F.isnan(cell), cell)
+        return cell.cast("string")
+
     arr = F.array(*[F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(c).alias("qid"),
-                             F.col(f"`{c}`").cast("string").alias("value")) for i, c in cols])
+                             text(c).alias("value")) for i, c in cols])
     return (wide.select(F.col(key).alias("pid"), F.inline(arr))
                 .filter(F.col("value").isNotNull()))
 
@@ -147,22 +179,22 @@ def decode_answers(answers: DataFrame, codebook: DataFrame) -> DataFrame:
 
     ``answer`` is the option label for coded types (or the unknown-code text),
     the raw value for number/NPS/other, the quoted value for open text, and
-    ``Rank n`` / ``(invalid rank)`` for rankings. The lookups (question info and
-    options) are aggregations of the codebook: their size is measured when their
-    shuffle ends and AQE broadcasts them then (no extra job to count them first),
-    so the answers are not shuffled for them.
+    ``Rank n`` / ``(invalid rank)`` for rankings. The filled codebook is stored once; the
+    lookups (question info and options) are broadcast after a check of their rows and bytes,
+    so the answers are not shuffled onto a few question ids; beyond that size they are joined
+    by sort and merge, with skewed questions split at run time.
     """
-    cb = fill_codebook(codebook)
+    cb = cut_lineage(fill_codebook(codebook))
     types = question_types(cb, filled=True)
     labels = question_labels(cb, filled=True)
     opts = codebook_options(cb, filled=True)
     qinfo = types.join(labels, "qid", "full")
-    a = (answers.join(qinfo, "qid", "left")
+    a = (answers.join(small_side(cut_lineage(qinfo)), "qid", "left")
                 .withColumn("code", canonical_code(F.col("value")))
-                .join(opts.withColumnRenamed("label", "opt_label"), ["qid", "code"], "left"))
+                .join(small_side(cut_lineage(opts.withColumnRenamed("label", "opt_label"))), ["qid", "code"], "left"))
     qtype = F.coalesce(F.col("qtype"), F.lit(""))
     v = F.col("value")
-    num = v.try_cast("double")
+    num = whole_number(v)
     unknown = None
     for ty, fmt in UNKNOWN_FORMAT.items():
         cond = qtype == ty
@@ -174,7 +206,7 @@ def decode_answers(answers: DataFrame, codebook: DataFrame) -> DataFrame:
     plain = (F.when(qtype.isin(*LABELLED_TYPES), F.coalesce(coded, unknown))
               .when(qtype.isin(*RAW_TYPES), v)
               .when(qtype == OPEN_TEXT, F.concat(F.lit('"'), v, F.lit('"')))
-              .when(qtype == RANKING, F.when(num.isNotNull(), F.concat(F.lit("Rank "), num.cast("bigint").cast("string")))
+              .when(qtype == RANKING, F.when(num.isNotNull(), F.concat(F.lit("Rank "), num.cast("string")))
                                        .otherwise(F.lit("(invalid rank)")))
               .otherwise(v))
     sub = F.when(qtype.isin(*LABELLED_TYPES), F.coalesce(coded, dotted_unknown)).otherwise(v)

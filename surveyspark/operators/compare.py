@@ -5,14 +5,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import safe_name
-from .broadcast import maybe_broadcast
+from ..session import cut_lineage
+from .broadcast import maybe_broadcast, small_side
+from .codebook import join_null_safe, running_sums
 
 
 def union_runs(runs: Mapping[str, DataFrame], run_col: str = "model") -> DataFrame:
@@ -34,7 +38,7 @@ def welch_ttest(df: DataFrame, run_col: str, value: str, run_a: str, run_b: str)
 
     One global aggregate with map-side partial aggregation (count, mean, sample
     variance per run); the result is one row. t and df are null when a run has
-    fewer than two values.
+    fewer than two values, or when neither run varies.
     """
     va = F.when(F.col(run_col) == run_a, F.col(value))
     vb = F.when(F.col(run_col) == run_b, F.col(value))
@@ -42,11 +46,11 @@ def welch_ttest(df: DataFrame, run_col: str, value: str, run_a: str, run_b: str)
         F.count(va).cast("bigint").alias("n_a"), F.avg(va).alias("mean_a"), F.var_samp(va).alias("var_a"),
         F.count(vb).cast("bigint").alias("n_b"), F.avg(vb).alias("mean_b"), F.var_samp(vb).alias("var_b"),
     )
-    a = F.col("var_a") / F.col("n_a")
-    b = F.col("var_b") / F.col("n_b")
+    a = F.try_divide(F.col("var_a"), F.col("n_a"))
+    b = F.try_divide(F.col("var_b"), F.col("n_b"))
     ok = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
-    t = F.when(ok, (F.col("mean_a") - F.col("mean_b")) / F.sqrt(a + b))
-    dof = F.when(ok, (a + b) * (a + b) / (a * a / (F.col("n_a") - 1) + b * b / (F.col("n_b") - 1)))
+    t = F.when(ok, F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(a + b)))
+    dof = F.when(ok, F.try_divide((a + b) * (a + b), a * a / (F.col("n_a") - 1) + b * b / (F.col("n_b") - 1)))
     return s.select(F.lit(run_a).alias("run_a"), F.lit(run_b).alias("run_b"), "n_a", "n_b",
                     "mean_a", "mean_b", "var_a", "var_b", t.alias("t_stat"), dof.alias("dof"))
 
@@ -116,86 +120,71 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequ
     """Exact quantiles with linear interpolation (as ``percentile``) without holding a
     group's values in one task.
 
-    1. one grouped pass: count and ``percentile_approx`` at ``p -/+ margin`` (a
-       mergeable sketch) gives a narrow value band around every target rank;
-    2. one pass counts the values below each band and, inside the bands, the
-       *distinct* values with their multiplicity (a hot value is one row);
-    3. running counts over the small in-band tables give the exact order
-       statistics at ranks floor/ceil((n - 1) * p).
-    Groups with fewer values than ``accuracy`` (bounded by it) take the exact
-    ``percentile`` aggregate directly; a band that misses its rank (not expected
-    with the margin used, 4 ranks per ``n / accuracy``) is flagged and that group
-    alone is recomputed the same way.
+    1. one grouped pass: count and ``percentile_approx`` at ``p -/+ margin`` (a mergeable
+       sketch) gives a narrow band of values around every wanted rank;
+    2. one pass counts the values below the band, the *distinct* values inside it (a hot value
+       is one row) and the values above it, with the largest value below and the smallest above;
+    3. running counts over those rows, cut into pieces of the band, give the values at ranks
+       floor/ceil((n - 1) * p). The margin is four times the sketch's error; where the sketch is
+       exact (small groups) the wanted ranks are in the band or next to it.
     Output: ``(group..., n, q0, q1, ...)``.
     """
     group = list(group)
     probs = [float(p) for p in probs]
     m = 4.0 / accuracy
-    d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
+    d = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
     edges = [x for p in probs for x in (max(p - m, 0.0), min(p + m, 1.0))]
-    st = d.groupBy(*group).agg(F.count(F.lit(1)).cast("bigint").alias("_n"),
-                               F.percentile_approx("_v", edges, accuracy).alias("_e"))
-    # groups smaller than the sketch accuracy are exact and bounded as they are
-    j = d.join(st.filter(F.col("_n") >= accuracy), group)
-    k = len(probs)
-    lo_b = [F.col("_e")[2 * i] for i in range(k)]
-    hi_b = [F.col("_e")[2 * i + 1] for i in range(k)]
-    below = j.groupBy(*group).agg(*[F.count(F.when(F.col("_v") < lo_b[i], 1)).alias(f"_lt{i}") for i in range(k)])
-    inb = j.select(*group, "_v", F.explode(F.array(*[
-        F.when((F.col("_v") >= lo_b[i]) & (F.col("_v") <= hi_b[i]), F.lit(i)) for i in range(k)])).alias("_i"))
-    cnt = inb.filter(F.col("_i").isNotNull()).groupBy(*group, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cnt = cnt.withColumn("_cum", F.sum("_c").over(run)).join(below, group).join(st.select(*group, "_n"), group)
-    aggs, checks = [], []
-    for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(p)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        end = F.col(f"_lt{i}") + F.col("_cum") - 1          # rank of the last copy of this value
-        mine = F.col("_i") == i
-        aggs += [F.min(F.when(mine & (end >= lo), F.col("_v"))).alias(f"_xl{i}"),
-                 F.min(F.when(mine & (end >= hi), F.col("_v"))).alias(f"_xh{i}"),
-                 F.first(pos - lo).alias(f"_f{i}"),
-                 F.max(F.when(mine, end)).alias(f"_last{i}"), F.first(F.col(f"_lt{i}")).alias(f"_b{i}"),
-                 F.first(lo).alias(f"_lo{i}"), F.first(hi).alias(f"_hi{i}")]
-    r = cnt.groupBy(*group).agg(F.first("_n").alias("n"), *aggs)
-    for i in range(k):
-        checks.append((F.col(f"_b{i}") <= F.col(f"_lo{i}")) & (F.col(f"_last{i}") >= F.col(f"_hi{i}")))
-    ok = checks[0]
-    for c in checks[1:]:
-        ok = ok & c
-    qs = [(F.col(f"_xl{i}") + F.col(f"_f{i}") * (F.col(f"_xh{i}") - F.col(f"_xl{i}"))).alias(f"q{i}")
-          for i in range(k)]
-    r = r.select(*group, "n", *qs, F.coalesce(ok, F.lit(False)).alias("_ok"))
-    good = r.filter("_ok").drop("_ok")
-    missed = r.filter(~F.col("_ok")).select(*group).unionByName(
-        st.filter(F.col("_n") < accuracy).select(*group))
-    redo = d.join(missed, group, "left_semi").groupBy(*group).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"), F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    redo = redo.select(*group, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(k)])
-    return good.unionByName(redo)
+    st = cut_lineage(d.groupBy(*group).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                           F.percentile_approx("_v", edges, accuracy).alias("_e")))
+    keys = st.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], "_e")
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)])
+    bands = d.join(small_side(keys), same).select(*group, "_v", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(len(probs) - 1)),
+        lambda i: F.struct(F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")))).alias("_i", "_b"))
+    v, lo, hi = F.col("_v"), F.col("_b.lo"), F.col("_b.hi")
+    zone = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
+    piece = F.when(v < lo, -1).when(v > hi, 65).when(hi > lo, F.floor((v - lo) * 64 / (hi - lo))).otherwise(0)
+    rows = (bands.withColumn("_zone", zone).withColumn("_piece", piece).withColumn("_key", F.when(F.col("_zone") == 0, v))
+            .groupBy(*group, "_i", "_zone", "_piece", "_key")
+            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    rows = running_sums(rows, {"_cum": F.col("_c")}, ["_zone", "_key"], [*group, "_i"], bucket=F.col("_piece"))
+    rows = join_null_safe(rows, st.drop("_e"), group)
+    at = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
+    known = F.when(F.col("_zone") < 0, F.col("_hi")).otherwise(F.col("_lo"))
+    last, start = F.col("_cum") - 1, F.col("_cum") - F.col("_c")
+    picks = []
+    for name, rank in (("_low", F.floor(at)), ("_high", F.ceil(at))):
+        holds = (start <= rank) & (last >= rank)
+        sure = F.when(F.col("_zone") < 0, rank == last).when(F.col("_zone") > 0, rank == start).otherwise(F.lit(True))
+        picks.append(F.max(F.when(holds, F.when(sure, known).otherwise(
+            F.raise_error(F.lit("a wanted rank lies outside its band")).cast("double")))).alias(name))
+    q = rows.groupBy(*group, "_i").agg(F.first("n").alias("n"), F.first(at - F.floor(at)).alias("_f"), *picks)
+    q = q.withColumn("_q", F.col("_low") + F.col("_f") * (F.col("_high") - F.col("_low")))
+    return q.groupBy(*group).agg(F.first("n").alias("n"), *[
+        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))])
 
 
 def box_summary(df: DataFrame, run_col: str, value: str, accuracy: int = 10_000) -> DataFrame:
     """Box-plot numbers per run: quartiles (linear interpolation), 1.5 IQR whiskers
-    at the most extreme values inside the fences, outlier count.
+    at the most extreme values inside the fences, outlier count. Runs without any value are
+    left out.
 
     Quartiles are exact but bounded per task (``exact_quantiles``); the fences
-    (one row per run) are joined back for one conditional aggregate.
+    (one row per run) are joined back for one conditional aggregate: three passes in all.
     """
     q = exact_quantiles(df, [run_col], value, [0.25, 0.5, 0.75], accuracy)
     q = q.select(run_col, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    lo = F.col("q1") - 1.5 * F.col("iqr")
-    hi = F.col("q3") + 1.5 * F.col("iqr")
-    v = F.col(value)
-    inside = (v >= lo) & (v <= hi)
-    j = df.select(run_col, value).join(q, run_col)
-    w = j.groupBy(run_col).agg(
+    q = cut_lineage(q.withColumn("iqr", F.col("q3") - F.col("q1")))
+    fences = q.select(F.col(run_col).alias("_run"), (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"),
+                      (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
+    v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v), v)
+    inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
+    w = df.join(small_side(fences), F.col(run_col).eqNullSafe(F.col("_run"))).groupBy("_run").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count(F.when(v.isNotNull() & ~inside, v)).cast("bigint").alias("n_outliers"))
-    return q.join(w, run_col)
+    return q.join(small_side(w), F.col(run_col).eqNullSafe(F.col("_run"))).drop("_run")
 
 
 def alias_names(df: DataFrame, name: str, aliases: DataFrame, out: str = "alias",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_prompt
+from ..session import cut_lineage
 
 # The messages of an explanation request.
 SYSTEM_MESSAGE = ("You are a helpful assistant that explains how different features influence "
@@ -49,22 +50,15 @@ def explanation_request(df: DataFrame, shap_text: str = "shap_text", style: str
     return df.withColumn(out, req)
 
 
-def template_generator(prompts: pd.Series) -> pd.Series:
-    """Deterministic stand-in generator: echoes the prompt (as causal models do)
-    and answers with the feature list rephrased."""
-    body = prompts.str.extract(r"features are: (.*)\.\n\nPlease", expand=False).fillna("")
-    return prompts + "\nThe prediction is mostly driven by " + body + "."
-
-
-def batch_generate(df: DataFrame, prompt: str = "request", fn: Callable[[pd.Series], pd.Series] | None = None,
+def batch_generate(df: DataFrame, fn: Callable[[pd.Series], pd.Series], prompt: str = "request",
                    out: str = "llm_text", echo: bool = True) -> DataFrame:
     """Run ``fn`` (a batch of prompt texts -> generated texts) over Arrow batches in
     every partition; with ``echo`` the echoed prompt is removed from the output.
 
     ``fn`` is the caller's model client; it runs where the data is, in parallel
-    per partition. The default is ``template_generator``.
+    per partition. A model need not answer twice alike, so the answers are stored once
+    (shared checkpoint folder) and everything later reads the stored ones.
     """
-    fn = fn or template_generator
     schema = T.StructType(df.schema.fields + [T.StructField(out + "_raw", T.StringType())])
 
     def run(batches):
@@ -72,6 +66,6 @@ def batch_generate(df: DataFrame, prompt: str = "request", fn: Callable[[pd.Seri
             pdf[out + "_raw"] = fn(pdf[prompt].astype(str)).astype(object).values if len(pdf) else []
             yield pdf
 
-    g = df.mapInPandas(run, schema)
+    g = cut_lineage(df.mapInPandas(run, schema))
     text = strip_prompt(F.col(out + "_raw"), F.col(prompt)) if echo else F.col(out + "_raw")
     return g.withColumn(out, text).drop(out + "_raw")

@@ -91,31 +91,18 @@ def keyword_coverage(df: DataFrame, features_with_synonyms: str, text: str,
 
 def features_with_synonyms(df: DataFrame, features: str, synonyms: DataFrame, keys: Sequence[str],
                            word: str = "word", synonym: str = "synonym", include_self: bool = False,
-                           out: str = "features_with_synonyms", max_lookup: int = 200_000,
-                           domain: DataFrame | None = None) -> DataFrame:
+                           out: str = "features_with_synonyms") -> DataFrame:
     """Attach ``array<struct<feature, synonyms>>`` for an ``array<string>`` of features.
 
-    The lookup is built on the distinct feature names (bounded by the model's
-    feature set). When it has at most ``max_lookup`` entries it is read back once
-    and applied as a literal map (row-local, no shuffle); otherwise the features
-    are exploded, joined and regrouped by ``keys``. ``domain`` (one column of
-    feature names) lets the caller build the lookup without evaluating ``df``.
+    The features are exploded, joined with the lookup of their distinct names and put back
+    together per ``keys``, which must identify a row. Rows without features get an empty array;
+    a feature without an entry falls back to its own lower-cased name.
     """
-    if domain is None:
-        words = df.select(F.explode(F.col(features)).alias("_f")).distinct()
-    else:  # the feature names, known before an expensive upstream step
-        words = domain.select(F.col(domain.columns[0]).alias("_f")).distinct()
-    lut = synonym_expand(words, "_f", synonyms, word, synonym, include_self=include_self, out="_s")
-    rows = lut.limit(max_lookup + 1).collect()
-    if len(rows) <= max_lookup:
-        m = F.create_map(*[x for r in rows for x in (F.lit(r["_f"]), F.array(*[F.lit(s) for s in r["_s"]]))]) \
-            if rows else F.create_map().cast("map<string,array<string>>")
-        fs = F.transform(F.col(features), lambda f: F.struct(
-            f.alias("feature"), F.coalesce(F.try_element_at(m, f), F.array(F.lower(f))).alias("synonyms")))
-        return df.withColumn(out, fs)
-    ex = df.select(*keys, F.posexplode(F.col(features)).alias("_p", "_f"))
-    j = ex.join(lut, "_f", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("_p"), F.struct(F.col("_f").alias("feature"), F.col("_s").alias("synonyms")).alias("e"))))
-        .alias("_l"))
+    ex = df.select(*keys, F.posexplode_outer(F.col(features)).alias("_p", "_f"))
+    lut = synonym_expand(ex.select("_f").filter(F.col("_f").isNotNull()).distinct(), "_f", synonyms, word, synonym,
+                         include_self=include_self, out="_s")
+    entry = F.struct("_p", F.struct(F.col("_f").alias("feature"), F.col("_s").alias("synonyms")).alias("e"))
+    j = ex.join(lut, "_f", "left").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_f").isNotNull(), entry))).alias("_l"))
     j = j.select(*keys, F.transform("_l", lambda x: x["e"]).alias(out))
     return df.join(j, list(keys), "left")

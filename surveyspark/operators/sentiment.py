@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -11,28 +13,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_PATTERN, tokens
 from ..session import cut_lineage
-from .broadcast import is_small
-
-MAX_LEXICON = 500_000
+from .broadcast import small_side
 
 
-def sentiment_lexicon(df: DataFrame, text: str, lexicon: DataFrame, word: str = "word", score: str = "score",
-                      out: str = "sentiment") -> DataFrame:
+def sentiment_lexicon(df: DataFrame, text: str, lexicon: DataFrame, keys: Sequence[str], word: str = "word",
+                      score: str = "score", out: str = "sentiment") -> DataFrame:
     """``positive`` / ``negative`` / ``neutral`` from the summed lexicon scores of the
-    text's tokens (missing text counts as empty).
+    text's tokens (missing text counts as empty). ``keys`` identify a row.
 
-    The lexicon (size-checked) is applied as a literal map inside one
-    ``aggregate`` over the token array: row-local, no explode, no shuffle.
+    The tokens of a row are counted first (map-side), then joined with the lexicon: by
+    broadcast after a check of its size, else by sort and merge with hot words split.
     """
-    if not is_small(lexicon, MAX_LEXICON):
-        raise ValueError("lexicon too large to apply row-locally")
-    rows = lexicon.groupBy(F.lower(F.col(word)).alias("w")).agg(F.sum(score).cast("double").alias("s")).collect()
-    m = F.create_map(*[x for r in rows for x in (F.lit(r["w"]), F.lit(r["s"]))]) if rows else \
-        F.create_map().cast("map<string,double>")
-    total = F.aggregate(tokens(F.col(text)), F.lit(0.0),
-                        lambda acc, t: acc + F.coalesce(F.try_element_at(m, t), F.lit(0.0)))
-    label = F.when(total > 0, "positive").when(total < 0, "negative").otherwise("neutral")
-    return df.withColumn(out + "_score", total).withColumn(out, label)
+    lex = lexicon.groupBy(F.lower(F.col(word)).alias("_w")).agg(F.sum(score).cast("double").alias("_x"))
+    toks = df.select(*keys, F.explode(tokens(F.col(text))).alias("_w")).groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    total = toks.join(small_side(cut_lineage(lex)), "_w").groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_n")).alias("_total"))
+    scored = df.join(total, list(keys), "left").withColumn(out + "_score", F.coalesce("_total", F.lit(0.0))).drop("_total")
+    s = F.col(out + "_score")
+    return scored.withColumn(out, F.when(s > 0, "positive").when(s < 0, "negative").otherwise("neutral"))
 
 
 def fit_sentiment(train: DataFrame, text: str, label: str, num_features: int = 1 << 18, seed: int = 42):

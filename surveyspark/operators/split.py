@@ -1,14 +1,14 @@
 """Reproducible exact-size splits (W5, W6) without a global sort.
 
-Rows are ordered by ``md5(seed|key)`` (then key). The first ``floor(frac * n)``
-rows of that order (per stratum) are ``train``, the rest ``validation``. The
-same seed and keys give the same split on any cluster and partitioning.
-
-Plan: the hash prefix (4 hex digits, 65,536 buckets) buckets the rows; a tiny
-per-(stratum, bucket) count table gives every bucket's offset; rows in buckets
-wholly before / after the cut are labelled row-locally. Only the one boundary
-bucket per stratum (about n / 65,536 rows) is ranked. No task sees more than a
-bucket, and the bulk of the data is never shuffled.
+Rows are ordered by ``md5(seed|key)``. The first ``floor(frac * n)`` rows of that order (per
+stratum) are ``train``, the rest ``validation``. The same seed and keys give the same split on
+any cluster and partitioning. Every row is kept: a null key comes first in the order, a null
+stratum is a stratum of its own. Rows of equal key fall on the same side.
+
+Plan: one pass counts the rows per (stratum, 4 hex digits of the hash); the bucket that holds
+the last training row is found on that small table and only its rows (about n / 65,536) are
+ranked to find the last training hash; every row is then labelled by one comparison against its
+stratum's hash. The data itself is never shuffled while the strata fit a broadcast.
 """
 
 from __future__ import annotations
@@ -18,37 +18,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .broadcast import small_side
+
 TRAIN, VALIDATION = "train", "validation"
 PREFIX_HEX = 4
 
 
 def split_order_key(key, seed: int):
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
+    return F.coalesce(F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string"))), F.lit(""))
 
 
 def _split(df: DataFrame, key: str, frac: float, seed: int, strata: Sequence[str], out: str) -> DataFrame:
-    strata = list(strata)
     d = df.withColumn("_h", split_order_key(key, seed)).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
-    cnt = d.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    wcum = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*strata) if strata else Window.partitionBy()
-    if strata:
-        wcum = wcum.partitionBy(*strata)
-    cnt = (cnt.withColumn("_before", F.coalesce(F.sum("_c").over(wcum), F.lit(0)))
-              .withColumn("_k", F.floor(F.lit(float(frac)) * F.sum("_c").over(wall))))
-    j = d.join(cnt, strata + ["_b"])
-    wholly_train = F.col("_before") + F.col("_c") <= F.col("_k")
-    wholly_val = F.col("_before") >= F.col("_k")
-    bulk = j.filter(wholly_train | wholly_val).withColumn(
-        out, F.when(wholly_train, F.lit(TRAIN)).otherwise(F.lit(VALIDATION)))
-    wr = Window.partitionBy(*strata, "_b").orderBy("_h", key)
-    edge = (j.filter(~(wholly_train | wholly_val))
-             .withColumn("_r", F.row_number().over(wr))
-             .withColumn(out, F.when(F.col("_before") + F.col("_r") <= F.col("_k"), F.lit(TRAIN))
-                         .otherwise(F.lit(VALIDATION)))
-             .drop("_r"))
-    return bulk.unionByName(edge).drop("_h", "_b", "_c", "_before", "_k")
+    d = d.withColumn("_s", F.struct(*[F.col(s) for s in strata]) if strata else F.lit(0))
+    stratum = Window.partitionBy("_s")
+    before = stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = (d.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
+           .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+           .withColumn("_k", F.floor(F.lit(float(frac)) * F.sum("_c").over(stratum)))
+           .filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
+           .select(F.col("_s").alias("_cs"), F.col("_b").alias("_cb"), (F.col("_k") - F.col("_before")).alias("_nth")))
+    # one row per stratum
+    cut = cut_lineage(cut)
+    edge = d.select("_s", "_b", "_h").join(small_side(cut), F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_b") == F.col("_cb")))
+    nth = Window.partitionBy("_s").orderBy("_h")
+    last = (edge.withColumn("_r", F.row_number().over(nth)).filter(F.col("_r") == F.col("_nth"))
+            .select(F.col("_s").alias("_ls"), F.col("_h").alias("_last")))
+    last = cut_lineage(last)
+    train = F.col("_last").isNotNull() & (F.col("_h") <= F.col("_last"))
+    return (d.join(small_side(last), F.col("_s").eqNullSafe(F.col("_ls")), "left")
+            .withColumn(out, F.when(train, F.lit(TRAIN)).otherwise(F.lit(VALIDATION)))
+            .drop("_h", "_b", "_s", "_ls", "_last"))
 
 
 def split_holdout(df: DataFrame, key: str, frac: float = 0.9, seed: int = 42, out: str = "split") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .broadcast import is_small
+from ..session import cut_lineage
+from .broadcast import small_side
 
 # The rules applied before fuzzy matching, in order
 # (substring of the lower-cased text -> category); a missing value becomes
@@ -19,10 +20,6 @@ DEFAULT_RULES: tuple[tuple[str, str], ...] = (
     ("a0k", "aok"),
 )
 
-# Largest dictionary embedded as a literal array into the scoring expression.
-MAX_DICTIONARY_TERMS = 20_000
-
-
 def ratio_score(a: Column, b: Column, cutoff: float | None = None) -> Column:
     """Normalised Levenshtein similarity ``100 * (1 - lev / max(len))`` (100 for two
     empty strings). With ``cutoff`` the banded distance is used and scores below
@@ -37,53 +34,71 @@ def ratio_score(a: Column, b: Column, cutoff: float | None = None) -> Column:
     return F.when(m == 0, F.lit(100.0)).when(d < 0, F.lit(0.0)).otherwise(s)
 
 
-def _dictionary_terms(dictionary: DataFrame, pos: str, term: str) -> list[tuple[int, str]]:
-    """Distinct terms with their first position (bounded, size-checked collect)."""
-    if not is_small(dictionary, MAX_DICTIONARY_TERMS):
-        raise ValueError(f"dictionary above {MAX_DICTIONARY_TERMS} terms: block it before fuzzy matching")
-    rows = (dictionary.groupBy(F.col(term).alias("term")).agg(F.min(pos).alias("pos"))
-            .orderBy("pos").collect())
-    return [(int(r["pos"]), r["term"]) for r in rows]
+def _edits(longest: Column, cutoff: float) -> Column:
+    """Edits that a score of at least ``cutoff`` allows when the longer text has this length."""
+    return F.floor(F.lit(1.0 - cutoff / 100.0 + 1e-9) * longest).cast("int")
 
 
-def best_match(text: Column, terms: Sequence[tuple[int, str]], cutoff: float) -> Column:
-    """Best dictionary term with score >= cutoff, ties to the earliest term; else null.
-    Row-local: the dictionary is a literal array scored with ``transform``/``array_max``."""
-    arr = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(t).alias("term")) for p, t in terms])
-    best = F.array_max(F.transform(arr, lambda d: F.struct(
-        ratio_score(text, d["term"], cutoff).alias("score"), (-d["pos"]).alias("npos"), d["term"].alias("term"))))
-    return F.when(best["score"] >= F.lit(float(cutoff)), best["term"])
+def best_matches(values: DataFrame, terms: DataFrame, cutoff: float) -> DataFrame:
+    """``(_low, _best)``: the best term of every text that has one scoring at least ``cutoff``
+    (ties to the smallest ``pos``); ``values`` has ``_low``, ``terms`` has ``term`` and ``pos``.
+
+    Blocked by pigeonhole: d edits leave one of any d + 1 pieces of the term untouched, at a
+    place at most d away. A term is cut into pieces for the most edits its length allows, a text
+    looks up the pieces at the places they may stand in, for every term length within reach;
+    pairs that meet are scored once. No text meets all terms, and no list is collected.
+    """
+    share = 1.0 - cutoff / 100.0
+    reach = lambda n: _edits(F.floor(n / F.lit(1.0 - share + 1e-9)), cutoff)  # noqa: E731  most edits for a term of length n
+    cut = lambda n, k, i: F.floor(i * n / k).cast("int")
+    t = terms.withColumn("len", F.length("term")).withColumn("k", F.greatest(F.least(reach(F.col("len")) + 1, F.col("len")), F.lit(1)))
+    t = t.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    a, z = cut(F.col("len"), F.col("k"), F.col("piece")), cut(F.col("len"), F.col("k"), F.col("piece") + 1)
+    t = t.select("term", "pos", "len", "piece", F.substr("term", a + 1, z - a).alias("part"))
+
+    v = values.select("_low").withColumn("n", F.length("_low"))
+    lengths = F.sequence(F.ceil(F.col("n") * F.lit(1.0 - share - 1e-9)).cast("int"),
+                         F.floor(F.col("n") / F.lit(1.0 - share + 1e-9)).cast("int"))
+    v = v.withColumn("len", F.explode(lengths))
+    v = v.withColumn("k", F.greatest(F.least(reach(F.col("len")) + 1, F.col("len")), F.lit(1)))
+    v = v.withColumn("d", _edits(F.greatest("n", "len"), cutoff)).filter(F.abs(F.col("n") - F.col("len")) <= F.col("d"))
+    v = v.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    v = v.withColumn("a", cut(F.col("len"), F.col("k"), F.col("piece")))
+    v = v.withColumn("w", cut(F.col("len"), F.col("k"), F.col("piece") + 1) - F.col("a"))
+    first, last = F.greatest(F.lit(0), F.col("a") - F.col("d")), F.least(F.col("n") - F.col("w"), F.col("a") + F.col("d"))
+    v = v.withColumn("first", first).withColumn("last", last).filter("first <= last")
+    v = v.withColumn("at", F.explode(F.sequence(F.col("first"), F.col("last"))))
+    v = v.select("_low", "len", "piece", F.substr("_low", F.col("at") + 1, F.col("w")).alias("part")).distinct()
+
+    pairs = v.join(t, ["len", "piece", "part"]).select("_low", "term", "pos").distinct()
+    scored = pairs.withColumn("score", ratio_score(F.col("_low"), F.col("term"), cutoff)).filter(F.col("score") >= cutoff)
+    return scored.groupBy("_low").agg(F.max(F.struct("score", (-F.col("pos")).alias("npos"), "term")).alias("b")).select(
+        "_low", F.col("b.term").alias("_best"))
 
 
 def standardize_categories(df: DataFrame, col: str, dictionary: DataFrame, cutoff: float = 70.0,
                            out: str | None = None, pos: str = "pos", term: str = "term",
-                           rules: Sequence[tuple[str, str]] = DEFAULT_RULES,
-                           scorer: str = "ratio") -> DataFrame:
+                           rules: Sequence[tuple[str, str]] = DEFAULT_RULES) -> DataFrame:
     """null -> 'keine angabe'; lower-case; substring rules; else the best dictionary
     term scoring at least ``cutoff``; else the lower-cased text.
 
-    Cost is distinct values x dictionary, never rows x dictionary: the distinct
-    values are scored once (row-local against the literal dictionary) and joined
-    back (AQE picks broadcast or a skew-split sort-merge join).
+    The distinct values are matched once, blocked (``best_matches``), and joined back; missing
+    values take no part in the joins, and a value or dictionary table within the broadcast bound
+    is broadcast after a check of its size.
     """
     out = out or col
-    terms = _dictionary_terms(dictionary, pos, term)
-    vals = df.select(F.col(col).alias("_raw")).filter(F.col("_raw").isNotNull()).distinct()
-    low = F.lower(F.col("_raw"))
-    if scorer == "ratio":
-        fuzzy = best_match(low, terms, cutoff)
-    elif scorer == "wratio":
-        from .fuzzy import wratio_best_match
-        fuzzy = wratio_best_match(low, terms, cutoff)
-    else:
-        raise ValueError(scorer)
-    std = None
+    terms = (dictionary.filter(F.col(term).isNotNull()).groupBy(F.col(term).alias("term")).agg(F.min(pos).alias("pos")))
+    vals = df.select(F.col(col).alias("_raw")).filter(F.col("_raw").isNotNull()).distinct().withColumn("_low", F.lower("_raw"))
+    rule = None
     for needle, cat in rules:
-        std = (F.when(F.instr(low, needle) > 0, F.lit(cat)) if std is None
-               else std.when(F.instr(low, needle) > 0, F.lit(cat)))
-    fallback = F.coalesce(fuzzy, low)
-    std = fallback if std is None else std.otherwise(fallback)
-    lut = vals.select("_raw", std.alias("_std"))
-    j = df.join(lut, df[col] == lut["_raw"], "left")
+        hit = F.instr(F.col("_low"), needle) > 0
+        rule = F.when(hit, F.lit(cat)) if rule is None else rule.when(hit, F.lit(cat))
+    vals = vals.withColumn("_rule", rule if rule is not None else F.lit(None).cast("string"))
+    best = best_matches(vals.filter(F.col("_rule").isNull()).select("_low").distinct(), terms, float(cutoff))
+    lut = vals.join(best, "_low", "left").select("_raw", F.coalesce("_rule", "_best", "_low").alias("_std"))
+    lut = small_side(cut_lineage(lut))
+    # a missing value hashes to its own row number, not to one task
+    key = F.coalesce(F.col(col), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+    j = df.withColumn("_key", key).join(lut, F.col("_key") == F.col("_raw"), "left")
     return j.withColumn(out, F.when(F.col(col).isNull(), F.lit(MISSING_CATEGORY)).otherwise(F.col("_std"))) \
-            .drop("_raw", "_std")
+            .drop("_key", "_raw", "_std")

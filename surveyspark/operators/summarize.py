@@ -3,19 +3,21 @@ sectioned prompt (T2) and prompt/completion pairs (D1, P11)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from .broadcast import maybe_broadcast
-from .codebook import MULTI_SELECT, answers_long, decode_answers, fill_codebook, question_labels
+from ..session import cut_lineage
+from .broadcast import small_side
+from .codebook import MULTI_SELECT, answers_long, decode_answers, fill_codebook, question_labels, whole_number
 
 # Frame of the participant summary.
 SUMMARY_HEAD = "Participant Summary:"
 SUMMARY_TAIL = "Answer summary complete."
-# Values treated as "no answer" by field extraction (compared lower-cased).
+# Texts treated as "no answer" by field extraction (compared lower-cased).
 EMPTY_VALUES = ("keine angabe", "weiß ich nicht", "nan", "")
 
 
@@ -37,12 +39,10 @@ def respondent_summary(wide: DataFrame, codebook: DataFrame, key: str = "pid",
     dec = decode_answers(answers_long(wide, key), codebook)
     labels = question_labels(fill_codebook(codebook), filled=True)
     main = F.substring_index(F.col("qid"), ".", 1)
-    dec = dec.withColumn("main", main).join(
-        maybe_broadcast(labels.select(F.col("qid").alias("main"), F.col("qlabel").alias("mlabel")),
-                        lut_rows_hint=True),
-        "main", "left")
+    mains = cut_lineage(labels.select(F.col("qid").alias("main"), F.col("qlabel").alias("mlabel")))
+    dec = dec.withColumn("main", main).join(small_side(mains), "main", "left")
     is_multi = F.col("qtype") == MULTI_SELECT
-    chosen = F.col("value").try_cast("double").cast("bigint") == 1
+    chosen = F.coalesce(whole_number(F.col("value")) == 1, F.lit(False))
     sec = F.when(is_multi, 1).when(F.col("qid").contains("."), 2).otherwise(0)
     sub_label = F.coalesce(F.col("last_label"), F.col("qlabel")) if last_label else F.col("qlabel")
     item = (F.when(is_multi, F.coalesce(F.col("opt_label"), F.col("last_label"), F.col("qlabel")))
@@ -78,27 +78,43 @@ def respondent_summary(wide: DataFrame, codebook: DataFrame, key: str = "pid",
     return grouped.select("pid", F.array_join(lines, "\n").alias("prompt"))
 
 
-def extract_field(text: Column, pattern: str) -> Column:
+_QUESTION_ID = re.compile(r"(Q[0-9]+(?:\\?[.][0-9]+)*)(.*)", re.S)
+
+
+def extract_field(text: Column, pattern: str, prefix_match: bool = False) -> Column:
     """First match of ``- {pattern}\\):\\s*(.+)``, stripped; null when empty or one of
-    the no-answer values. ``.`` stops at a newline only (as in Python)."""
+    the no-answer values. ``.`` stops at a newline only (as in Python). A question id at the
+    front of the pattern means exactly that question; with ``prefix_match`` it is a pattern
+    like any other, and ``Q4.1.*`` also meets ``Q4.10``."""
+    own = _QUESTION_ID.fullmatch(pattern)
+    if own and not prefix_match:
+        pattern = own[1].replace("\\.", ".").replace(".", "\\.") + "(?![0-9.])" + own[2].removeprefix(".*")
+        pattern += ".*" if own[2].startswith(".*") else ""
     v = strip_ws(F.regexp_extract(text, f"(?d)- {pattern}\\):\\s*(.+)", 1))
     return F.when(~F.lower(v).isin(*EMPTY_VALUES), v)
 
 
-def extract_fields(df: DataFrame, text: str, fields: Mapping[str, str]) -> DataFrame:
+def extract_fields(df: DataFrame, text: str, fields: Mapping[str, str], prefix_match: bool = False) -> DataFrame:
     """All fields in one projection: ``{output column: pattern}``."""
-    return df.withColumns({name: extract_field(F.col(text), pat) for name, pat in fields.items()})
+    return df.withColumns({name: extract_field(F.col(text), pat, prefix_match) for name, pat in fields.items()})
 
 
 def _sentence(template: str, value: Column) -> Column:
-    if "{}" in template:
-        pre, _, post = template.partition("{}")
-        return F.concat(F.lit(pre), value, F.lit(post.replace("{}", "")))
-    return F.when(value.isNotNull(), F.lit(template))
+    """The template with the value in its placeholder; a template that one value cannot fill is
+    followed by the value."""
+    mark = "\0"
+    try:
+        filled = template.format(mark)
+    except (IndexError, KeyError, ValueError, AttributeError):
+        filled = f"{template} {mark}"
+    first, *rest = filled.split(mark)
+    if not rest:
+        return F.when(value.isNotNull(), F.lit(filled))
+    return F.concat(F.lit(first), *[x for part in rest for x in (value, F.lit(part))])
 
 
 def sectioned_prompt(df: DataFrame, text: str, config: Sequence[tuple[str, Sequence[tuple[str, str]]]],
-                     intro: str, out: str = "prompt") -> DataFrame:
+                     intro: str, out: str = "prompt", prefix_match: bool = False) -> DataFrame:
     """Intro, then per group with at least one hit ``group:\\n`` + sentences joined by
     ``', '`` + ``'.'``; blocks joined by a blank line.
 
@@ -108,7 +124,7 @@ def sectioned_prompt(df: DataFrame, text: str, config: Sequence[tuple[str, Seque
     tcol = F.col(text)
     sections = []
     for group, fields in config:
-        sents = [_sentence(tpl, extract_field(tcol, pat)) for pat, tpl in fields]
+        sents = [_sentence(tpl, extract_field(tcol, pat, prefix_match)) for pat, tpl in fields]
         joined = F.concat_ws(", ", *sents)
         any_hit = F.coalesce(*sents).isNotNull()
         sections.append(F.when(any_hit, F.concat(F.lit(group + ":\n"), joined, F.lit("."))))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import token_budget
-from ..operators.chat import (chat_dataset, chat_messages, collect_messages, messages_long, render_full,
+from ..operators.chat import (CHAT_SYSTEM, chat_dataset, chat_messages, collect_messages, messages_long, render_full,
                               render_pair, render_role_tag, template_error)
 from ..operators.split import split_holdout, split_stratified
 from .common import SQL_PAIRS, conversation_pairs, t
@@ -23,8 +23,7 @@ def _pairs(spark, sf):
     return conversation_pairs(t(spark, sf, "conversations"))
 
 
-SYSTEM_DE = ("Du bist ein hilfreicher Assistent, der klassifiziert, ob eine Person ihre "
-             "Krankenversicherung wechseln wird oder nicht.")
+SYSTEM_DE = CHAT_SYSTEM
 
 
 @query("chat_messages", f"""WITH {SQL_PAIRS}
@@ -147,6 +146,60 @@ def q_render_full_tools(spark, sf):
                     template_error("messages").alias("error"))
 
 
+# Fixed values for this binding: the built-in tools.
+BUILTIN = ["search", "code_interpreter"]
+
+
+@query("render_full_plain_tool_turns", f"""
+WITH c0 AS (SELECT conv_id, turn * 2 AS o, role, text FROM conversations
+            UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', text FROM conversations WHERE role = 'assistant' AND turn = 1),
+f AS (SELECT conv_id, min(o) AS o0 FROM c0 GROUP BY conv_id),
+c1 AS (SELECT c0.*, CASE WHEN c0.o = f.o0 AND c0.role = 'system' THEN 1 ELSE 0 END AS is_sys FROM c0 JOIN f USING (conv_id)),
+sys AS (SELECT conv_id, {_s('text')} AS sm FROM c1 WHERE is_sys = 1),
+body AS (SELECT conv_id, string_agg(
+    CASE WHEN role = 'tool' THEN '<|start_header_id|>ipython<|end_header_id|>' || chr(10) || chr(10)
+              || CAST(to_json(text) AS VARCHAR) || '<|eot_id|>'
+         ELSE '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || {_s('text')} || '<|eot_id|>'
+    END, '' ORDER BY o) AS b FROM c1 WHERE is_sys = 0 GROUP BY conv_id)
+SELECT f.conv_id, {SQL_FULL_HEAD.format(env='')} || coalesce(sys.sm, '') || '<|eot_id|>' || coalesce(body.b, '') AS text
+FROM f LEFT JOIN sys USING (conv_id) LEFT JOIN body USING (conv_id)""")
+def q_render_full_plain_tool_turns(spark, sf):
+    """Tool answers are ipython blocks also where no tool list is given."""
+    m = tool_conversations(spark, sf)
+    plain = F.transform("messages", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return m.select("conv_id", render_full(plain).alias("text"))
+
+
+@query("render_full_builtin_tools", f"""
+WITH c0 AS (SELECT conv_id, turn * 2 AS o, turn, role, text,
+                   CASE WHEN role = 'assistant' AND turn = 1 THEN 1 ELSE 0 END AS is_call FROM conversations
+            UNION ALL SELECT conv_id, turn * 2 + 1, turn, 'tool', text, 0 FROM conversations
+            WHERE role = 'assistant' AND turn = 1),
+f AS (SELECT conv_id, min(o) AS o0 FROM c0 GROUP BY conv_id),
+c1 AS (SELECT c0.*, CASE WHEN c0.o = f.o0 AND c0.role = 'system' THEN 1 ELSE 0 END AS is_sys FROM c0 JOIN f USING (conv_id)),
+sys AS (SELECT conv_id, {_s('text')} AS sm FROM c1 WHERE is_sys = 1),
+body AS (SELECT conv_id, string_agg(
+    CASE WHEN role = 'tool' THEN '<|start_header_id|>ipython<|end_header_id|>' || chr(10) || chr(10)
+              || CAST(to_json(text) AS VARCHAR) || '<|eot_id|>'
+         WHEN is_call = 1 THEN '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)
+              || '<|python_tag|>search.call(conv_id="' || CAST(conv_id AS VARCHAR) || '", turn="' || CAST(turn AS VARCHAR)
+              || '")<|eom_id|>'
+         ELSE '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || {_s('text')} || '<|eot_id|>'
+    END, '' ORDER BY o) AS b FROM c1 WHERE is_sys = 0 GROUP BY conv_id)
+SELECT f.conv_id,
+       {SQL_FULL_HEAD.format(env="|| 'Environment: ipython' || chr(10) || 'Tools: search' || chr(10) || chr(10) ")}
+       || 'You have access to the following functions. To call a function, please respond with JSON for a function call.'
+       || 'Respond in the format {{"name": function name, "parameters": dictionary of argument name and its value}}.'
+       || 'Do not use variables.' || chr(10) || chr(10) || '{_tool_json(TOOLS)}'
+       || coalesce(sys.sm, '') || '<|eot_id|>' || coalesce(body.b, '') AS text, CAST(NULL AS VARCHAR) AS error
+FROM f LEFT JOIN sys USING (conv_id) LEFT JOIN body USING (conv_id)""")
+def q_render_full_builtin_tools(spark, sf):
+    """Built-in tools called behind the python tag, other tools listed in the system block."""
+    m = tool_conversations(spark, sf)
+    return m.select("conv_id", render_full("messages", tools=TOOLS, builtin_tools=BUILTIN, tools_in_user_message=False)
+                    .alias("text"), template_error("messages", tools_listed=False).alias("error"))
+
+
 # --- splits -----------------------------------------------------------------------------
 
 def _keyed_pairs(spark, sf):
@@ -154,23 +207,37 @@ def _keyed_pairs(spark, sf):
 
 
 @query("split_holdout", f"""WITH {SQL_PAIRS},
-k AS (SELECT conv_id, turn, md5('42|' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)) AS h,
-             CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS pair_key FROM pairs),
+p AS (SELECT conv_id, turn, CASE WHEN conv_id % 29 <> 0 THEN CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END
+             AS pair_key FROM pairs),
+k AS (SELECT *, coalesce(md5('42|' || pair_key), '') AS h FROM p),
 r AS (SELECT *, row_number() OVER (ORDER BY h, pair_key) AS rn, count(*) OVER () AS n FROM k)
 SELECT conv_id, turn, CASE WHEN rn <= floor(0.9 * n) THEN 'train' ELSE 'validation' END AS split FROM r""")
 def q_split_holdout(spark, sf):
-    return split_holdout(_keyed_pairs(spark, sf), "pair_key", 0.9, 42).select("conv_id", "turn", "split")
+    """Rows without a key stay in the split (they come first)."""
+    keyed = _keyed_pairs(spark, sf).withColumn("pair_key", F.when(F.col("conv_id") % 29 != 0, F.col("pair_key")))
+    return split_holdout(keyed, "pair_key", 0.9, 42).select("conv_id", "turn", "split")
 
 
 @query("split_stratified", """
-WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)),
-                  doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM labels)
+WITH l AS (SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN quality END AS quality FROM labels),
+r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)),
+             doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM l)
 SELECT doc_id, quality, CASE WHEN rn <= floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM r""")
 def q_split_stratified(spark, sf):
-    lab = t(spark, sf, "labels").select("doc_id", "quality")
+    """Rows without a label are a stratum of their own."""
+    lab = t(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 17 != 0, F.col("quality")).alias("quality"))
     return split_stratified(lab, "doc_id", "quality", 0.8, 42)
 
 
+@query("split_sizes", f"""WITH {SQL_PAIRS},
+n AS (SELECT count(*) AS n FROM pairs)
+SELECT 'train' AS split, CAST(floor(0.9 * n) AS BIGINT) AS n_rows FROM n
+UNION ALL SELECT 'validation', CAST(n - floor(0.9 * n) AS BIGINT) FROM n""")
+def q_split_sizes(spark, sf):
+    d = split_holdout(_keyed_pairs(spark, sf), "pair_key", 0.9, 42)
+    return d.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("chat_dataset", f"""WITH {SQL_PAIRS},
 k AS (SELECT conv_id, turn, text_a, text_b, md5('7|' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)) AS h,
              CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS pair_key FROM pairs),

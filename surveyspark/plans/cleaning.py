@@ -46,10 +46,14 @@ def q_drop_sparse_columns(spark, sf):
     return drop_sparse_columns(events_with_nulls(spark, sf), 50)
 
 
-@query("split_target", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+@query("split_target", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment FROM customer
+UNION ALL SELECT c_custkey, NULL, NULL, NULL, c_mktsegment FROM customer
+""")
 def q_split_target(spark, sf):
-    x, _y = split_target(t(spark, sf, "customer"), "c_mktsegment", key="c_custkey")
-    return x
+    """Both halves: the features, and the target with its key."""
+    x, y = split_target(t(spark, sf, "customer"), "c_mktsegment", key="c_custkey")
+    return x.unionByName(y, allowMissingColumns=True)
 
 
 @query("drop_named_columns", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -150,9 +154,3 @@ FROM p LEFT JOIN lut USING (raw)
 @query("standardize_categories", SQL_STD)
 def q_standardize_categories(spark, sf):
     return standardize_categories(part_typo_names(spark, sf), "raw", part_dictionary(spark, sf), 70.0, out="std")
-
-
-@query("standardize_categories_wratio")
-def q_standardize_categories_wratio(spark, sf):
-    return standardize_categories(part_typo_names(spark, sf), "raw", part_dictionary(spark, sf), 70.0, out="std",
-                                  scorer="wratio")

@@ -1,5 +1,5 @@
-"""Bindings: attribution to scored explanations (M4b, W3, T3, T4, W2, M6, F12,
-X4, A12, A14, S7, K5, F10).
+"""Bindings: attribution to requests (M4b, W3, T3, T4, W2, S7, K5, F10), and scored texts
+(F12, X4, A12, A14) over the conversations and documents.
 
 orders are the examples (their line items aggregated into features), the three
 order states the classes, and a linear score with fixed weights per class the model.
@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.attribution import (attribution_text, explode_attribution_json,
-                                     explode_attrs, linear_attribution, parse_attribution_text, to_json_lines,
-                                     top_features, top_n)
-from ..operators.generate import batch_generate, explanation_request, head_per_group
-from ..operators.score import (features_with_synonyms, keyword_coverage, synonym_expand, tfidf_pair_cosine)
-from .common import r6, sql_pair_cosine, t
+from ..functions.text import strip_prompt, tokens
+from ..operators.attribution import (attribution_text, explode_attribution_json, explode_attrs, linear_attribution,
+                                     parse_attribution_text, to_json_lines, top_features)
+from ..operators.generate import SYSTEM_MESSAGE, explanation_request, head_per_group
+from ..operators.score import features_with_synonyms, keyword_coverage, synonym_expand, tfidf_pair_cosine
+from .common import SQL_PAIRS, SQL_TOKENS, conversation_pairs, r6, sql_pair_cosine, t
 from .registry import query
 
 FEATURES = ["o_totalprice", "n_lines", "max_discount", "max_tax"]
@@ -24,10 +24,6 @@ WEIGHTS = {
     "O": {"o_totalprice": -0.00091, "n_lines": -0.583, "max_discount": 31.7, "max_tax": -9.71},
     "P": {"o_totalprice": 0.00053, "n_lines": 0.917, "max_discount": 12.9, "max_tax": 27.3},
 }
-# Synonym lists of the readable feature names (one name has none,
-# one list omits the name itself).
-SYNONYMS = [("o totalprice", "Price"), ("o totalprice", "preis"), ("max discount", "discount"),
-            ("max discount", "Rabatt"), ("max tax", "steuer")]
 HEAD_N = 100
 
 
@@ -70,20 +66,13 @@ txt AS (
            ', ' ORDER BY rnk) || '.' AS shap_text
   FROM ranked WHERE rnk <= 10 GROUP BY class_label, example_index)"""
 
-SYSTEM = ("You are a helpful assistant that explains how different features influence "
-          "a model''s prediction based on SHAP values.")
+SYSTEM = SYSTEM_MESSAGE.replace("'", "''")
 SQL_REQ = f"""{SQL_TEXT},
-head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class_label ORDER BY example_index) AS hn FROM txt)
-         WHERE hn <= {HEAD_N}),
 req AS (
   SELECT class_label, example_index, shap_text,
          'Here are the most important features for an example:' || chr(10) || chr(10) || shap_text || chr(10) || chr(10)
            || 'Please explain in simple terms how these features affect the prediction.' AS user_content
-  FROM head),
-gen AS (
-  SELECT class_label, example_index, shap_text,
-         'The prediction is mostly driven by ' || regexp_extract(shap_text, 'features are: (.*)\\.$', 1) || '.' AS llm_text
-  FROM req)"""
+  FROM txt)"""
 
 
 @query("linear_attribution", f"""WITH {SQL_ATTR}
@@ -109,41 +98,42 @@ def q_attribution_text(spark, sf):
     return attribution_text(nested(spark, sf)).select("class_label", "example_index", "shap_text")
 
 
-def _heads(spark, sf):
-    # the first examples per class are picked before any text is built
-    return attribution_text(head_per_group(nested(spark, sf), "class_label", "example_index", HEAD_N))
-
-
 @query("explanation_request", f"""WITH {SQL_ATTR},
 {SQL_REQ}
 SELECT class_label, example_index, '{SYSTEM}' AS system_content, user_content,
        '{SYSTEM}' || chr(10) || user_content AS plain_prompt
 FROM req""")
 def q_explanation_request(spark, sf):
-    r = explanation_request(_heads(spark, sf), style="chat")
+    r = explanation_request(attribution_text(nested(spark, sf)), style="chat")
     r = explanation_request(r, style="plain", out="plain_prompt")
     return r.select("class_label", "example_index", F.col("request")[0]["content"].alias("system_content"),
                     F.col("request")[1]["content"].alias("user_content"), "plain_prompt")
 
 
-def _generated(spark, sf):
-    r = explanation_request(_heads(spark, sf), style="plain")
-    return batch_generate(r, "request")
+@query("explanation_request_heads", f"""WITH {SQL_ATTR},
+{SQL_REQ},
+head AS (SELECT *, row_number() OVER (PARTITION BY class_label ORDER BY example_index) AS hn FROM req)
+SELECT class_label, example_index, user_content FROM head WHERE hn <= {HEAD_N}""")
+def q_explanation_request_heads(spark, sf):
+    """The chain as it is run: the first examples per class are picked before any text is built."""
+    heads = head_per_group(nested(spark, sf), "class_label", "example_index", HEAD_N)
+    r = explanation_request(attribution_text(heads), style="chat")
+    return r.select("class_label", "example_index", F.col("request")[1]["content"].alias("user_content"))
 
 
-@query("batch_generate", f"""WITH {SQL_ATTR},
-{SQL_REQ}
-SELECT class_label, example_index, shap_text, llm_text FROM gen""")
-def q_batch_generate(spark, sf):
-    return _generated(spark, sf).select("class_label", "example_index", "shap_text", "llm_text")
+@query("strip_prompt", rf"""WITH {SQL_PAIRS}
+SELECT conv_id, turn, regexp_replace(text_b, '^\s+|\s+$', '', 'g') AS answer FROM pairs""")
+def q_strip_prompt(spark, sf):
+    """Answers of the conversations behind their echoed prompts."""
+    pairs = conversation_pairs(t(spark, sf, "conversations"))
+    echoed = pairs.withColumn("output", F.concat("text_a", F.lit("\n  "), "text_b", F.lit(" \n")))
+    return echoed.select("conv_id", "turn", strip_prompt("output", "text_a").alias("answer"))
 
 
-@query("strip_prompt", f"""WITH {SQL_ATTR},
-{SQL_REQ}
-SELECT class_label, example_index, length(llm_text) AS n_chars FROM gen""")
-def q_strip_prompt(spark, sf):
-    g = _generated(spark, sf)
-    return g.select("class_label", "example_index", F.length("llm_text").cast("bigint").alias("n_chars"))
+# Fixed values for this binding: synonyms of frequent words of the texts (some words have none,
+# some lists omit the word itself).
+SYNONYMS = [("the", "le"), ("the", "DER"), ("of", "von"), ("of", "de"), ("and", "und"), ("and", "and"), ("is", "ist"),
+            ("das", "that"), ("que", "that"), ("in", "en"), ("To", "zu")]
 
 
 def _syn_df(spark):
@@ -151,82 +141,77 @@ def _syn_df(spark):
 
 
 _SYN_VALUES = ", ".join(f"('{w}', '{s}')" for w, s in SYNONYMS)
-SQL_SYN = f"""syn AS (SELECT * FROM (VALUES {_SYN_VALUES}) v(word, synonym)),
-feat AS (SELECT DISTINCT replace(feature, '_', ' ') AS feature FROM attr),
+
+
+def _sql_synonyms(words: str) -> str:
+    """CTEs: synonyms of the distinct ``feature`` values of CTE ``words``."""
+    return f"""syn AS (SELECT * FROM (VALUES {_SYN_VALUES}) v(word, synonym)),
 fsyn AS (
-  SELECT f.feature, coalesce(list_sort(list_distinct(list(lower(s.synonym)) FILTER (WHERE s.synonym IS NOT NULL))),
-                             [lower(f.feature)]) AS synonyms
-  FROM feat f LEFT JOIN syn s ON lower(s.word) = lower(f.feature) GROUP BY f.feature)"""
+  SELECT f.feature, CASE WHEN count(s.synonym) = 0 THEN [lower(f.feature)]
+                         ELSE list_sort(list_distinct(list(lower(s.synonym)) FILTER (WHERE s.synonym IS NOT NULL))) END
+                    AS synonyms
+  FROM (SELECT DISTINCT feature FROM {words}) f LEFT JOIN syn s ON lower(s.word) = lower(f.feature) GROUP BY f.feature)"""
 
 
-@query("synonym_expand", f"""WITH {SQL_ATTR},
-{SQL_SYN}
-SELECT feature, array_to_string(CASE WHEN len(synonyms) = 0 THEN [lower(feature)] ELSE synonyms END, '|') AS synonyms
-FROM fsyn""")
+@query("synonym_expand", f"""WITH w AS (SELECT unnest({SQL_TOKENS.format(x='text')}) AS feature FROM documents),
+{_sql_synonyms('w')}
+SELECT feature, array_to_string(synonyms, '|') AS synonyms FROM fsyn""")
 def q_synonym_expand(spark, sf):
-    feats = explode_attrs(nested(spark, sf)).select(F.translate("feature", "_", " ").alias("feature")).distinct()
-    s = synonym_expand(feats, "feature", _syn_df(spark))
+    """Every distinct word of the documents with its synonyms."""
+    words = t(spark, sf, "documents").select(F.explode(tokens(F.col("text"))).alias("feature")).distinct()
+    s = synonym_expand(words, "feature", _syn_df(spark))
     return s.select("feature", F.array_join("synonyms", "|").alias("synonyms"))
 
 
-def explanation_scores(spark, sf):
-    g = _generated(spark, sf).withColumn(
-        "top", F.transform(top_n(F.col("attrs"), 10), lambda a: F.translate(a["feature"], "_", " ")))
-    # lookup domain: the model's feature names (metadata, known before any row is scored)
-    names = spark.createDataFrame([(f.replace("_", " "),) for f in FEATURES], "feature string")
-    g = features_with_synonyms(g, "top", _syn_df(spark), ["class_label", "example_index"], domain=names)
-    g = keyword_coverage(g, "features_with_synonyms", "llm_text")
-    cos = tfidf_pair_cosine(g, ["class_label", "example_index"], "shap_text", "llm_text")
-    return g.join(cos, ["class_label", "example_index"])
+def explained_pairs(spark, sf):
+    """User text and answer of the conversations: the words of the one are looked for in the other."""
+    p = conversation_pairs(t(spark, sf, "conversations"))
+    p = p.withColumn("features", F.array_distinct(tokens(F.col("text_a"))))
+    p = features_with_synonyms(p, "features", _syn_df(spark), ["conv_id", "turn"])
+    return keyword_coverage(p, "features_with_synonyms", "text_b")
 
 
-SQL_SCORES = f"""WITH {SQL_ATTR},
-{SQL_REQ},
-{SQL_SYN},
-kw AS (
-  SELECT g.class_label, g.example_index, count(*) FILTER (WHERE hit) AS matched, count(*) AS nfeat
-  FROM (SELECT g.class_label, g.example_index, r.feature,
-               bool_or(contains(lower(g.llm_text), s.syn)) AS hit
-        FROM gen g
-        JOIN ranked r ON r.class_label = g.class_label AND r.example_index = g.example_index AND r.rnk <= 10
-        JOIN (SELECT feature, unnest(CASE WHEN len(synonyms) = 0 THEN [lower(feature)] ELSE synonyms END) AS syn
-              FROM fsyn) s ON s.feature = replace(r.feature, '_', ' ')
-        GROUP BY g.class_label, g.example_index, r.feature) g
-  GROUP BY g.class_label, g.example_index),
-pairs AS (SELECT class_label, example_index, shap_text AS text_a, llm_text AS text_b FROM gen),
-{sql_pair_cosine('pairs', 'class_label, example_index')}
-SELECT c.class_label, c.example_index, kw.matched AS matched_keyword_count,
-       round(CASE WHEN kw.nfeat > 0 THEN kw.matched / kw.nfeat ELSE 0.0 END, 6) AS keyword_accuracy,
-       round(c.cosine_similarity, 6) AS cosine_similarity
-FROM cos c JOIN kw USING (class_label, example_index)"""
+SQL_KEYWORDS = f"""{SQL_PAIRS},
+feats AS (SELECT DISTINCT conv_id, turn, feature FROM
+          (SELECT conv_id, turn, unnest({SQL_TOKENS.format(x='text_a')}) AS feature FROM pairs)),
+{_sql_synonyms('feats')},
+hits AS (
+  SELECT f.conv_id, f.turn, f.feature, bool_or(contains(lower(p.text_b), s.syn)) AS hit
+  FROM feats f JOIN pairs p USING (conv_id, turn) JOIN (SELECT feature, unnest(synonyms) AS syn FROM fsyn) s USING (feature)
+  GROUP BY f.conv_id, f.turn, f.feature),
+kw AS (SELECT p.conv_id, p.turn, count(*) FILTER (WHERE hit) AS matched, count(feature) AS nfeat
+       FROM pairs p LEFT JOIN hits USING (conv_id, turn) GROUP BY p.conv_id, p.turn)"""
 
 
-@query("explanation_scores", SQL_SCORES)
+@query("explanation_scores", f"""WITH {SQL_KEYWORDS},
+{sql_pair_cosine('pairs', 'conv_id, turn')}
+SELECT c.conv_id, c.turn, kw.matched AS matched_keyword_count,
+       round(CASE WHEN kw.nfeat > 0 THEN kw.matched / kw.nfeat ELSE 0.0 END, 6) AS keyword_accuracy,
+       round(c.cosine_similarity, 6) AS cosine_similarity
+FROM cos c JOIN kw USING (conv_id, turn)""")
 def q_explanation_scores(spark, sf):
-    s = explanation_scores(spark, sf)
-    return s.select("class_label", "example_index", "matched_keyword_count",
-                    r6("keyword_accuracy").alias("keyword_accuracy"),
+    s = explained_pairs(spark, sf)
+    cos = tfidf_pair_cosine(conversation_pairs(t(spark, sf, "conversations")), ["conv_id", "turn"], "text_a", "text_b")
+    s = s.join(cos, ["conv_id", "turn"])
+    return s.select("conv_id", "turn", "matched_keyword_count", r6("keyword_accuracy").alias("keyword_accuracy"),
                     r6("cosine_similarity").alias("cosine_similarity"))
 
 
-@query("keyword_coverage", SQL_SCORES.replace(
-    "round(c.cosine_similarity, 6) AS cosine_similarity", "kw.nfeat AS n_features"))
+@query("keyword_coverage", f"""WITH {SQL_KEYWORDS}
+SELECT conv_id, turn, matched AS matched_keyword_count,
+       round(CASE WHEN nfeat > 0 THEN matched / nfeat ELSE 0.0 END, 6) AS keyword_accuracy, nfeat AS n_features FROM kw""")
 def q_keyword_coverage(spark, sf):
-    s = explanation_scores(spark, sf)
-    return s.select("class_label", "example_index", "matched_keyword_count",
-                    r6("keyword_accuracy").alias("keyword_accuracy"),
+    s = explained_pairs(spark, sf)
+    return s.select("conv_id", "turn", "matched_keyword_count", r6("keyword_accuracy").alias("keyword_accuracy"),
                     F.size("features_with_synonyms").cast("bigint").alias("n_features"))
 
 
 # --- JSON in and out ----------------------------------------------------------------
 
-@query("attribution_json_roundtrip", f"""WITH {SQL_ATTR},
-h AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY class_label ORDER BY example_index) AS hn FROM attr)
-      WHERE hn <= 10)
-SELECT class_label, example_index, feature_pos, feature, round(value, 6) AS value FROM h""")
+@query("attribution_json_roundtrip", f"""WITH {SQL_ATTR}
+SELECT class_label, example_index, feature_pos, feature, round(value, 6) AS value FROM attr""")
 def q_attribution_json_roundtrip(spark, sf):
-    heads = head_per_group(nested(spark, sf), "class_label", "example_index", 10)
-    back = explode_attribution_json(to_json_lines(heads))
+    back = explode_attribution_json(to_json_lines(nested(spark, sf)))
     return back.select("class_label", "example_index", "feature_pos", "feature", r6("value").alias("value"))
 
 

@@ -114,7 +114,7 @@ SELECT d.doc_id, round(coalesce(s.score, 0.0), 6) AS sentiment_score,
 FROM documents d LEFT JOIN s USING (doc_id)""")
 def q_sentiment_lexicon(spark, sf):
     lex = spark.createDataFrame(LEXICON, "word string, score double")
-    s = sentiment_lexicon(t(spark, sf, "documents").select("doc_id", "text"), "text", lex)
+    s = sentiment_lexicon(t(spark, sf, "documents").select("doc_id", "text"), "text", lex, ["doc_id"])
     return s.select("doc_id", r6("sentiment_score").alias("sentiment_score"), "sentiment")
 
 
@@ -140,12 +140,12 @@ fs AS (SELECT kw.feature, coalesce(list(lower(syn.synonym)) FILTER (WHERE syn.sy
        FROM kw LEFT JOIN syn ON lower(syn.word) = lower(kw.feature) GROUP BY kw.feature),
 fs2 AS (SELECT feature, unnest(CASE WHEN len(syns) = 0 THEN [lower(feature)] ELSE syns END) AS s FROM fs),
 hit AS (SELECT d.doc_id, f.feature, bool_or(contains(lower(d.text), f.s)) AS h
-        FROM documents d, fs2 f WHERE d.lang = 'de' GROUP BY d.doc_id, f.feature)
+        FROM documents d, fs2 f GROUP BY d.doc_id, f.feature)
 SELECT doc_id, CAST(count(*) FILTER (WHERE h) AS BIGINT) AS matched_keyword_count,
        round(count(*) FILTER (WHERE h) / 5.0, 6) AS keyword_accuracy
 FROM hit GROUP BY doc_id""")
 def q_keyword_coverage_documents(spark, sf):
-    d = t(spark, sf, "documents").filter(F.col("lang") == "de").select("doc_id", "text")
+    d = t(spark, sf, "documents").select("doc_id", "text")
     d = d.withColumn("features", F.array(*[F.lit(k) for k in DE_KEYWORDS]))
     syn = spark.createDataFrame(DE_SYNONYMS, "word string, synonym string")
     d = features_with_synonyms(d, "features", syn, ["doc_id"])

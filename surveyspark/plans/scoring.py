@@ -21,18 +21,20 @@ def q_tfidf_pair_cosine(spark, sf):
     return c.select("conv_id", "turn", r6("cosine_similarity").alias("cosine_similarity"))
 
 
-def _runs(spark, sf):
+RUNS = ("view", "click", "purchase", "signup", "error")
+
+
+def _runs(spark, sf, names=RUNS):
     ev = t(spark, sf, "events")
-    return union_runs({
-        "view": ev.filter(F.col("event_type") == "view").select("event_id", "value"),
-        "click": ev.filter(F.col("event_type") == "click").select("event_id", "value"),
-    })
+    return union_runs({n: ev.filter(F.col("event_type") == n).select("event_id", "value") for n in names})
+
+
+def _all_runs(spark, sf):
+    """Every event, with its type as the run."""
+    return t(spark, sf, "events").select("event_id", "value", F.col("event_type").alias("model"))
 
 
-SQL_RUNS = """runs AS (
-  SELECT event_id, value, 'view' AS model FROM events WHERE event_type = 'view'
-  UNION ALL
-  SELECT event_id, value, 'click' AS model FROM events WHERE event_type = 'click')"""
+SQL_RUNS = "runs AS (SELECT event_id, value, event_type AS model FROM events)"
 
 
 @query("union_runs", f"WITH {SQL_RUNS} SELECT event_id, value, model FROM runs")
@@ -45,7 +47,7 @@ WITH {SQL_RUNS}
 SELECT model, round(avg(value), 6) AS mean_value, count(*) AS n FROM runs GROUP BY model
 """)
 def q_mean_by_run(spark, sf):
-    m = mean_by_run(_runs(spark, sf), "model", ["value"])
+    m = mean_by_run(_all_runs(spark, sf), "model", ["value"])
     return m.select("model", r6("mean_value").alias("mean_value"), "n")
 
 
@@ -72,13 +74,13 @@ def _round_stats(df, cols):
 
 @query("welch_ttest", SQL_WELCH)
 def q_welch_ttest(spark, sf):
-    w = welch_ttest(_runs(spark, sf), "model", "value", "view", "click")
+    w = welch_ttest(_runs(spark, sf, ("view", "click")), "model", "value", "view", "click")
     return _round_stats(w, {"mean_a", "mean_b", "var_a", "var_b", "t_stat", "dof"})
 
 
 @query("welch_pvalue")
 def q_welch_pvalue(spark, sf):
-    w = welch_pvalue(_runs(spark, sf), "model", "value", "view", "click")
+    w = welch_pvalue(_runs(spark, sf, ("view", "click")), "model", "value", "view", "click")
     return _round_stats(w, {"mean_a", "mean_b", "var_a", "var_b", "t_stat", "dof", "p_value"})
 
 
@@ -96,7 +98,7 @@ FROM f JOIN runs r USING (model)
 GROUP BY f.model, f.n, f.q1, f.median, f.q3, f.iqr
 """)
 def q_box_summary(spark, sf):
-    b = box_summary(_runs(spark, sf), "model", "value")
+    b = box_summary(_all_runs(spark, sf), "model", "value")
     return _round_stats(b.select("model", "n", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
                                  "n_outliers"),
                         {"q1", "median", "q3", "iqr", "whisker_low", "whisker_high"})

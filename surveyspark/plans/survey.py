@@ -45,6 +45,10 @@ UNION ALL SELECT CAST(611 + r_regionkey AS BIGINT), NULL, NULL, NULL, CAST(r_reg
        FROM region WHERE r_regionkey < 2
 UNION ALL SELECT CAST(700 AS BIGINT), 'Q8', 'Ranking', 'S08: Rank', NULL, 'Rank of the nation'
 UNION ALL SELECT CAST(800 AS BIGINT), 'Q9', 'Net Promoter Score®', 'S09: NPS', NULL, NULL
+UNION ALL SELECT CAST(850 AS BIGINT), 'Q11', NULL, 'S11: Late', NULL, 'Type on a later row'
+UNION ALL SELECT CAST(851 + n_regionkey AS BIGINT), NULL, 'Single Select', NULL, CAST(n_regionkey AS STRING),
+       'late ' || CAST(n_regionkey AS STRING) FROM (SELECT DISTINCT n_regionkey FROM nation)
+UNION ALL SELECT CAST(860 AS BIGINT), 'Q12', 'Number Input', 'S12: Number', NULL, 'A number that may be missing'
 UNION ALL SELECT CAST(900 AS BIGINT), 'Q10', 'Dropdown', 'S10: Supplier', NULL, 'Preferred supplier'
 UNION ALL SELECT CAST(901 + s_suppkey AS BIGINT), NULL, NULL, NULL, CAST(s_suppkey AS STRING), s_name FROM supplier
 """
@@ -62,6 +66,10 @@ SELECT CAST(c.c_custkey AS STRING) AS pid,
        CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'n/a' ELSE CAST(c.c_nationkey % 4 + 1 AS STRING) END AS Q8,
        CAST(c.c_nationkey * 7 % 11 AS STRING) AS Q9,
        CAST(c.c_custkey % 131 AS STRING) AS Q10,
+       CASE WHEN c.c_custkey % 7 = 0 THEN '1e30' WHEN c.c_custkey % 7 = 1 THEN 'Infinity'
+            WHEN c.c_custkey % 7 = 2 THEN 'n/a' ELSE CAST(n.n_regionkey AS STRING) END AS Q11,
+       CASE WHEN c.c_custkey % 4 = 0 THEN CAST('NaN' AS DOUBLE) WHEN c.c_custkey % 4 = 1 THEN NULL
+            ELSE CAST(c.c_nationkey AS DOUBLE) END AS Q12,
        c.c_acctbal AS Weight
 FROM customer c
 JOIN nation n ON n.n_nationkey = c.c_nationkey
@@ -75,7 +83,7 @@ LEFT JOIN (SELECT o_custkey,
 """
 
 # column of the wide sheet -> question id (dotted ids cannot be plain SQL names)
-WIDE_QIDS = ["Q1", "Q2", "Q3", "Q4", "Q5", "Q6.1", "Q6.2", "Q6.3", "Q6.4", "Q6.5", "Q7.1", "Q8", "Q9", "Q10"]
+WIDE_QIDS = ["Q1", "Q2", "Q3", "Q4", "Q5", "Q6.1", "Q6.2", "Q6.3", "Q6.4", "Q6.5", "Q7.1", "Q8", "Q9", "Q10", "Q11", "Q12"]
 
 
 def survey_codebook(spark, sf):
@@ -91,7 +99,7 @@ def survey_answers(spark, sf):
 
 
 def _canon(x: str) -> str:
-    return (f"coalesce(CAST(CAST(trunc(TRY_CAST(trim({x}) AS DOUBLE)) AS BIGINT) AS VARCHAR), trim({x}))")
+    return (f"coalesce(CAST(TRY_CAST(trunc(TRY_CAST(trim({x}) AS DOUBLE)) AS BIGINT) AS VARCHAR), trim({x}))")
 
 
 SQL_CB = f"""cb AS ({CODEBOOK_SQL}),
@@ -111,7 +119,7 @@ qname AS (SELECT qid, fname FROM (SELECT question AS qid, name AS fname,
 llast AS (SELECT qid, last_label FROM (SELECT question AS qid, label AS last_label,
           row_number() OVER (PARTITION BY question ORDER BY row_no DESC) AS rn FROM cbf WHERE label IS NOT NULL) WHERE rn = 1),
 qtyp AS (SELECT qid, qtype FROM (SELECT question AS qid, type AS qtype,
-          row_number() OVER (PARTITION BY question ORDER BY row_no) AS rn FROM cbf WHERE type IS NOT NULL) WHERE rn = 1),
+          row_number() OVER (PARTITION BY question ORDER BY row_no DESC) AS rn FROM cbf WHERE type IS NOT NULL) WHERE rn = 1),
 qinfo AS (
   SELECT q.qid, qtyp.qtype, coalesce(qlast.vlabel, qname.fname) AS qlabel, llast.last_label
   FROM (SELECT DISTINCT question AS qid FROM cbf) q
@@ -120,7 +128,9 @@ qinfo AS (
 SQL_LONG = "wide AS ({wide}),\nlong AS (SELECT * FROM (\n{parts}) WHERE value IS NOT NULL)".format(
     wide=WIDE_SQL,
     parts="\n  UNION ALL ".join(
-        f"SELECT pid, CAST({i + 1} AS BIGINT) AS pos, '{q}' AS qid, {q.replace('.', '_')} AS value FROM wide"
+        f"SELECT pid, CAST({i + 1} AS BIGINT) AS pos, '{q}' AS qid, "
+        + ("CASE WHEN isnan(Q12) THEN NULL ELSE CAST(Q12 AS VARCHAR) END" if q == "Q12" else q.replace('.', '_'))
+        + " AS value FROM wide"
         for i, q in enumerate(WIDE_QIDS)))
 
 SQL_DEC = f"""dec AS (
@@ -137,8 +147,8 @@ dec2 AS (
                  WHEN qtype IN ('Single Matrix', 'Rating Matrix') THEN coalesce(opt_label, '(Unknown response ' || value || ')')
                  WHEN qtype IN ('Number Input', 'Net Promoter Score®') THEN value
                  WHEN qtype = 'Open Text' THEN '"' || value || '"'
-                 WHEN qtype = 'Ranking' THEN CASE WHEN TRY_CAST(value AS DOUBLE) IS NOT NULL
-                        THEN 'Rank ' || CAST(CAST(trunc(TRY_CAST(value AS DOUBLE)) AS BIGINT) AS VARCHAR)
+                 WHEN qtype = 'Ranking' THEN CASE WHEN TRY_CAST(trunc(TRY_CAST(value AS DOUBLE)) AS BIGINT) IS NOT NULL
+                        THEN 'Rank ' || CAST(TRY_CAST(trunc(TRY_CAST(value AS DOUBLE)) AS BIGINT) AS VARCHAR)
                         ELSE '(invalid rank)' END
                  ELSE value END AS answer
   FROM dec)"""
@@ -153,7 +163,7 @@ items AS (
          CASE WHEN qtype = 'Multiple Select' THEN coalesce(opt_label, last_label, qlabel)
               WHEN contains(qid, '.') THEN '  - ' || qid || ' (' || qlabel || '): ' || answer
               ELSE '- ' || qid || ' (' || qlabel || '): ' || answer END AS item
-  FROM m WHERE qtype <> 'Multiple Select' OR CAST(trunc(TRY_CAST(value AS DOUBLE)) AS BIGINT) = 1),
+  FROM m WHERE qtype <> 'Multiple Select' OR TRY_CAST(trunc(TRY_CAST(value AS DOUBLE)) AS BIGINT) = 1),
 grp AS (SELECT pid, main, sec, min(pos) AS gpos, any_value(mlabel) AS mlabel FROM items WHERE sec > 0
         GROUP BY pid, main, sec),
 lines AS (
@@ -242,7 +252,8 @@ FIELDS = {
 }
 CONFIG = [
     ("Herkunft", [(FIELDS["nation"], "lebt in {}"), (FIELDS["region"], "Region {}")]),
-    ("Konto", [(FIELDS["segment"], "Segment {}"), (FIELDS["balance"], "Saldo {}"), (FIELDS["rank"], "Rang: {}")]),
+    ("Konto", [(FIELDS["segment"], "Segment {}"), (FIELDS["balance"], "Saldo {}"), (FIELDS["rank"], "Rang: {}"),
+               (FIELDS["balance"], "von {} bis {}")]),
 ]
 COMPLETION = r"Q5 \(Rating.*"
 
@@ -253,7 +264,10 @@ def _sql_field(pat: str) -> str:
 
 
 def _sql_section(group, fields):
-    sents = [f"'{tpl.replace('{}', "' || " + _sql_field(pat) + " || '")}'" for pat, tpl in fields]
+    # a template with two placeholders cannot take one value: the value follows it
+    whole = lambda tpl: tpl if tpl.count("{}") < 2 else tpl.replace("{}", "{ }") + " {}"
+    sents = [f"'{whole(tpl).replace('{}', chr(39) + ' || ' + _sql_field(pat) + ' || ' + chr(39)).replace('{ }', '{}')}'"
+             for pat, tpl in fields]
     any_hit = " OR ".join(f"{_sql_field(pat)} IS NOT NULL" for pat, _ in fields)
     return f"CASE WHEN {any_hit} THEN '{group}:' || chr(10) || concat_ws(', ', {', '.join(sents)}) || '.' END"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -12,72 +10,12 @@ TABLES = (
     "conversations",
 )
 
-# Row key of every table (unique, so hashing on it never makes a hot partition).
-TABLE_KEYS = {
-    "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",),
-    "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",),
-    "lineitem": ("l_orderkey", "l_linenumber"), "events": ("event_id",), "documents": ("doc_id",),
-    "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",),
-    "conversations": ("conv_id", "turn"),
-}
-
-# Inputs up to this size (bytes on storage) are spread over all task slots; see ``table``.
-SPREAD_CONF = "surveyspark.input.spreadBelowBytes"
-SPREAD_DEFAULT = 1 << 30
-
-
-def scan_bytes(df: DataFrame) -> int | None:
-    """Size of a file scan as listed by the file index (no data is read)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy scan of one table; Catalyst prunes columns and pushes filters into it.
-
-    A large input is read as its file splits (many tasks). A small one (at most
-    ``surveyspark.input.spreadBelowBytes`` on storage, 1 GiB by default) may be a
-    single file with a single row group, which Spark reads in one task; it is
-    hash-partitioned on its row key over all task slots so the per-row work
-    after the scan runs in parallel. Filters and column pruning pass through
-    the repartition to the scan.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001  (a session without a local context: plain scan)
-        return spark.read.parquet(path)
-    limit = int(spark.conf.get(SPREAD_CONF, str(SPREAD_DEFAULT)))
-    ck = (sc.applicationId, path, limit)
-    if ck in _SCANS:
-        return _SCANS[ck]
-    df = spark.read.parquet(path)
-    keys = TABLE_KEYS.get(name)
-    if keys and limit > 0:
-        size = scan_bytes(df)
-        if size is not None and size <= limit:
-            df = df.repartition(sc.defaultParallelism, *keys)
-    _SCANS[ck] = df
-    return df
-
-
-# (application, path, spread limit) -> the lazy scan (read once: file listing and footer)
-_SCANS: dict[tuple[str, str, int], DataFrame] = {}
-
-
-# (application, view) -> parquet path it currently points at
-_VIEWS: dict[tuple[str, str], str] = {}
+    """Lazy scan of one table; Catalyst prunes columns and pushes filters into it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views of the named tables; a view still registered for the same file is kept
-    (no new file listing or footer read)."""
-    app = spark.sparkContext.applicationId
+    """Temp views of the named tables, read anew: a rewritten file is never seen stale."""
     for name in names:
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        if not os.path.exists(p) or (_VIEWS.get((app, name)) == p and spark.catalog.tableExists(name)):
-            continue
-        spark.read.parquet(p).createOrReplaceTempView(name)
-        _VIEWS[(app, name)] = p
+        table(spark, sf_dir, name).createOrReplaceTempView(name)

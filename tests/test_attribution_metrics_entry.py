@@ -54,10 +54,16 @@ def test_generation_and_head(spark):
                                  "class_label string, example_index long, feature_pos long, feature string, value double")
     heads = head_per_group(attribution_text(nest_attribution(long)), "class_label", "example_index", 100)
     assert heads.count() == 200
-    gen = batch_generate(explanation_request(heads, style="plain"), "request").collect()
-    assert all(r["llm_text"].startswith("The prediction is mostly driven by \"f\" with") for r in gen)
-    own = batch_generate(explanation_request(heads, style="plain"), "request",
-                         fn=lambda s: s + " OK", out="answer").first()
+    asked = spark.sparkContext.accumulator(0)
+
+    def answer(prompts):
+        asked.add(len(prompts))
+        return prompts + " OK"
+
+    own = batch_generate(explanation_request(heads, style="plain"), answer, out="answer")
+    assert {r["answer"] for r in own.collect()} == {"OK"}
+    assert own.groupBy("answer").count().first()["count"] == 200 and asked.value == 200   # asked once, read twice
+    own = own.first()
     assert own["answer"] == "OK"
 
 
@@ -88,6 +94,8 @@ def test_welch_and_box(spark):
     vb = sum((x - mb) ** 2 for x in b) / 2
     assert w["t_stat"] == pytest.approx((ma - mb) / math.sqrt(va / 5 + vb / 3))
     assert welch_ttest(runs, "model", "v", "a", "c").first()["t_stat"] is None   # run of size 1
+    flat = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 1.0)], "model string, v double")
+    assert welch_ttest(flat, "model", "v", "a", "b").first()["t_stat"] is None   # nothing varies
     assert t_two_sided_p(2.0, 10.0) == pytest.approx(0.07338803, abs=1e-7)
     assert t_two_sided_p(0.0, 5.0) == pytest.approx(1.0)
     bx = {r["model"]: r for r in box_summary(runs, "model", "v").collect()}

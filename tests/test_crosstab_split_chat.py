@@ -221,7 +221,7 @@ def test_question_table_sink_round_trip(spark):
     write_question_tables(tables, out + "/t")
     back = spark.read.parquet(out + "/t")
     assert sorted(r["question_no"] for r in back.select("question_no").distinct().collect()) == [1, 2]
-    assert back.filter("question_no = 2").count() == 6
+    assert back.filter("question_no = 2").count() == 6 and {r["file"] for r in back.collect()} == {"f"}
 
 
 def test_question_tables_chunked_equals_windowed(spark):
@@ -236,5 +236,35 @@ def test_question_tables_chunked_equals_windowed(spark):
                 rows.append((f"f{f}", i, j, v))
     cells = spark.createDataFrame(rows, "file string, row_no bigint, col_no int, value string")
     a = sorted(tuple(r) for r in question_tables(cells).collect())
-    b = sorted(tuple(r) for r in question_tables(cells, chunk_rows=5).collect())
-    assert a == b and len(a) > 0
+    for chunk in (1, 5):
+        assert a == sorted(tuple(r) for r in question_tables(cells, chunk_rows=chunk).collect())
+    assert len(a) > 0
+
+
+def test_splits_keep_every_row(spark):
+    rows = [(None if i % 9 == 0 else i, None if i % 4 == 0 else i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, y int")
+    for out in (split_holdout(df, "k", 0.8), split_stratified(df, "k", "y", 0.8)):
+        assert out.count() == len(rows) and {r["split"] for r in out.select("split").distinct().collect()} == {"train", "validation"}
+    n = {r["y"]: r["count"] for r in split_stratified(df.filter("k is not null"), "k", "y", 0.5).filter("split = 'train'").groupBy("y").count().collect()}
+    total = {r["y"]: r["count"] for r in df.filter("k is not null").groupBy("y").count().collect()}
+    assert n == {y: c // 2 for y, c in total.items()}
+    assert split_holdout(df.limit(0), "k").count() == 0
+
+
+def test_render_full_branches(spark):
+    kind = "id int, messages array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:map<string,string>>>>>"
+    call = [("search", {"q": "x", "n": "2"})]
+    m = spark.createDataFrame([(1, [("system", "S", None), ("user", "Hi", None), ("assistant", "", call), ("tool", "r", None)]),
+                               (2, []), (3, [("system", "S", None)]), (4, [("user", None, None)])], kind)
+    plain = F.transform("messages", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    got = {r["id"]: r["t"] for r in m.select("id", render_full(plain).alias("t")).collect()}
+    assert '<|start_header_id|>ipython<|end_header_id|>\n\n"r"<|eot_id|>' in got[1] and got[2] is None and got[4] is not None
+    tools = [{"name": "other"}]
+    got = {r["id"]: (r["t"], r["e"]) for r in m.select(
+        "id", render_full("messages", tools=tools).alias("t"), template_error("messages").alias("e")).collect()}
+    assert got[2][0] is None and "no messages" in got[2][1] and got[3][0] is None and "first user message" in got[3][1]
+    t = m.filter("id = 1").select(render_full("messages", tools=tools, builtin_tools=["search", "code_interpreter"],
+                                              tools_in_user_message=False).alias("t")).first()["t"]
+    assert "Environment: ipython\nTools: search\n\nCutting" in t and '"name": "other"\n}\n\nS<|eot_id|>' in t
+    assert '<|python_tag|>search.call(q="x", n="2")<|eom_id|>' in t

@@ -3,8 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from surveyspark.operators.broadcast import small_side
-from surveyspark.operators.crosstab import grid_lines
-from surveyspark.sources.tables import SPREAD_CONF, table
+from surveyspark.operators.crosstab import grid_lines, number_lines, read_lines
+from surveyspark.sources.tables import table
 
 from conftest import SF001
 
@@ -38,17 +38,40 @@ def test_grid_lines_equal_dense_layout(spark):
     assert got == exp
 
 
-def test_small_tables_are_spread_and_filters_reach_the_scan(spark):
-    d = table(spark, SF001, "documents")
-    assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    plan = d.filter(F.col("doc_id") < 10).select("doc_id")._jdf.queryExecution().executedPlan().toString()
+def test_grid_keeps_rows_behind_the_last_cell(spark):
+    cells = spark.createDataFrame([("f", 1, 0, 1, "a")], "file string, question_no bigint, row_no bigint, col_no int, value string")
+    high = spark.createDataFrame([("f", 1, 3)], "file string, question_no bigint, n_rows bigint")
+    got = sorted((r["row_no"], r["line"]) for r in grid_lines(cells, heights=high).collect())
+    assert got == [(0, ",a"), (1, ","), (2, ",")]
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = table(spark, SF001, "documents").filter(F.col("doc_id") < 10).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(doc_id,10)" in plan and "ReadSchema: struct<doc_id:bigint>" in plan
-    spark.conf.set(SPREAD_CONF, "0")
+
+
+def test_rewritten_table_is_not_read_stale(spark, tmp_path):
+    for n in (3, 5):
+        spark.range(n).withColumnRenamed("id", "r_regionkey").write.mode("overwrite").parquet(f"{tmp_path}/region.parquet")
+        assert table(spark, str(tmp_path), "region").count() == n
+
+
+def test_lines_of_large_files_are_numbered_across_splits(spark, tmp_path):
+    want = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(want) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        plain = table(spark, SF001, "documents")._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plain
+        got = read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
     finally:
-        spark.conf.unset(SPREAD_CONF)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["line_no"], r["line"]) for r in got] == list(enumerate(want))
+
+
+def test_line_ends(spark):
+    df = spark.createDataFrame([("f", "a\n"), ("g", "a\r\nb\x0cc\u2028d"), ("h", ""), ("i", "a\n\n")], "f string, t string")
+    got = sorted((r["file"], r["line_no"], r["line"]) for r in number_lines(df, "f", "t").collect())
+    assert got == [("f", 0, "a"), ("g", 0, "a"), ("g", 1, "b"), ("g", 2, "c"), ("g", 3, "d"), ("h", 0, ""), ("i", 0, "a"), ("i", 1, "")]
 
 
 def test_small_side_broadcasts_only_below_the_bound(spark):

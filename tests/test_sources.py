@@ -37,7 +37,7 @@ def test_small_operators(spark):
 
     lex = spark.createDataFrame([("gut", 1.0), ("schlecht", -2.0)], "word string, score double")
     s = sentiment_lexicon(spark.createDataFrame([(1, "Gut gut schlecht"), (2, None), (3, "sehr gut")],
-                                                "id int, t string"), "t", lex)
+                                                "id int, t string"), "t", lex, ["id"])
     assert {r["id"]: r["sentiment"] for r in s.collect()} == {1: "neutral", 2: "neutral", 3: "positive"}
 
     fs = spark.createDataFrame([(1, [("tax", ["tax", "ta"])], "the taxi")],
