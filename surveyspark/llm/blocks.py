@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.session import checkpoint_dir
@@ -35,6 +36,19 @@ def count_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
     return max(1, -(-int(size) // max(block_bytes, math.isqrt(1024 * int(size)))))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs run inside: a batch of whole texts is
+    held by the JVM and by the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: cuts the lineage, and takes a
     fraction of the room of checkpoint(), which writes rows as they are."""

@@ -217,6 +217,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """Per document: ``id_col, n_shingles, component_id`` (smallest id reachable by links of
     Jaccard >= t_num / t_den)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    with blocks.small_batches(docs.sparkSession):
+        return _similar(rows, width, t_num, t_den, block_bytes).withColumnRenamed("id", id_col)
+
+
+def _similar(rows: DataFrame, width: int, t_num: int, t_den: int, block_bytes: int) -> DataFrame:
     table = prefix_table(rows, width, t_num, t_den)
     n_blocks = blocks.count_blocks(table, "prefix", block_bytes)
 
@@ -273,4 +278,4 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         *sig, F.coalesce("root", "rep").alias("component"))
     out = table.select("id", *sig).join(label, sig, "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))

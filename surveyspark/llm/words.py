@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # text bytes handled at once; one longer text is one slice
+SLICE_BYTES = 1 << 20  # text bytes handled at once; one longer text is one slice
 
 _MASK = (1 << 64) - 1
 
@@ -108,9 +108,11 @@ class Words:
             return np.zeros(0, np.uint64)
         lo = self.start[0]
         reach = np.diff(np.append(self.start, len(self.data)))
-        inside = np.arange(len(self.data) - lo, dtype=np.int64) - np.repeat(self.start - lo, reach)
+        inside = np.arange(len(self.data) - lo, dtype=np.int32)
+        inside -= np.repeat((self.start - lo).astype(np.int32), reach)
         with np.errstate(over="ignore"):
-            part = family.table[self.data[lo:]] * family.place(int(reach.max()))[inside]
+            part = family.table[self.data[lo:]]
+            part *= family.place(int(reach.max()))[inside]
             total = np.add.reduceat(part, self.start - lo)
             return mix(total + (self.end - self.start).astype(np.uint64) * family.factor[63])
 
