@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir, cut_lineage
+from .clean import encode_categories
 from .split import split_stratified
 
 
@@ -45,21 +46,29 @@ MISSING = -1.0e300
 
 
 def model_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")),
-                                         F.lit(MISSING)) for f in features})
+    """Features as doubles: numbers as they are, text as category codes (``encode_categories``);
+    missing values become ``MISSING``."""
+    text = [f for f in features if isinstance(df.schema[f].dataType, T.StringType)]
+    coded = encode_categories(df, text)
+    code = {f: F.when(F.col(f + "_code") >= 0, F.col(f + "_code").cast("double")) for f in text}
+    number = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+    out = coded.withColumns({f: F.coalesce(code[f] if f in code else number(f), F.lit(MISSING)) for f in features})
+    return out.drop(*[f + "_code" for f in text])
 
 
 def train_multiclass(df: DataFrame, features: Sequence[str], label: str, key: str, test_frac: float = 0.2,
                      seed: int = 42, num_trees: int = 20, max_depth: int = 5):
-    """Stratified hash split, then a random forest on the training part.
+    """Stratified hash split, then a random forest on the labelled rows of the training part.
 
-    Returns ``(model, validation_predictions)``; the predictions carry ``key``,
-    the label, its index, ``prediction`` (label text), ``pred_index`` and
-    ``probability`` as an array.
+    ``key`` identifies a row; rows without a label are neither trained on nor predicted. Returns
+    ``(model, validation_predictions)``; the predictions carry ``key``, the label, its index,
+    ``prediction`` (label text), ``pred_index``, ``probability`` as an array and the features as
+    the model saw them.
     """
     # the labelled split is read by every training pass and by validation: cut its
     # lineage once into the shared checkpoint folder
-    d = cut_lineage(split_stratified(model_inputs(df, features), key, label, 1.0 - test_frac, seed))
+    known = model_inputs(df.filter(F.col(label).isNotNull()), features)
+    d = cut_lineage(split_stratified(known, key, label, 1.0 - test_frac, seed))
     idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
     vec = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
@@ -70,9 +79,9 @@ def train_multiclass(df: DataFrame, features: Sequence[str], label: str, key: st
     labels = model.stages[0].labels
     lab = F.array(*[F.lit(x) for x in labels])
     out = val.select(key, label, F.col("_label").cast("int").alias("label_index"),
-                     F.element_at(lab, F.col("_pred").cast("int") + 1).alias("prediction"),
+                     F.try_element_at(lab, F.col("_pred").cast("int") + 1).alias("prediction"),
                      F.col("_pred").cast("int").alias("pred_index"),
-                     vector_to_array("_probability").alias("probability"))
+                     vector_to_array("_probability").alias("probability"), *features)
     return model, out
 
 

@@ -7,13 +7,16 @@ order states the classes, and a linear score with fixed weights per class the mo
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_prompt, tokens
 from ..operators.attribution import (attribution_text, explode_attribution_json, explode_attrs, linear_attribution,
-                                     parse_attribution_text, to_json_lines, top_features)
+                                     parse_attribution_text, to_json_lines, top_features, top_n)
+from ..operators.compare import mean_by_run
 from ..operators.generate import SYSTEM_MESSAGE, explanation_request, head_per_group
 from ..operators.score import features_with_synonyms, keyword_coverage, synonym_expand, tfidf_pair_cosine
+from ..session import cut_lineage
 from .common import SQL_PAIRS, SQL_TOKENS, conversation_pairs, r6, sql_pair_cosine, t
 from .registry import query
 
@@ -206,6 +209,46 @@ def q_keyword_coverage(spark, sf):
                     F.size("features_with_synonyms").cast("bigint").alias("n_features"))
 
 
+# --- the whole chain: attribution -> top features -> text -> score -> comparison of runs ----
+
+SQL_CHAIN = f"""WITH {SQL_ATTR},
+{SQL_TEXT},
+head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class_label ORDER BY example_index) AS hn FROM txt)
+         WHERE hn <= {HEAD_N}),
+ans AS (SELECT text, row_number() OVER (ORDER BY doc_id) AS dn FROM documents),
+pairs AS (SELECT h.class_label, h.example_index, h.shap_text AS text_a, ans.text AS text_b FROM head h JOIN ans ON ans.dn = h.hn),
+{sql_pair_cosine('pairs', 'class_label, example_index')},
+kw AS (
+  SELECT p.class_label, p.example_index,
+         avg(CASE WHEN contains(lower(p.text_b), lower(split_part(replace(r.feature, '_', ' '), ' ', 1))) THEN 1.0 ELSE 0.0 END) AS acc
+  FROM pairs p JOIN ranked r ON r.class_label = p.class_label AND r.example_index = p.example_index AND r.rnk <= 10
+  GROUP BY p.class_label, p.example_index)
+SELECT class_label AS model, count(*) AS n, round(avg(cosine_similarity), 6) AS mean_cosine_similarity,
+       round(avg(acc), 6) AS mean_keyword_accuracy
+FROM cos JOIN kw USING (class_label, example_index) GROUP BY class_label"""
+
+
+@query("explain_and_compare", SQL_CHAIN)
+def q_explain_and_compare(spark, sf):
+    """The first explanations per class, each scored against an answer (the documents in order
+    stand for the answers), compared by class: cosine and coverage of the features' first words."""
+    heads = attribution_text(head_per_group(nested(spark, sf), "class_label", "example_index", HEAD_N))
+    w = Window.partitionBy("class_label").orderBy("example_index")
+    heads = cut_lineage(heads.withColumn("hn", F.row_number().over(w)))
+    answers = t(spark, sf, "documents").select("doc_id", F.col("text").alias("text_b")).orderBy("doc_id").limit(HEAD_N)
+    answers = answers.withColumn("hn", F.row_number().over(Window.orderBy("doc_id")))
+    p = heads.join(answers, "hn").withColumn("features", F.transform(
+        top_n(F.col("attrs"), 10), lambda a: F.split(F.translate(a["feature"], "_", " "), " ")[0]))
+    p = cut_lineage(p.select("class_label", "example_index", "shap_text", "text_b", "features"))
+    keys = ["class_label", "example_index"]
+    own = spark.createDataFrame([], "word string, synonym string")
+    k = keyword_coverage(features_with_synonyms(p, "features", own, keys), "features_with_synonyms", "text_b")
+    scored = k.join(tfidf_pair_cosine(p, keys, "shap_text", "text_b"), keys).withColumnRenamed("class_label", "model")
+    m = mean_by_run(scored, "model", ["cosine_similarity", "keyword_accuracy"])
+    return m.select("model", "n", r6("mean_cosine_similarity").alias("mean_cosine_similarity"),
+                    r6("mean_keyword_accuracy").alias("mean_keyword_accuracy"))
+
+
 # --- JSON in and out ----------------------------------------------------------------
 
 @query("attribution_json_roundtrip", f"""WITH {SQL_ATTR}

@@ -16,20 +16,37 @@ from .explain import FEATURES, examples
 from .registry import query
 
 
+ALL_FEATURES = [*FEATURES, "o_orderpriority"]
+
+
 def labelled_examples(spark, sf):
-    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("example_index"), "o_orderstatus")
+    """The examples with their class and a text feature that is missing for some."""
+    o = t(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("example_index"), "o_orderstatus",
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
     return examples(spark, sf).join(o, "example_index")
 
 
 def _fit(spark, sf):
-    return train_multiclass(labelled_examples(spark, sf), FEATURES, "o_orderstatus", "example_index",
+    return train_multiclass(labelled_examples(spark, sf), ALL_FEATURES, "o_orderstatus", "example_index",
                             test_frac=0.2, seed=42, num_trees=10, max_depth=5)
 
 
-@query("train_multiclass")
+SQL_VALIDATION = """v AS (
+  SELECT example_index, o_orderstatus FROM (
+    SELECT o_orderkey AS example_index, o_orderstatus,
+           row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR))) AS rn,
+           count(*) OVER (PARTITION BY o_orderstatus) AS n
+    FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+  WHERE rn > floor(0.8 * n))"""
+
+
+@query("train_multiclass", f"""WITH {SQL_VALIDATION}
+SELECT example_index, o_orderstatus, true AS predicted FROM v""")
 def q_train_multiclass(spark, sf):
+    """The validation rows; each has one of the classes predicted."""
     _model, pred = _fit(spark, sf)
-    return pred.select("example_index", "o_orderstatus", "prediction")
+    return pred.select("example_index", "o_orderstatus", F.col("prediction").isin("F", "O", "P").alias("predicted"))
 
 
 @query("model_report")
@@ -43,8 +60,11 @@ def q_model_report(spark, sf):
                                       r6("f1_score").alias("f1_score"), "support")
 
 
-@query("tree_attribution")
+@query("tree_attribution", f"""WITH {SQL_VALIDATION}
+SELECT example_index, CAST(3 * {len(ALL_FEATURES) + 1} AS BIGINT) AS n_values, CAST(1.0 AS DOUBLE) AS total FROM v""")
 def q_tree_attribution(spark, sf):
+    """Attributions of every validation row; with the base values they add up to the class
+    probabilities, so to 1 over all classes."""
     model, pred = _fit(spark, sf)
-    val = labelled_examples(spark, sf).join(pred.select("example_index"), "example_index")
-    return tree_attribution(spark, model, val, FEATURES, "example_index")
+    a = tree_attribution(spark, model, pred, ALL_FEATURES, "example_index")
+    return a.groupBy("example_index").agg(F.count(F.lit(1)).alias("n_values"), r6(F.sum("value")).alias("total"))

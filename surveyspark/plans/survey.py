@@ -9,11 +9,15 @@ The operators under test then run through the DataFrame API on top.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators.chat import CHAT_SYSTEM, chat_dataset
 from ..operators.codebook import (answers_long, codebook_options, decode_answers, forward_fill, question_labels,
                                   question_types)
 from ..operators.summarize import extract_fields, prompt_completion_pairs, respondent_summary, sectioned_prompt
+from ..session import checkpoint_dir, cut_lineage
 from ..sources.tables import register_views
 from .common import t
 from .registry import query
@@ -297,3 +301,42 @@ pc AS (SELECT pid, {SQL_PROMPT} AS prompt, {_sql_field(COMPLETION)} AS completio
 SELECT pid, prompt, completion FROM pc WHERE completion IS NOT NULL""")
 def q_prompt_completion_pairs(spark, sf):
     return prompt_completion_pairs(_summaries(spark, sf), "prompt", CONFIG, INTRO, COMPLETION, keys=["pid"])
+
+
+SQL_PAIRS_OF_SUMMARY = f"""{SQL_SUMMARY},
+pc AS (SELECT pid, {SQL_PROMPT} AS prompt, {_sql_field(COMPLETION)} AS completion FROM summary)"""
+
+
+# --- the whole chain: answers -> summary -> prompt -> chat records -> split ----------------
+
+@query("survey_to_chat_dataset", f"""WITH {SQL_PAIRS_OF_SUMMARY},
+k AS (SELECT *, md5('42|' || pid) AS h FROM pc WHERE completion IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY h, pid) AS rn, count(*) OVER () AS n FROM k)
+SELECT pid, CASE WHEN rn <= floor(0.9 * n) THEN 'train' ELSE 'validation' END AS split, '{CHAT_SYSTEM}' AS system_content,
+       prompt AS user_content, completion AS assistant_content FROM r""")
+def q_survey_to_chat_dataset(spark, sf):
+    pairs = prompt_completion_pairs(_summaries(spark, sf), "prompt", CONFIG, INTRO, COMPLETION, keys=["pid"])
+    d = chat_dataset(cut_lineage(pairs), "pid")
+    return d.select("pid", "split", *[F.col("messages")[i]["content"].alias(f"{who}_content")
+                                      for i, who in enumerate(("system", "user", "assistant"))])
+
+
+# --- files out and in ---------------------------------------------------------------------
+
+@query("prompt_pairs_jsonl_roundtrip", f"""WITH {SQL_PAIRS_OF_SUMMARY}
+SELECT pid, prompt, completion FROM pc WHERE completion IS NOT NULL""")
+def q_prompt_pairs_jsonl_roundtrip(spark, sf):
+    """Prompt pairs written as JSON lines and read back."""
+    pairs = prompt_completion_pairs(_summaries(spark, sf), "prompt", CONFIG, INTRO, COMPLETION, keys=["pid"])
+    path = f"{checkpoint_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    pairs.write.json(path)
+    return spark.read.schema(pairs.schema).json(path)
+
+
+@query("summaries_csv_roundtrip", f"WITH {SQL_SUMMARY} SELECT pid, prompt FROM summary")
+def q_summaries_csv_roundtrip(spark, sf):
+    """Summaries (texts with line breaks, quotes and commas) written as CSV and read back."""
+    d = _summaries(spark, sf)
+    path = f"{checkpoint_dir(spark)}/summaries-{uuid.uuid4().hex}"
+    d.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    return spark.read.schema(d.schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
