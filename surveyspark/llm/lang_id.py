@@ -30,7 +30,7 @@ from surveyspark.llm.words import slices
 
 ORDERS = (2, 3, 4)
 CELLS = 1 << 16  # hashed n-grams per order
-SLICE = 4 << 20
+SLICE = 2 << 20
 SWITCH = 6.0  # log penalty of a change of language
 SPREAD = 8.0  # a word speaks at most this strongly against a language
 SMOOTH = 0.5

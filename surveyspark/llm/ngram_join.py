@@ -11,8 +11,8 @@ meets; a pair needs min(l, l') matches.
 Steps: (1) counts of shingles in hashed cells (a fixed 2^17, summed over all documents) give
 order and cost; (2) every block asks which of its prefix shingles occur elsewhere (``blocks``),
 only those become rows; (3) equal sets fall into one class; (4) a first round verifies every
-document against the most central document of each prefix shingle's list and merges what
-links, so a large group of near copies is a star and not all its pairs; (5) the multi-match
+document against one central document that it meets, and merges what links, so a large group
+of near copies is a star and not all its pairs; (5) the multi-match
 join verifies what is left between different components; (6) components of all links.
 
 Edge cases: null or wordless text: the empty set, linked with nothing, its own component; fewer
@@ -36,8 +36,8 @@ from surveyspark.llm.words import Family, Words, has_window, mix, owner, slices,
 
 WORDS = 5
 CELLS = 1 << 17  # cells of the frequency estimate: 1 MB, whatever the corpus
-MOST_MATCHES = 4  # longest prefix extension considered
-VERIFY_COST = 8  # one verification against one shared prefix entry
+MOST_MATCHES = 8  # most shared prefix shingles that are asked for
+VERIFY_COST = 64  # one verification (two texts sent) against one shared prefix entry
 
 _FAMILY = Family(21, lower=True)
 
@@ -111,12 +111,13 @@ class Prefixes:
         for l in range(1, MOST_MATCHES + 1):
             met = upto[sets.first[:-1] + np.minimum(base + l - 1, n)] - upto[sets.first[:-1]]
             costs.append(met * (1 + VERIFY_COST / l))
-        self.matches = np.argmin(np.stack(costs), axis=0) + 1 if len(n) else np.zeros(0, np.int64)
+        # no more matches than the fewest shingles that a partner shares
+        self.matches = np.minimum(np.argmin(np.stack(costs), axis=0) + 1, np.maximum(shared, 1))
         length = np.minimum(base + self.matches - 1, n)
         self.inside = self.place < np.repeat(length, n)
 
 
-def prefix_table(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
+def prefixes(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
     """Per document: ``id, n, sig_a, sig_b, matches`` and its packed ``prefix``, rarest first."""
     counts = cell_counts(docs, width)
 
@@ -138,15 +139,13 @@ def prefix_table(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFra
                      pa.array([kept[x:y].tobytes() for x, y in zip(border[:-1], border[1:])], pa.binary())],
                     names=["id", "n", "sig_a", "sig_b", "matches", "prefix"])
 
-    return blocks.stored(docs.mapInArrow(
-        run, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, prefix binary"))
+    return docs.mapInArrow(run, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, prefix binary")
 
 
-def live_table(table: DataFrame, n_blocks: int) -> DataFrame:
-    """``id, n, sig_a, sig_b, matches`` with the ``live`` prefix shingles (those that occur
-    elsewhere) and their ``places``; documents without any are left out."""
-    rows = table.where("n > 0 and id is not null").withColumn(
-        "block", F.pmod(F.xxhash64("id", "sig_a"), F.lit(n_blocks)))
+def live_table(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """``id, n, sig_a, sig_b, matches`` of every document, with its ``live`` prefix shingles
+    (those that occur elsewhere; null without any) and their ``places``."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "sig_a"), F.lit(n_blocks)))
     order = ("id", "sig_a", "sig_b")
 
     def shingles(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -163,11 +162,10 @@ def live_table(table: DataFrame, n_blocks: int) -> DataFrame:
         keys, where = np.unique(found, return_inverse=True)
         again = blocks.answered(flags, 1, keys, n_blocks)[where]
         spans = list(zip(border[:-1], border[1:]))
-        some = pa.array([bool(again[a:b].any()) for a, b in spans], pa.bool_())
         out = docs.select(["id", "n", "sig_a", "sig_b", "matches"])
-        out = out.append_column("live", pa.array([found[a:b][again[a:b]].tobytes() for a, b in spans], pa.binary()))
-        places = [np.flatnonzero(again[a:b]).astype(np.int32).tobytes() for a, b in spans]
-        return out.append_column("places", pa.array(places, pa.binary())).filter(some)
+        tokens = [found[a:b][again[a:b]].tobytes() or None for a, b in spans]
+        places = [np.flatnonzero(again[a:b]).astype(np.int32).tobytes() or None for a, b in spans]
+        return out.append_column("live", pa.array(tokens, pa.binary())).append_column("places", pa.array(places, pa.binary()))
 
     asked = blocks.occurs_elsewhere(rows.groupBy("block").applyInArrow(ask, blocks.SENT))
     return blocks.with_answers(rows, asked, live, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, "
@@ -222,12 +220,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 def _similar(rows: DataFrame, width: int, t_num: int, t_den: int, block_bytes: int) -> DataFrame:
-    table = prefix_table(rows, width, t_num, t_den)
-    n_blocks = blocks.count_blocks(table, "prefix", block_bytes)
+    # prefixes hold about a fifth of the shingles, so a block takes the texts of four
+    n_blocks = blocks.count_blocks(rows, "text", 4 * block_bytes)
+    table = blocks.stored(live_table(prefixes(rows, width, t_num, t_den), n_blocks))
 
     sig = ["n", "sig_a", "sig_b"]
     classes = table.where("n > 0 and id is not null").groupBy(*sig).agg(F.min("id").alias("rep"))
-    reps = blocks.stored(live_table(table, n_blocks).join(classes, sig).where("id = rep").drop("rep").dropDuplicates(["id"]))
+    reps = blocks.stored(table.where("live is not null and id is not null").join(classes, sig)
+                         .where("id = rep").drop("rep").dropDuplicates(["id"]))
 
     # partners m of n share >= ceil(t (n + m) / (1 + t)) <= n - place + matches - 1
     hi = F.floor(F.lit(t_num + t_den) * (F.col("n") - F.col("place") + F.col("matches") - 1) / F.lit(t_num)) - F.col("n")
@@ -247,7 +247,7 @@ def _similar(rows: DataFrame, width: int, t_num: int, t_den: int, block_bytes: i
                       & (F.col("y.n") * t_den >= F.col("x.n") * t_num)
                       & ((F.col("y.n") < F.col("x.n")) | (F.col("y.id") < F.col("x.id"))))
 
-    # only lists of two or more documents matter, and only their members' texts are fetched
+    # only lists of two or more documents matter, and only their members' texts are fetched, once
     lists = (probe.select("token", "class", "id").unionByName(index.select("token", "class", "id"))
              .groupBy("token", "class").agg(F.min("id").alias("lo"), F.max("id").alias("up")).where("lo <> up")
              .select("token", "class"))
@@ -255,12 +255,16 @@ def _similar(rows: DataFrame, width: int, t_num: int, t_den: int, block_bytes: i
     members = probe.select("id").unionByName(index.select("id")).distinct()
     texts = blocks.stored(rows.join(members, "id", "left_semi").dropDuplicates(["id"]))
 
-    # the list's member with the fewest rare shingles in front of this one is its centre
+    # the list's member with the fewest rare shingles in front of this one is its centre; a
+    # document is held against the centre that it meets most often
     centres = index.groupBy("token", "class").agg(F.min(F.struct("place", "id", "n", "hi", "matches")).alias("c"))
     centres = centres.select("token", "class", "c.*")
     both_ways = probe.alias("x").join(centres.alias("y"), ["token", "class"]).where(
         f"x.id <> y.id and y.n <= x.n and y.n <= x.hi and x.n <= y.hi and y.n * {t_den} >= x.n * {t_num}")
-    star = blocks.stored(both_ways.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    often = both_ways.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+        F.count("*").alias("met"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("met >= asked")
+    star = blocks.stored(often.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("m")).select(
+        "a", (-F.col("m.b")).alias("b")))
     first = blocks.stored(verified(star, texts, width, t_num, t_den))
     merged = components(first).select(F.col("node").alias("id"), "root")
 
@@ -271,7 +275,7 @@ def _similar(rows: DataFrame, width: int, t_num: int, t_den: int, block_bytes: i
     left, right = (d.join(mixed, ["token", "class"]) for d in tagged)
     met = sides(left, right).where("x.comp <> y.comp").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
         F.count("*").alias("met"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("met >= asked")
-    rest = met.select("a", "b").join(star, ["a", "b"], "left_anti")
+    rest = blocks.stored(met.select("a", "b").join(star, ["a", "b"], "left_anti"))
     roots = components(first.unionByName(verified(rest, texts, width, t_num, t_den)))
 
     label = classes.join(roots, classes["rep"] == roots["node"], "left").select(
