@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import format_fixed
 
-ATTR_TYPE = "array<struct<feature_pos:bigint,feature:string,value:double>>"
 # Frame of the attribution sentence.
 TEXT_HEAD = "The most important features are: "
 
@@ -73,10 +72,11 @@ def readable(feature: Column) -> Column:
     return F.translate(feature, "_", " ")
 
 
-def top_features(long: DataFrame, n: int = 10) -> DataFrame:
+def top_features(attribution: DataFrame, n: int = 10) -> DataFrame:
     """``(class_label, example_index, rank, feature, value)`` of the ``n`` largest
-    |value| per example, feature names with ``_`` shown as blanks."""
-    nested = nest_attribution(long)
+    |value| per example, feature names with ``_`` shown as blanks. The nested form (``attrs``)
+    is cut row by row, without a shuffle; the long form is nested first."""
+    nested = attribution if "attrs" in attribution.columns else nest_attribution(attribution)
     top = nested.select("class_label", "example_index", F.posexplode(top_n(F.col("attrs"), n)).alias("rank", "a"))
     return top.select("class_label", "example_index", (F.col("rank") + 1).cast("bigint").alias("rank"),
                       readable(F.col("a.feature")).alias("feature"), F.col("a.value").alias("value"))
@@ -94,11 +94,6 @@ def attribution_text(nested: DataFrame, n: int = 10, attrs: str = "attrs", out:
     return nested.withColumn(out, attribution_sentence(F.col(attrs), n))
 
 
-def attribution_map_text(attrs: Column) -> Column:
-    """The example's attribution as JSON object text ``{"feature": value, ...}`` (feature order)."""
-    return F.to_json(F.map_from_entries(F.transform(attrs, lambda a: F.struct(a["feature"], a["value"]))))
-
-
 def to_json_lines(nested: DataFrame, attrs: str = "attrs") -> DataFrame:
     """Nested attribution as JSON lines ``{"class": {"index": {"feature": value}}}``,
     one line per example, so no single document gathers the whole table."""

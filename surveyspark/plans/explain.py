@@ -90,7 +90,7 @@ def q_linear_attribution(spark, sf):
 SELECT class_label, example_index, rnk AS rank, replace(feature, '_', ' ') AS feature, round(value, 6) AS value
 FROM ranked WHERE rnk <= 3""")
 def q_top_features(spark, sf):
-    top = top_features(explode_attrs(nested(spark, sf)), n=3)
+    top = top_features(nested(spark, sf), n=3)
     return top.select("class_label", "example_index", "rank", "feature", r6("value").alias("value"))
 
 
