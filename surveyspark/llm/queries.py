@@ -17,6 +17,7 @@ from surveyspark.llm import (
     token_counts,
     url_filter,
 )
+from surveyspark.llm.oracle import ORACLE as ORACLE
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,5 +86,3 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
 }
-
-ORACLE: dict[str, str] = {}
