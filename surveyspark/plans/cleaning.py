@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.clean import (drop_named_columns, drop_sparse_columns, encode_categories, fill_defaults,
                                normalize_text, null_profile, rename_by_dictionary, split_target)
 from ..operators.standardize import standardize_categories
+from ..session import checkpoint_dir
+from ..sources.lookups import read_name_map, read_term_list
 from .common import r6, t
 from .registry import query
 
@@ -154,3 +158,29 @@ FROM p LEFT JOIN lut USING (raw)
 @query("standardize_categories", SQL_STD)
 def q_standardize_categories(spark, sf):
     return standardize_categories(part_typo_names(spark, sf), "raw", part_dictionary(spark, sf), 70.0, out="std")
+
+
+# --- lookup files (S9): written from the tables, read back by their readers ---------------
+
+@query("term_list_roundtrip", """
+SELECT CAST(row_number() OVER (ORDER BY p_name) - 1 AS BIGINT) AS pos, p_name AS term FROM (SELECT DISTINCT p_name FROM part)
+""")
+def q_term_list_roundtrip(spark, sf):
+    """The distinct part names as one JSON list (the file's format: one value)."""
+    names = t(spark, sf, "part").select("p_name").distinct()
+    path = f"{checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
+    names.agg(F.to_json(F.array_sort(F.collect_list("p_name"))).alias("value")).write.text(path)
+    return read_term_list(spark, path)
+
+
+@query("name_map_roundtrip", """
+SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS BIGINT) AS pos, n_name AS name,
+       'nation ' || CAST(n_nationkey AS VARCHAR) AS renamed FROM nation
+""")
+def q_name_map_roundtrip(spark, sf):
+    """The nations' names and numbers as one JSON object."""
+    pair = F.struct("n_name", F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("v"))
+    path = f"{checkpoint_dir(spark)}/names-{uuid.uuid4().hex}"
+    one = t(spark, sf, "nation").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(pair)))).alias("value"))
+    one.write.text(path)
+    return read_name_map(spark, path)
