@@ -52,9 +52,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: cuts the lineage, and takes a
     fraction of the room of checkpoint(), which writes rows as they are."""
+    return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A ``stored`` whose tables are removed at the end of the block: for what nothing lazy reads."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out, path = _stored(df)
+        paths.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(conf).delete(path, True)
 
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int) -> DataFrame:

@@ -13,7 +13,8 @@ order and cost; (2) every block asks which of its prefix shingles occur elsewher
 only those become rows; (3) equal sets fall into one class; (4) a first round verifies every
 document against one central document that it meets, and merges what links, so a large group
 of near copies is a star and not all its pairs; (5) the multi-match
-join verifies what is left between different components; (6) components of all links.
+join verifies what is left between different components, after a bound from one parity bit per
+hashed place of a set; (6) components of all links.
 
 Edge cases: null or wordless text: the empty set, linked with nothing, its own component; fewer
 than five words: the whole sequence is the one shingle; very long texts are whole sets;
@@ -24,10 +25,12 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.llm import blocks
@@ -37,7 +40,8 @@ from surveyspark.llm.words import Family, Words, has_window, mix, owner, slices,
 WORDS = 5
 CELLS = 1 << 17  # cells of the frequency estimate: 1 MB, whatever the corpus
 MOST_MATCHES = 8  # most shared prefix shingles that are asked for
-VERIFY_COST = 64  # one verification (two texts sent) against one shared prefix entry
+VERIFY_COST = 16  # one verification (two texts sent) against one shared prefix entry
+PARITY_BITS = 512  # a bit per hashed place: is the number of shingles there odd?
 
 _FAMILY = Family(21, lower=True)
 
@@ -107,9 +111,11 @@ class Prefixes:
         least = -(-t_num * n // t_den)  # smallest partner
         shared = -(-t_num * (n + least) // (t_num + t_den))
         base = np.where(n > 0, n - shared + 1, 0)
+        # most candidates are about as large as the set itself, and those it meets in this prefix
+        usual = np.where(n > 0, n - (-(-2 * t_num * n // (t_num + t_den))) + 1, 0)
         costs = []
         for l in range(1, MOST_MATCHES + 1):
-            met = upto[sets.first[:-1] + np.minimum(base + l - 1, n)] - upto[sets.first[:-1]]
+            met = upto[sets.first[:-1] + np.minimum(usual + l - 1, n)] - upto[sets.first[:-1]]
             costs.append(met * (1 + VERIFY_COST / l))
         # no more matches than the fewest shingles that a partner shares
         self.matches = np.minimum(np.argmin(np.stack(costs), axis=0) + 1, np.maximum(shared, 1))
@@ -118,7 +124,7 @@ class Prefixes:
 
 
 def prefixes(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
-    """Per document: ``id, n, sig_a, sig_b, matches`` and its packed ``prefix``, rarest first."""
+    """Per document: ``id, n, sig_a, sig_b, matches, parity`` and its packed ``prefix``, rarest first."""
     counts = cell_counts(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +137,19 @@ def prefixes(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets.shingle + _FAMILY.factor[50 + k]))])
                         sig.append(pa.array((upto[sets.first[1:]] - upto[sets.first[:-1]]).view(np.int64)))
+                bit = sets.text * PARITY_BITS + (sets.shingle >> np.uint64(64 - 9)).astype(np.int64)
+                odd = np.bincount(bit, minlength=len(sets.size) * PARITY_BITS).astype(np.uint8) & 1
+                words = np.packbits(odd).view(np.int64)
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, PARITY_BITS // 64, dtype=np.int32)), pa.array(words))
                 kept = prefix.shingle[prefix.inside]
                 border = np.concatenate([[0], np.cumsum(prefix.inside)])[sets.first]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(sets.size.astype(np.int64)), *sig,
-                     pa.array(prefix.matches.astype(np.int32)),
+                     pa.array(prefix.matches.astype(np.int32)), parity,
                      pa.array([kept[x:y].tobytes() for x, y in zip(border[:-1], border[1:])], pa.binary())],
-                    names=["id", "n", "sig_a", "sig_b", "matches", "prefix"])
+                    names=["id", "n", "sig_a", "sig_b", "matches", "parity", "prefix"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, prefix binary")
+    return docs.mapInArrow(run, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, parity array<bigint>, prefix binary")
 
 
 def live_table(rows: DataFrame, n_blocks: int) -> DataFrame:
@@ -162,14 +172,14 @@ def live_table(rows: DataFrame, n_blocks: int) -> DataFrame:
         keys, where = np.unique(found, return_inverse=True)
         again = blocks.answered(flags, 1, keys, n_blocks)[where]
         spans = list(zip(border[:-1], border[1:]))
-        out = docs.select(["id", "n", "sig_a", "sig_b", "matches"])
+        out = docs.select(["id", "n", "sig_a", "sig_b", "matches", "parity"])
         tokens = [found[a:b][again[a:b]].tobytes() or None for a, b in spans]
         places = [np.flatnonzero(again[a:b]).astype(np.int32).tobytes() or None for a, b in spans]
         return out.append_column("live", pa.array(tokens, pa.binary())).append_column("places", pa.array(places, pa.binary()))
 
     asked = blocks.occurs_elsewhere(rows.groupBy("block").applyInArrow(ask, blocks.SENT))
     return blocks.with_answers(rows, asked, live, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, "
-                                                  "live binary, places binary")
+                                                  "parity array<bigint>, live binary, places binary")
 
 
 def entries(prefixes: DataFrame) -> DataFrame:
@@ -215,18 +225,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """Per document: ``id_col, n_shingles, component_id`` (smallest id reachable by links of
     Jaccard >= t_num / t_den)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    with blocks.small_batches(docs.sparkSession):
-        return _similar(rows, width, t_num, t_den, block_bytes).withColumnRenamed("id", id_col)
+    spark = docs.sparkSession
+    with blocks.small_batches(spark), blocks.scratch(spark) as keep:
+        return _similar(rows, keep, width, t_num, t_den, block_bytes).withColumnRenamed("id", id_col)
 
 
-def _similar(rows: DataFrame, width: int, t_num: int, t_den: int, block_bytes: int) -> DataFrame:
+def _similar(rows: DataFrame, keep, width: int, t_num: int, t_den: int, block_bytes: int) -> DataFrame:
     # prefixes hold about a fifth of the shingles, so a block takes the texts of four
     n_blocks = blocks.count_blocks(rows, "text", 4 * block_bytes)
     table = blocks.stored(live_table(prefixes(rows, width, t_num, t_den), n_blocks))
 
     sig = ["n", "sig_a", "sig_b"]
     classes = table.where("n > 0 and id is not null").groupBy(*sig).agg(F.min("id").alias("rep"))
-    reps = blocks.stored(table.where("live is not null and id is not null").join(classes, sig)
+    reps = keep(table.where("live is not null and id is not null").join(classes, sig)
                          .where("id = rep").drop("rep").dropDuplicates(["id"]))
 
     # partners m of n share >= ceil(t (n + m) / (1 + t)) <= n - place + matches - 1
@@ -240,42 +251,59 @@ def _similar(rows: DataFrame, width: int, t_num: int, t_den: int, block_bytes: i
     probe = all_entries.where(most >= least).withColumn(
         "class", F.explode(F.sequence(size_class(least), size_class(most))))
 
+    def may_reach(x: str, y: str) -> Column:
+        """Places whose parity differs are shingles that only one of the sets has: at most n + m - 2a."""
+        differ = reduce(add, [F.bit_count(F.col(f"{x}.parity")[k].bitwiseXOR(F.col(f"{y}.parity")[k]))
+                              for k in range(PARITY_BITS // 64)])
+        total = F.col(f"{x}.n") + F.col(f"{y}.n")
+        return differ <= total - 2 * F.ceil(total * F.lit(t_num) / F.lit(t_num + t_den))
+
     def sides(left: DataFrame, right: DataFrame) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
         return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class"))
                       & (F.col("y.n") <= F.col("x.n")) & (F.col("y.n") <= F.col("x.hi")) & (F.col("x.n") <= F.col("y.hi"))
                       & (F.col("y.n") * t_den >= F.col("x.n") * t_num)
-                      & ((F.col("y.n") < F.col("x.n")) | (F.col("y.id") < F.col("x.id"))))
+                      & ((F.col("y.n") < F.col("x.n")) | (F.col("y.id") < F.col("x.id")))
+                      & may_reach("x", "y"))
 
     # only lists of two or more documents matter, and only their members' texts are fetched, once
     lists = (probe.select("token", "class", "id").unionByName(index.select("token", "class", "id"))
              .groupBy("token", "class").agg(F.min("id").alias("lo"), F.max("id").alias("up")).where("lo <> up")
              .select("token", "class"))
-    probe, index = (blocks.stored(d.join(lists, ["token", "class"])) for d in (probe, index))
+    probe, index = (keep(d.join(lists, ["token", "class"])) for d in (probe, index))
     members = probe.select("id").unionByName(index.select("id")).distinct()
-    texts = blocks.stored(rows.join(members, "id", "left_semi").dropDuplicates(["id"]))
-
-    # the list's member with the fewest rare shingles in front of this one is its centre; a
-    # document is held against the centre that it meets most often
-    centres = index.groupBy("token", "class").agg(F.min(F.struct("place", "id", "n", "hi", "matches")).alias("c"))
-    centres = centres.select("token", "class", "c.*")
-    both_ways = probe.alias("x").join(centres.alias("y"), ["token", "class"]).where(
-        f"x.id <> y.id and y.n <= x.n and y.n <= x.hi and x.n <= y.hi and y.n * {t_den} >= x.n * {t_num}")
-    often = both_ways.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.count("*").alias("met"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("met >= asked")
-    star = blocks.stored(often.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("m")).select(
+    texts = keep(rows.join(members, "id", "left_semi").dropDuplicates(["id"]))
+
+    # the list's member with the fewest rare shingles in front of this one is its centre, among
+    # the smaller and among the larger sides; a document is held against the centre it meets most
+    meets = f"x.id <> y.id and y.n <= x.n and y.n <= x.hi and x.n <= y.hi and y.n * {t_den} >= x.n * {t_num}"
+
+    def centre(d: DataFrame) -> DataFrame:
+        return d.groupBy("token", "class").agg(F.min(F.struct("place", "id", "n", "hi", "matches")).alias("c")).select(
+            "token", "class", "c.*")
+
+    small = probe.alias("x").join(centre(index).alias("y"), ["token", "class"]).where(meets).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least("x.matches", "y.matches").alias("asked"))
+    large = index.alias("y").join(centre(probe).alias("x"), ["token", "class"]).where(meets).select(
+        F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.least("x.matches", "y.matches").alias("asked"))
+    often = small.unionByName(large).groupBy("a", "b").agg(
+        F.count("*").alias("met"), F.min("asked").alias("asked")).where("met >= asked")
+    star = keep(often.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("m")).select(
         "a", (-F.col("m.b")).alias("b")))
-    first = blocks.stored(verified(star, texts, width, t_num, t_den))
+    first = keep(verified(star, texts, width, t_num, t_den))
     merged = components(first).select(F.col("node").alias("id"), "root")
 
-    tagged = [d.join(merged, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root") for d in (probe, index)]
+    parity = reps.select("id", "parity")
+    tagged = [d.join(merged, "id", "left").join(parity, "id").withColumn("comp", F.coalesce("root", "id")).drop("root")
+              for d in (probe, index)]
     mixed = (tagged[0].select("token", "class", "comp").unionByName(tagged[1].select("token", "class", "comp"))
              .groupBy("token", "class").agg(F.min("comp").alias("lo"), F.max("comp").alias("up")).where("lo <> up")
              .select("token", "class"))
     left, right = (d.join(mixed, ["token", "class"]) for d in tagged)
     met = sides(left, right).where("x.comp <> y.comp").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
         F.count("*").alias("met"), F.min(F.least("x.matches", "y.matches")).alias("asked")).where("met >= asked")
-    rest = blocks.stored(met.select("a", "b").join(star, ["a", "b"], "left_anti"))
+    tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = keep(met.select("a", "b").join(tried, ["a", "b"], "left_anti"))
     roots = components(first.unionByName(verified(rest, texts, width, t_num, t_den)))
 
     label = classes.join(roots, classes["rep"] == roots["node"], "left").select(
