@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.session import checkpoint_dir
 
-BLOCK_BYTES = 8 << 20  # text bytes of a block
+BLOCK_BYTES = 4 << 20  # text bytes of a block
 
 SENT = "block bigint, bucket bigint, keys binary, more binary"
 FLAGS = "block bigint, bucket bigint, kind int, flags binary"
@@ -30,7 +30,7 @@ FLAGS = "block bigint, bucket bigint, kind int, flags binary"
 
 def count_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> int:
     """As many blocks, and as many buckets, as ``block_bytes`` per block ask for. Blocks times
-    buckets rows are sent; beyond 64 GB blocks grow with the root of the corpus, so that a row
+    buckets rows are sent; beyond 16 GB blocks grow with the root of the corpus, so that a row
     always carries dozens of keys."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("bigint")).alias("n")).first()["n"] or 0
     return max(1, -(-int(size) // max(block_bytes, math.isqrt(1024 * int(size)))))

@@ -28,7 +28,7 @@ from surveyspark.llm.words import slices, stream
 
 TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken"
 # bounds of the per-worker look-ups; they only save time, results do not depend on them
-CACHE_ENTRIES, CACHE_PAIRS = 200_000, 1_000_000
+CACHE_ENTRIES, CACHE_PAIRS = 120_000, 1_000_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -311,6 +311,11 @@ class Codec:
         ids = self.match_ids.learn({p for found in pieces.values() for p in found}, self._new_matches)
         return {w: ",".join([ids[p] for p in found]) for w, found in pieces.items()}
 
+    def forget(self) -> None:
+        """Empties the look-ups: a worker that waits for another task holds no memory for them."""
+        self.match_ids, self.word_ids = _Seen(CACHE_ENTRIES), _Seen(CACHE_ENTRIES)
+        self.rules.fits.clear()
+
     def words(self, text: str) -> list[str]:
         """Parts of a text that can be encoded one by one. A match never runs past a single
         space that stands between two other characters (it can only begin with it), so a
@@ -375,6 +380,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                          pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        c.forget()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -30,7 +30,7 @@ from surveyspark.llm.words import slices
 
 ORDERS = (2, 3, 4)
 CELLS = 1 << 16  # hashed n-grams per order
-SLICE = 2 << 20
+SLICE = 1 << 20
 SWITCH = 6.0  # log penalty of a change of language
 SPREAD = 8.0  # a word speaks at most this strongly against a language
 SMOOTH = 0.5
@@ -64,6 +64,10 @@ _STOP = np.array([b for _, b, _ in _RANGES], np.int64)
 _KIND = np.array([k for _, _, k in _RANGES], np.int64)
 _LETTER = regex.compile(r"\p{L}")
 
+# bytes of the character that a byte begins (0: none), and the bits that its first byte adds
+_LENGTH = np.array([1] * 0x80 + [0] * 0x40 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.uint8)
+_LEAD = np.array([0, 0x7F, 0x1F, 0x0F, 0x07], np.uint8)
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 0x20
 
@@ -100,15 +104,14 @@ class Letters:
 
     def _scripts(self, data: np.ndarray) -> None:
         """``letters``: letters of each word; ``script``: bits of its scripts; and per letter."""
-        size = np.where(data < 0x80, 1, np.where(data < 0xC0, 0, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))))
+        size = _LENGTH[data]
         at = np.flatnonzero((size > 1) | ((size == 1) & (self.bytes != 0x20)))
         size = size[at]
-        padded = np.append(data, np.zeros(4, np.uint8)).astype(np.int64)
-        lead = np.where(size == 1, 0x7F, np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07)))
-        point = padded[at] & lead
+        padded = np.append(data, np.zeros(4, np.uint8))
+        point = (padded[at] & _LEAD[size]).astype(np.int32)
         for k in range(1, 4):
-            more = size > k
-            point = np.where(more, point << 6 | (padded[at + k] & 0x3F), point)
+            more = np.flatnonzero(size > k)
+            point[more] = point[more] << 6 | (padded[at[more] + k] & 0x3F)
         where = np.searchsorted(_START, point, "right") - 1
         known = (where >= 0) & (point <= _STOP[where])
         self.letter_script = _KIND[where[known]]
