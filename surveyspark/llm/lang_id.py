@@ -1,7 +1,7 @@
 """Language identification of mixed-language texts.
 
 A word (a run of letters) may only be in a language whose training texts use one of its
-scripts (code point ranges). Among those, byte n-gram counts score the word, and a Viterbi pass
+scripts (code point ranges; all scripts without ranges are one, Other). Among those, byte n-gram counts score the word, and a Viterbi pass
 over the words of a text, with a penalty for every change of language, labels the spans. The
 text's language is the one that labels most letters.
 
@@ -38,8 +38,8 @@ SCRIPT_SHARE = 0.01  # a language uses a script that holds this share of its let
 
 UND = "und"
 
-# Script ranges, fixed values of the Unicode standard (first, last code point; letters of other
-# scripts count as OTHER).
+# Script ranges, fixed values of the Unicode standard (first, last code point). Letters of these
+# scripts outside the ranges count too; letters of all other scripts count as Other.
 SCRIPTS = (
     ("Latin", ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2B8),
                (0x1E00, 0x1EFF))),
@@ -57,12 +57,31 @@ SCRIPTS = (
     ("Hangul", ((0x1100, 0x11FF), (0x3131, 0x318E), (0xAC00, 0xD7A3))),
     ("Kana", ((0x3041, 0x3096), (0x30A1, 0x30FA))),
     ("Han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F))),
+    ("Other", ()),
 )
-_RANGES = sorted((a, b, k) for k, (_, spans) in enumerate(SCRIPTS) for a, b in spans)
-_START = np.array([a for a, _, _ in _RANGES], np.int64)
-_STOP = np.array([b for _, b, _ in _RANGES], np.int64)
-_KIND = np.array([k for _, _, k in _RANGES], np.int64)
 _LETTER = regex.compile(r"\p{L}")
+_NO_LETTER = 255
+
+
+def _kinds() -> np.ndarray:
+    """Number of the script of every code point, ``_NO_LETTER`` for what is no letter."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x40000)]))  # no letters in the planes above
+    place = lambda k: k if k < 0xD800 else k + 0x800
+    kind = np.full(0x110000, _NO_LETTER, np.uint8)
+    for m in regex.finditer(r"\p{L}+", every):
+        kind[place(m.start()):place(m.end() - 1) + 1] = len(SCRIPTS) - 1
+    letters = "".join(map(chr, np.flatnonzero(kind != _NO_LETTER).tolist()))
+    for k, (name, _) in reversed([*enumerate(SCRIPTS[:-1])]):
+        named = "Hiragana}\\p{scx=Katakana" if name == "Kana" else name
+        for c in regex.findall(rf"[\p{{scx={named}}}]", letters):
+            kind[ord(c)] = k
+    for k, (_, spans) in enumerate(SCRIPTS):
+        for a, b in spans:
+            kind[a:b + 1] = k
+    return kind
+
+
+_KIND = _kinds()
 
 # bytes of the character that a byte begins (0: none), and the bits that its first byte adds
 _LENGTH = np.array([1] * 0x80 + [0] * 0x40 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.uint8)
@@ -112,10 +131,10 @@ class Letters:
         for k in range(1, 4):
             more = np.flatnonzero(size > k)
             point[more] = point[more] << 6 | (padded[at[more] + k] & 0x3F)
-        where = np.searchsorted(_START, point, "right") - 1
-        known = (where >= 0) & (point <= _STOP[where])
-        self.letter_script = _KIND[where[known]]
-        self.letter_word = np.searchsorted(self.start, at[known], "right") - 1
+        kind = _KIND[point]
+        letter = kind != _NO_LETTER
+        self.letter_script = kind[letter].astype(np.int64)
+        self.letter_word = np.searchsorted(self.start, at[letter], "right") - 1
         self.letters = np.bincount(self.letter_word, minlength=len(self.start))
         self.script = np.zeros(len(self.start), np.int64)
         np.bitwise_or.at(self.script, self.letter_word, np.int64(1) << self.letter_script)
@@ -239,8 +258,8 @@ def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, switch: flo
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (share of letters in spans of that language) and
-    ``lang_spans``: runs of words (counted from 0) with one label. Columns of these names are replaced."""
+    """``docs`` with ``lang_pred``, ``score`` (share of all letters that lie in spans of that language
+    and in a script that a trained language uses) and ``lang_spans``: runs of words (counted from 0) with one label. Columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score", "lang_spans")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.expr(
         "cast(array() as array<struct<lang:string,first:int,last:int>>)").alias("lang_spans")).schema
@@ -249,12 +268,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
     def label(texts: list[str | None]) -> tuple[list, list, list]:
         w = Letters([t or "" for t in texts])
         path = viterbi(model.words(w), w.first[:-1], w.count, switch)
-        useful = (w.script[:, None] & model.script[None, :]).any(1) if len(model.langs) else np.zeros(len(w.start), bool)
-        weight = w.letters * useful
+        useful = np.bitwise_or.reduce(model.script) >> w.letter_script & 1
+        weight = np.bincount(w.letter_word, useful, len(w.start))
         text = np.repeat(np.arange(len(texts)), w.count)
         per = np.bincount(text * len(model.langs) + path, weight, len(texts) * len(model.langs)).reshape(len(texts), -1)
-        top, total = per.argmax(1), per.sum(1)
-        share = np.where(total > 0, per.max(1) / np.maximum(total, 1), 0.0)
+        top, total = per.argmax(1), np.bincount(text, w.letters, len(texts))
+        share = per.max(1) / np.maximum(total, 1)
         head = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (text[1:] != text[:-1]))) if len(path) else np.zeros(0, np.int64)
         tail = np.append(head[1:], len(path)) - 1
         spans: list[list[dict]] = [[] for _ in texts]

@@ -38,6 +38,31 @@ def test_language_spans_scripts_and_odd_texts(spark):
     assert (got[7].lang_pred, got[7].score) == ("en", 1.0)
 
 
+def test_language_in_a_script_without_ranges(spark):
+    import corpus_pipeline
+
+    telugu, kannada = "పిల్లి మరియు కుక్క ఇంటికి వెళ్ళాయి", "ಬೆಕ್ಕು ಮತ್ತು ನಾಯಿ ಮನೆಗೆ ಹೋದವು"
+    rows = [(k, (telugu, "te") if k % 3 else ("the cat and the dog went home", "en")) for k in range(60)]
+    df = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, (t, lang) in rows],
+                               "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in lang_id.predict_languages(df).collect()}
+    assert {k: (got[k].lang_pred, got[k].score) for k, _ in rows} == {k: (lang, 1.0) for k, (_, lang) in rows}
+    assert corpus_pipeline.language(spark, df, "").count() == 60
+    model = lang_id.fit(df.unionByName(df.limit(1).withColumn("text", F.lit(kannada * 9)).withColumn("lang", F.lit("kn"))))
+    odd = spark.createDataFrame([(1, kannada), (2, telugu)], "doc_id int, text string")
+    assert {r.doc_id: r.lang_pred for r in lang_id.identify(odd, model).collect()} == {1: "kn", 2: "te"}
+    # without Telugu in the model, its letters weigh against a few Latin ones, also inside one word
+    latin = lang_id.fit(df.where("lang = 'en'"))
+    odd = spark.createDataFrame([(1, telugu + " the " + telugu), (2, telugu.replace(" ", "\u00a0") + "the")], "doc_id int, text string")
+    assert all(r.lang_pred == "en" and 0 < r.score < 0.2 for r in lang_id.identify(odd, latin).collect())
+
+
+def test_letters_of_listed_scripts_outside_the_ranges():
+    name = lambda c: lang_id.SCRIPTS[lang_id._KIND[ord(c)]][0]
+    assert [name(c) for c in "เーꙀﬀక"] == ["Thai", "Kana", "Cyrillic", "Latin", "Other"]
+    assert all(lang_id._KIND[ord(c)] == 255 for c in "“—1👍\u0c3f")
+
+
 def test_viterbi_equals_trying_all_paths():
     rng = np.random.default_rng(2)
     count = np.array([3, 0, 5, 1])
