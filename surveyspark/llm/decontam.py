@@ -10,10 +10,12 @@ The items are cut into chunks of at most ``CHUNK_BYTES`` of text; a chunk's seed
 and the documents are read once per chunk, so any number of items works the same way. Documents
 are never shuffled.
 
-Tokens: lower-cased runs of letters, digits and non-ASCII characters; ASCII punctuation and
-white space separate. Edge cases: null and empty texts hold nothing; very long texts are scanned
-whole; items with fewer than ``least`` tokens, and null items, are never reported; equal items
-are reported each; ties between equally long stretches go to the earlier place in the document,
+Tokens: lower-cased runs of letters, digits and non-ASCII symbols; punctuation, white space (of
+all Unicode) and ASCII symbols separate, and every character of a script written without spaces
+is a token. Items with fewer than ``least`` tokens are met only when asked for (``short``, as the
+query and the pipeline do): by a seed of their own length, so whole, with coverage 1. Edge cases:
+null and empty texts hold nothing; very long texts are scanned whole; null items and those without
+a token are never reported; equal items are reported each; ties between equally long stretches go to the earlier place in the document,
 then in the item; empty tables give no reports; other columns ride along.
 """
 
@@ -39,6 +41,10 @@ LEAK = "struct<item_id:bigint,coverage:double,longest:int,tiles:int>"
 _FAMILY = Family(31)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
+_GAP = r"[\p{Z}\p{P}\x{80}-\x{9F}]+"
+_UNSPACED = "([%s\u30fc\uff70])" % "".join(r"\p{%s}" % x for x in (
+    "Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Tai_Le",
+    "New_Tai_Lue", "Tai_Tham", "Tai_Viet", "Balinese", "Javanese"))
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
 
 
@@ -88,9 +94,9 @@ def tiling(text: list[int], item: list[int], least: int) -> list[tuple[int, int,
 
 
 class Seeds:
-    """Tokens and seeds of one chunk of items."""
+    """Tokens and seeds of one chunk of items; ``short``: tokens of shorter items -> their numbers, by length."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], least: int):
+    def __init__(self, ids: list[int], texts: list[str | None], least: int, short: bool = False):
         self.least, self.ids = least, ids
         w, h = _tokens(pa.array(texts, pa.string()))
         self.items = [(h[a:b] % np.uint64(_PRIME)).tolist() for a, b in zip(w.first[:-1], w.first[1:])]
@@ -100,12 +106,23 @@ class Seeds:
         order = np.argsort(keys, kind="stable")
         self.keys, self.item = keys[order], text[order]
         self.place = (at - w.first[text])[order]
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        for k, n in enumerate(w.count.tolist()):
+            if short and 0 < n < least:
+                self.short.setdefault(n, {}).setdefault(tuple(h[w.first[k]:w.first[k + 1]].tolist()), []).append(k)
+        self.short_keys = {}
+        for n, items in self.short.items():
+            every = np.array(list(items), np.uint64).ravel()
+            self.short_keys[n] = np.unique(window_hashes(every, n, _FAMILY)[::n])
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
 
 def _tokens(col: pa.Array) -> tuple[Words, np.ndarray]:
-    w = Words(pc.utf8_lower(col.cast(pa.large_string())), _FOLD)
+    col = pc.utf8_lower(col.cast(pa.large_string()))
+    if not pc.all(pc.string_is_ascii(col), min_count=0).as_py():
+        col = pc.replace_substring_regex(pc.replace_substring_regex(col, _UNSPACED, r" \1 "), _GAP, " ")
+    w = Words(col, _FOLD)
     return w, w.hashes(_FAMILY)
 
 
@@ -125,6 +142,14 @@ def _leaks(col: pa.Array, seeds: Seeds, coverage: float) -> list[list[tuple[int,
             places.add(int(seeds.place[k]))
             if not where or where[-1] != p:
                 where.append(p)
+    for n, items in seeds.short.items():
+        keys, known = window_hashes(h, n, _FAMILY), seeds.short_keys[n]
+        at = np.flatnonzero(has_window(w, n))
+        at = at[known[np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)] == keys[at]]
+        text = np.searchsorted(w.first, at, "right") - 1
+        _, one = np.unique(np.stack([text.astype(np.uint64), keys[at]]), axis=1, return_index=True)
+        for t, p in zip(text[one].tolist(), at[one].tolist()):
+            out[t] += [(seeds.ids[k], 1.0, n, 1) for k in items.get(tuple(h[p:p + n].tolist()), ())]
     for (t, item), (places, where) in sorted(met.items()):
         tokens = seeds.items[item]
         could = {q + k for q in places for k in range(seeds.least)}
@@ -146,8 +171,8 @@ def _leaks(col: pa.Array, seeds: Seeds, coverage: float) -> list[list[tuple[int,
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE,
-               chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs`` with ``leaks``: the items found in each text."""
+               chunk_bytes: int = CHUNK_BYTES, short: bool = False) -> DataFrame:
+    """``docs`` with ``leaks``: the items found in each text; ``short``: also those of fewer than ``least`` tokens."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_chunks = max(1, -(-int(total) // chunk_bytes))
@@ -157,7 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     names = [f.name for f in leak.value_type]
     for chunk in range(n_chunks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks)) == chunk).orderBy("item_id", "text").toArrow()
-        seeds = Seeds(mine.column("item_id").to_pylist(), mine.column("text").to_pylist(), least)
+        seeds = Seeds(mine.column("item_id").to_pylist(), mine.column("text").to_pylist(), least, short)
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:

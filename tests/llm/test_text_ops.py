@@ -127,6 +127,25 @@ def test_leaks(spark):
     assert decontam.find_leaks(df, items.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+def test_leaks_of_short_and_unspaced_items(spark, tmp_path):
+    import corpus_pipeline
+    from surveyspark.llm import queries
+
+    items = [(1, "Capital of France?"), (2, "今天天气很好我们去公园。"), (3, "ตอบคำถามต่อไปนี้"), (4, "capital  of france"), (5, "。?"),
+             (6, "eins zwei drei vier fünf sechs"), (7, "why")]
+    docs = [(10, "what is the capital of France, please"), (11, "他说今天天气很好我们去公园吧"), (12, "กรุณาตอบคำถามต่อไปนี้ครับ"),
+            (13, "capital of all France"), (14, "“eins—zwei\u3000drei”\u00a0vier…fünf«sechs»"), (15, "why not, why"), (16, None), (17, "whys 。?")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.longest, r.tiles) for r in queries.op6_decontamination(spark, str(tmp_path)).collect()}
+    assert set(got) == {(10, 1), (10, 4), (11, 2), (12, 3), (14, 6), (15, 7)}
+    assert [got[10, 1], got[11, 2], got[14, 6], got[15, 7]] == [(1.0, 3, 1), (1.0, 11, 1), (1.0, 6, 1), (1.0, 1, 1)]
+    assert got[12, 3][0] == 1.0
+    kept = corpus_pipeline.benchmark_leaks(spark, df, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [13, 16, 17]
+
+
 @pytest.mark.parametrize("chunk_blocks", [1, 2, 4096])
 def test_separator_scan(spark, chunk_blocks):
     rng, rows, want = random.Random(chunk_blocks), [], []
