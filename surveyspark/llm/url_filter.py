@@ -3,7 +3,7 @@
 DataFrame functions and Spark ML only. The trees learn from labelled URLs (here: those that a
 rule decides): a bounded sample of distinct labelled URLs, the ``sample`` smallest by hash.
 Suffix statistics (the share of blocked URLs per last label and last two labels of the host)
-come from the same sample, so their table has at most ``sample`` rows and is broadcast.
+count all distinct labelled URLs; their table is broadcast only after a check of its size.
 
 Edge cases: null url or none with ``://``: host and path empty, no rule, judged by the trees on
 empty features; very long urls are judged whole; repeated rows get the same verdict; when the
@@ -22,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.operators.broadcast import small_side
 from surveyspark.session import cut_lineage
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -72,10 +73,19 @@ def with_features(urls: DataFrame) -> DataFrame:
             .withColumn("suffix2", F.substring_index("host", ".", -2)))
 
 
-def _with_rates(urls: DataFrame, sample: DataFrame) -> DataFrame:
-    for k in ("1", "2"):
-        rate = sample.groupBy(f"suffix{k}").agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"rate{k}"))
-        urls = urls.join(F.broadcast(rate), f"suffix{k}", "left").fillna(0.5, [f"rate{k}"])
+def suffix_rates(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Per suffix of one or two labels the share of blocked URLs among the distinct ``labelled`` ones."""
+    two = cut_lineage(labelled.groupBy(F.substring_index("host", ".", -2).alias("suffix2")).agg(
+        F.sum("label").alias("blocked"), F.count("*").alias("n")))
+    one = two.groupBy(F.substring_index("suffix2", ".", -1).alias("suffix1")).agg(
+        F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
+    return {k: small_side(cut_lineage(t.select(f"suffix{k}", ((F.col("blocked") + 1) / (F.col("n") + 2)).alias(f"rate{k}"))))
+            for k, t in (("1", one), ("2", two))}
+
+
+def _with_rates(urls: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
+    for k, rate in rates.items():
+        urls = urls.join(rate, f"suffix{k}", "left").fillna(0.5, [f"rate{k}"])
     return urls
 
 
@@ -89,7 +99,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.withColumn("rule", rule).withColumn("said", said)
 
     labelled = rows.where("said is not null").select("url", "host", "path", (F.col("said") == "block").cast("double").alias("label"))
-    chosen = cut_lineage(with_features(labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(sample)))
+    labelled = labelled.distinct()
+    chosen = cut_lineage(with_features(labelled.orderBy(F.xxhash64("url"), "url").limit(sample)))
     verdicts = [r["label"] for r in chosen.select("label").distinct().collect()]  # two rows at most
     known = F.col("said")
     if len(verdicts) < 2:
@@ -97,9 +108,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         judged = rows.withColumn("block_score", F.lit(None).cast("double")).withColumn("verdict", F.coalesce(known, F.lit(usual)))
     else:
         assemble = VectorAssembler(inputCols=list(NUMERIC), outputCol="features")
+        rates = suffix_rates(labelled)
         model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=7, checkpointInterval=-1,
-                              cacheNodeIds=False).fit(assemble.transform(_with_rates(chosen, chosen)).select("features", "label"))
-        scored = model.transform(assemble.transform(_with_rates(with_features(rows), chosen)))
+                              cacheNodeIds=False).fit(assemble.transform(_with_rates(chosen, rates)).select("features", "label"))
+        scored = model.transform(assemble.transform(_with_rates(with_features(rows), rates)))
         score = F.when(F.col("rule").isNull(), vector_to_array("probability")[1])
         judged = scored.withColumn("block_score", score).withColumn(
             "verdict", F.coalesce(known, F.when(score >= 0.5, F.lit("block")).otherwise(F.lit("allow"))))

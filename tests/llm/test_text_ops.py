@@ -256,6 +256,19 @@ def test_url_rules_and_trees(spark):
     assert {r.verdict for r in url_filter.judge(df.where("page_id in (2, 7)")).collect()} == {"allow"}
 
 
+def test_url_suffix_rates_count_all_labelled_urls(spark):
+    blocked = {f"s{k}.test": hashlib.md5(str(k).encode()).digest()[0] % 2 == 1 for k in range(100, 160)}
+    rules = [("block" if b else "allow", f"{d}/a/") for d, b in blocked.items()]
+    rows = [(k, f"http://{d}/{path}/{x}") for k, d in enumerate(blocked) for path, x in (("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"))]
+    df = spark.createDataFrame(rows, "page_id int, url string")
+    got = url_filter.judge(df, rules=rules, sample=25).where("rule is null").collect()
+    assert {r.host: r.verdict == "block" for r in got} == blocked
+    labelled = df.where("url like '%/a/%'").distinct().select(url_filter.host_and_path(F.col("url"))[0].alias("host"), F.lit(1.0).alias("label"))
+    rates = url_filter.suffix_rates(labelled)
+    assert {r.rate2 for r in rates["2"].collect()} == {3 / 4} and rates["2"].count() == 60
+    assert [tuple(r) for r in rates["1"].collect()] == [("test", 121 / 122)]
+
+
 def test_url_plan_is_native(spark):
     plan = url_filter.judge(spark.read.parquet(f"{SF001}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
