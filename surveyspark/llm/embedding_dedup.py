@@ -10,11 +10,14 @@ Equal vectors are one class with a multiplicity, so a large group of copies is o
 are cut into pieces of bounded size on both sides, a task compares two pieces, and sends link
 counts and a spanning forest, never pairs.
 
-Bounds: the codebooks are fitted on ``SAMPLE`` vectors (the smallest by hash), all vectors are
-indexed; at most ``MAX_CENTROIDS`` per half.
+Vectors of different length never link: every length has cells and an index of its own, and a
+length with at most ``FEW`` distinct vectors is one cell, compared in full.
 
-Edge cases: null, zero and non-finite vectors, those with a null component, and those whose
-length is not that of the sample's first vector link with nothing; repeated rows are one class
+Bounds: the codebooks of a length are fitted on ``SAMPLE`` of its vectors (the smallest by hash),
+all vectors are indexed; at most ``MAX_CENTROIDS`` per half.
+
+Edge cases: null, empty, zero and non-finite vectors and those with a null component link with
+nothing; of a vector with one component only the sign counts; repeated rows are one class
 (each row keeps its id); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,7 @@ SAMPLE = 8192
 MAX_CENTROIDS = 512
 PER_CELL = 16  # wanted vectors per cell, as long as the centroids last
 RECALL = 0.98  # one-directional, for neighbours at exactly the threshold
+FEW = 256  # distinct vectors of a length that need no index
 PIECE = 2048  # vectors of a cell compared at once
 
 
@@ -54,7 +59,8 @@ def packed(rows: DataFrame) -> DataFrame:
             out = []
             for v in batch.column(1):
                 x = None if not v.is_valid or v.values.null_count else np.asarray(v.values, np.float64)
-                ok = x is not None and len(x) > 1 and np.isfinite(x).all() and x.any()
+                ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
+                x = np.sign(x) if ok and len(x) == 1 else x
                 out.append((x + 0.0).tobytes() if ok else None)  # + 0.0: one kind of zero
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "x"])
 
@@ -146,32 +152,43 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vectors = cut_lineage(packed(rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"))))
     classes = vectors.where("x is not null and vec_id is not null").groupBy("x").agg(
         F.min("vec_id").alias("id"), F.count("*").alias("times"))
-    n_classes = classes.count()
-    chosen = classes.select("x").orderBy(F.xxhash64("x"), "x").limit(sample).toArrow().column("x").combine_chunks()
-    if not len(chosen):
+    sizes = {r["width"]: r["n"] for r in classes.groupBy(F.length("x").alias("width")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return vectors.select(F.col("vec_id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"),
                               F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = len(chosen[0].as_buffer())
-    known = unpack(pa.array([v.as_py() for v in chosen if len(v.as_buffer()) == width], pa.binary()))
-    centroids = int(np.clip(np.ceil(np.sqrt(n_classes / PER_CELL)), 2, min(MAX_CENTROIDS, len(known)) if len(known) > 1 else 2))
-    index = MultiIndex(known, min(centroids, len(known)), least, recall)
+    indexes: dict[int, MultiIndex | None] = {}
+    first, n_cells = {}, 0  # the cells of a length are numbered from first[length]
+    for width, n in sorted(sizes.items()):
+        indexes[width], first[width] = None, n_cells
+        if n > FEW:
+            known = unpack(classes.where(F.length("x") == width).select("x").orderBy(F.xxhash64("x"), "x").limit(sample)
+                           .toArrow().column("x").combine_chunks())
+            centroids = int(np.clip(np.ceil(np.sqrt(n / PER_CELL)), 2, MAX_CENTROIDS))
+            indexes[width] = MultiIndex(known, min(centroids, len(known)), least, recall)
+        n_cells += len(indexes[width].books[0]) * len(indexes[width].books[1]) if indexes[width] else 1
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                cells, seen = zip(*index.visits(unpack(part.column(1))))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(cells, pa.int64()),
-                     pa.array(list(seen), pa.list_(pa.int64()))], names=["id", "x", "times", "home", "seen"])
-
-    placed = cut_lineage(classes.where(F.length("x") == width).select("id", "x", "times").mapInArrow(
+                whole = batch.slice(at, 1024)
+                widths = pc.binary_length(whole.column(1))
+                for width in pc.unique(widths).to_pylist():
+                    part = whole.filter(pc.equal(widths, width))
+                    index, base = indexes[width], first[width]
+                    found = index.visits(unpack(part.column(1))) if index else [(0, [0])] * part.num_rows
+                    cells, seen = zip(*((base + own, [base + c for c in met]) for own, met in found))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), part.column(2), pa.array(cells, pa.int64()),
+                         pa.array(list(seen), pa.list_(pa.int64()))], names=["id", "x", "times", "home", "seen"])
+
+    placed = cut_lineage(classes.select("id", "x", "times").mapInArrow(
         assign, "id bigint, x binary, times bigint, home bigint, seen array<bigint>"))
     probes = placed.select("id", "x", "times", "home", F.explode("seen").alias("cell"))
     pieces = lambda c: F.ceil(c / F.lit(piece)).cast("int")
     cells = (placed.groupBy(F.col("home").alias("cell")).agg(pieces(F.count("*")).alias("home_pieces"))
              .join(probes.groupBy("cell").agg(pieces(F.count("*")).alias("probe_pieces")), "cell"))
-    cells = F.broadcast(cells)  # at most MAX_CENTROIDS squared rows of 16 bytes
+    if n_cells <= MAX_CENTROIDS ** 2:
+        cells = F.broadcast(cells)  # rows of 16 bytes
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     homes = (placed.withColumn("cell", F.col("home")).join(cells, "cell").withColumn("s", part("home_pieces", 1))
@@ -185,9 +202,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         ids, times, own = (np.asarray(probe.column(c)) for c in ("id", "times", "home"))
         there, there_times = np.asarray(home.column("home_id")), np.asarray(home.column("home_times"))
         y = unpack(home.column("home_x").combine_chunks())
+        index, base = indexes.get(8 * y.shape[1]), first.get(8 * y.shape[1], 0)
         links: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
-        for at in range(0, len(ids), piece if len(there) else len(ids) + 1):
+        for at in range(0, len(ids) if len(there) else 0, piece):
             x = unpack(probe.column("x").combine_chunks().slice(at, piece))
             part_ids = ids[at:at + piece]
             hit = (x @ y.T >= least) & (part_ids[:, None] != there[None])
@@ -195,9 +213,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             if not len(p):
                 continue
             # a pair that either side finds is counted where the smaller id probes
-            mutual = np.zeros(len(p), bool)
-            for k in range(0, len(p), 4096):
-                mutual[k:k + 4096] = index.sees(y[h[k:k + 4096]], own[at + p[k:k + 4096]])
+            mutual = np.ones(len(p), bool)
+            for k in range(0, len(p) if index else 0, 4096):
+                mutual[k:k + 4096] = index.sees(y[h[k:k + 4096]], own[at + p[k:k + 4096]] - base)
             once = ~mutual | (part_ids[p] < there[h])
             for who, n in ((part_ids[p[once]], there_times[h[once]]), (there[h[once]], times[at + p[once]])):
                 found, back = np.unique(who, return_inverse=True)

@@ -102,6 +102,23 @@ def test_embeddings_against_all_pairs(spark):
             assert {i: got[3 * i].component_id for i in range(usable)} == {i: 3 * c for i, c in component.items()}
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    vectors = []
+    for width, n in ((16, 300), (24, 300), (5, 40)):
+        x = rng.standard_normal((n, width))
+        vectors += [*x.tolist(), *(x[:30] + 1e-4 * rng.standard_normal((30, width))).tolist()]
+    vectors += [[2.0], [0.5], [-3.0], [-1.0], [0.0], []]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>").repartition(4)
+    unit = [np.array(v) / (np.linalg.norm(v) or 1) for v in vectors]
+    hit = [(i, j) for i, u in enumerate(unit) for j, v in enumerate(unit) if i != j and len(u) == len(v) and u @ v >= 0.95]
+    want = roots(range(len(vectors)), hit)
+    for piece in (2048, 7):
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, piece=piece).collect()}
+        assert {i: r.component_id for i, r in got.items()} == want
+        assert sum(r.n_links for r in got.values()) == len(hit) and all(got[i].n_links for i, _ in hit)
+
+
 def test_embedding_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
