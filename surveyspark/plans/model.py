@@ -49,6 +49,13 @@ def q_train_multiclass(spark, sf):
     return pred.select("example_index", "o_orderstatus", F.col("prediction").isin("F", "O", "P").alias("predicted"))
 
 
+@query("train_multiclass_predictions")
+def q_train_multiclass_predictions(spark, sf):
+    """The validation rows with the class predicted."""
+    _model, pred = _fit(spark, sf)
+    return pred.select("example_index", "o_orderstatus", "prediction")
+
+
 @query("model_report")
 def q_model_report(spark, sf):
     _model, pred = _fit(spark, sf)
@@ -68,3 +75,10 @@ def q_tree_attribution(spark, sf):
     model, pred = _fit(spark, sf)
     a = tree_attribution(spark, model, pred, ALL_FEATURES, "example_index")
     return a.groupBy("example_index").agg(F.count(F.lit(1)).alias("n_values"), r6(F.sum("value")).alias("total"))
+
+
+@query("tree_attribution_values")
+def q_tree_attribution_values(spark, sf):
+    """One attribution per validation row, class and feature, and the base value of every class."""
+    model, pred = _fit(spark, sf)
+    return tree_attribution(spark, model, pred, ALL_FEATURES, "example_index")

@@ -136,6 +136,26 @@ def test_tree_attribution_is_additive(spark):
             assert abs(sums[(lab, r["k"])] - r["probability"][ci]) < 1e-9
 
 
+def test_model_queries_return_predictions_and_attributions(spark):
+    from surveyspark.plans import QUERIES
+    from surveyspark.plans.model import ALL_FEATURES, _fit
+
+    sf = "/root/testdata/sf0.001"
+    model, pred = _fit(spark, sf)
+    rows = pred.select("example_index", "prediction", "probability").collect()
+    labels = model.stages[0].labels
+    got = QUERIES["train_multiclass_predictions"](spark, sf).collect()
+    assert {r.example_index: r.prediction for r in got} == {r.example_index: r.prediction for r in rows}
+    values = {}
+    for r in QUERIES["tree_attribution_values"](spark, sf).collect():
+        values.setdefault((r.example_index, r.class_label), {})[r.feature] = r.value
+    assert len(values) == len(labels) * len(rows)
+    for r in rows:
+        for label, p in zip(labels, r.probability):
+            assert set(values[r.example_index, label]) == {*ALL_FEATURES, "__base__"}
+            assert abs(sum(values[r.example_index, label].values()) - p) < 1e-6
+
+
 def test_tree_attribution_matches_brute_force_shapley(spark):
     import itertools
     import random
