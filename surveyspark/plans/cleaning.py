@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.clean import (drop_named_columns, drop_sparse_columns, encode_categories, fill_defaults,
+from ..operators.clean import (category_codes, drop_named_columns, drop_sparse_columns, encode_categories, fill_defaults,
                                normalize_text, null_profile, rename_by_dictionary, split_target)
 from ..operators.standardize import standardize_categories
 from ..session import checkpoint_dir
-from ..sources.lookups import read_name_map, read_term_list
+from ..sources.lookups import read_name_map, read_term_lines, write_term_lines
 from .common import r6, t
 from .registry import query
 
@@ -166,11 +166,11 @@ def q_standardize_categories(spark, sf):
 SELECT CAST(row_number() OVER (ORDER BY p_name) - 1 AS BIGINT) AS pos, p_name AS term FROM (SELECT DISTINCT p_name FROM part)
 """)
 def q_term_list_roundtrip(spark, sf):
-    """The distinct part names as one JSON list (the file's format: one value)."""
-    names = t(spark, sf, "part").select("p_name").distinct()
+    """The distinct part names with their places, one JSON line each (the list grows with the table)."""
+    names = category_codes(t(spark, sf, "part"), "p_name")
     path = f"{checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
-    names.agg(F.to_json(F.array_sort(F.collect_list("p_name"))).alias("value")).write.text(path)
-    return read_term_list(spark, path)
+    write_term_lines(names.select(F.col("_code").alias("pos"), F.col("_v").alias("term")), path)
+    return read_term_lines(spark, path)
 
 
 @query("name_map_roundtrip", """

@@ -19,6 +19,16 @@ def read_term_list(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def write_term_lines(terms: DataFrame, path: str) -> None:
+    """``(pos, term)`` as one JSON object per line: a list of any length, written by many tasks."""
+    terms.select(F.to_json(F.struct("pos", "term")).alias("value")).write.text(path)
+
+
+def read_term_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_term_lines`` wrote -> ``(pos, term)``, read line by line."""
+    return spark.read.schema("pos bigint, term string").json(path)
+
+
 def read_name_map(spark: SparkSession, path: str) -> DataFrame:
     """JSON object -> ``(pos, name, renamed)`` in file order."""
     m = F.from_json("value", "map<string,string>")

@@ -26,6 +26,24 @@ def test_lookup_files(spark):
     assert sectioned_prompt(txt, "t", cfg, "Intro.").first()["prompt"] == "Intro.\n\nHerkunft:\nist Weiblich."
 
 
+def test_term_lines(spark):
+    import os
+
+    from surveyspark.plans import QUERIES
+    from surveyspark.sources.lookups import read_term_lines, write_term_lines
+
+    path = tempfile.mkdtemp(prefix="lookups-", dir="/tmp") + "/terms"
+    terms = [(k, f'a "b"\n\\ü {k}\r') for k in range(50)] + [(50, "")]
+    write_term_lines(spark.createDataFrame(terms, "pos bigint, term string").repartition(5), path)
+    assert sum(x.startswith("part-") for x in os.listdir(path)) == 5
+    assert sorted(tuple(r) for r in read_term_lines(spark, path).collect()) == terms
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["term_list_roundtrip"](spark, sf)
+    names = sorted({r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").collect()})
+    assert sorted(tuple(r) for r in got.collect()) == list(enumerate(names))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no list exploded from one row
+
+
 def test_small_operators(spark):
     from pyspark.sql import functions as F
 
