@@ -56,9 +56,36 @@ g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(1
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(length(formatted) AS BIGINT) AS formatted_chars FROM g"""
 
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([list_prepend(ascii(c)::BIGINT, [-1::BIGINT for i in range(8)])
+  for c in string_split({x}, '')])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+PERIODIC_RUNS = f"""
+WITH d0 AS (SELECT doc_id, {WORDS.format(x="coalesce(text, '')")} AS w, {_CRC32.format(x="CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+d1 AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d0),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE [w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]
+        for i in range(0, n)] END AS w FROM d1),
+word AS (SELECT d.doc_id, d.n, r.i, d.w[r.i + 1] AS x FROM d, range(0, d.n) AS r(i)),
+same AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM word l JOIN word r ON l.doc_id = r.doc_id AND l.x = r.x
+         AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM isle GROUP BY doc_id, q, k
+            HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t
+           FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(listed.n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start,
+       CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+       CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 ORACLE = {
     "op2_substring_dedup": SUBSTRING_DEDUP.strip(),
     "op3_embedding_dedup": EMBEDDING_DEDUP.strip(),
     "op4_chat_format": CHAT_FORMAT.strip(),
     "op8_ngram_jaccard": NGRAM_JACCARD.strip(),
+    "op13_periodic_runs": PERIODIC_RUNS.strip(),
 }

@@ -13,6 +13,7 @@ from surveyspark.llm import (
     lang_id,
     lm_score,
     ngram_join,
+    periodic_runs,
     substring_dedup,
     token_counts,
     url_filter,
@@ -74,6 +75,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def with_periodic_ends(docs: DataFrame) -> DataFrame:
+    """The stated input of op13: in every tenth document (by crc32 of the id) the words from word a
+    on repeat the p words from there."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    d = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    d = d.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))  # size of null: -1 or null
+    d = d.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    d = d.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(w, (x, i) -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return d.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.collapse_runs(with_periodic_ends(read(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -85,4 +102,5 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
+    "op13_periodic_runs": op13_periodic_runs,
 }
