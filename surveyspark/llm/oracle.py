@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
+from surveyspark.llm.pii import BASE, KINDS, LEAST_SCORE, Kind
+
 WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -82,10 +84,72 @@ SELECT d.doc_id, CAST(coalesce(listed.n_runs, 0) AS BIGINT) AS n_runs, CAST(best
        sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
 FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+_DIGITS = "regexp_replace(s, '[^0-9]', '', 'g')"
+_COMPACT = "replace(s, ' ', '')"
+_LUHN = """(SELECT list_sum([CASE WHEN (length(d) - i) % 2 = 1 THEN 2 * CAST(d[i] AS INT) // 10 + 2 * CAST(d[i] AS INT) % 10
+  ELSE CAST(d[i] AS INT) END for i in range(1, length(d) + 1)]) % 10 = 0 FROM (SELECT """ + _DIGITS + """ AS d))"""
+_MOD97 = """(SELECT list_reduce(list_prepend(0, [CASE WHEN x >= 'A' THEN ascii(x) - 55 ELSE ascii(x) - 48 END
+  for x in string_split(c[5:] || c[:4], '')]), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+  FROM (SELECT """ + _COMPACT + """ AS c))"""
+
+
+def _alone(beside: str = "A-Za-z0-9") -> str:
+    return rf"NOT regexp_matches(before, '[{beside}]\z') AND NOT regexp_matches(after, '^[{beside}]')"
+
+
+def _size(least: int, most: int) -> str:
+    return f"length({_DIGITS}) BETWEEN {least} AND {most}"
+
+
+_RUN = r"[0-9]([\x20-]?[0-9])+"
+#: kind: plain pattern, what makes a match a proposal, what the proposal must pass
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "true",
+           "len([x for x in string_split(s, '.') if length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 9) AS INT) > 255]) = 0"),
+    "card": (_RUN, _size(16, 19), _LUHN),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "true", _size(8, 15)),
+    "iban": (r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "true",
+             f"length({_COMPACT}) BETWEEN 15 AND 34 AND {_alone()} AND {_MOD97}"),
+    "short_card": (_RUN, _size(13, 15), f"{_LUHN} AND {_alone('A-Za-z0-9+.')}"),
+    "local_phone": (r"[0-9(][0-9() /-]{5,17}[0-9]", "true", f"{_size(7, 12)} AND {_alone('A-Za-z0-9+.()/-')}"),
+    "national_id": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "true",
+                    f"NOT regexp_matches(s, '^(000|666|9)|-00-|0000') AND {_alone('A-Za-z0-9+.-')}"),
+}
+
+
+def _says(words: tuple[str, ...]) -> str:
+    test = rf"(^|[^a-z])({'|'.join(words)})([^a-z]|\z)"
+    low = [f"regexp_matches({LOWER.replace('text', x)}, '{test}')" for x in ("before", "after")]
+    return f"CASE WHEN {' OR '.join(low)} THEN 0.3 ELSE 0 END" if words else "0"
+
+
+def _kind_sql(place: int, kind: Kind) -> str:
+    pattern, proposal, holds = _KINDS[kind.name]
+    score = f"round({kind.prior} + {_says(kind.near)} - {_says(kind.far)}, 3)"
+    return f"""
+m{place} AS (SELECT doc_id, text, r.i, h[r.i] AS s, length(g[r.i]) + length(h[r.i]) AS n FROM (SELECT doc_id, text,
+  regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS g FROM d), range(1, len(h) + 1) AS r(i)),
+p{place} AS (SELECT *, e - length(s) AS b FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM m{place}) WHERE {proposal}),
+c{place} AS (SELECT doc_id, s, b, e, text[coalesce(lag(e) OVER w, 0) + 1:b][-48:] AS before,
+  text[e + 1:coalesce(lead(b) OVER w, length(text))][:48] AS after FROM p{place} WINDOW w AS (PARTITION BY doc_id ORDER BY b)),
+s{place} AS (SELECT doc_id, {place} AS k, b, '{kind.name}:' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT) AS t
+  FROM c{place} WHERE {holds}{"" if kind.base else f" AND {score} >= {LEAST_SCORE}"}),"""
+
+
+PII = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),{"".join(_kind_sql(i, k) for i, k in enumerate(KINDS))}
+span AS ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(KINDS)))}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {i}) AS n_{k.name}" for i, k in enumerate(KINDS) if k.base)},
+      string_agg(t, ',' ORDER BY k, b) FILTER (k < {len(BASE)}) AS base, string_agg(t, ',' ORDER BY k, b) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
 ORACLE = {
     "op2_substring_dedup": SUBSTRING_DEDUP.strip(),
     "op3_embedding_dedup": EMBEDDING_DEDUP.strip(),
     "op4_chat_format": CHAT_FORMAT.strip(),
     "op8_ngram_jaccard": NGRAM_JACCARD.strip(),
+    "op12_pii": PII.strip(),
     "op13_periodic_runs": PERIODIC_RUNS.strip(),
 }

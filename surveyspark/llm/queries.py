@@ -14,6 +14,7 @@ from surveyspark.llm import (
     lm_score,
     ngram_join,
     periodic_runs,
+    pii,
     substring_dedup,
     token_counts,
     url_filter,
@@ -75,6 +76,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(read(spark, sf_dir, "documents")))
+
+
 def with_periodic_ends(docs: DataFrame) -> DataFrame:
     """The stated input of op13: in every tenth document (by crc32 of the id) the words from word a
     on repeat the p words from there."""
@@ -102,5 +107,6 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
+    "op12_pii": op12_pii,
     "op13_periodic_runs": op13_periodic_runs,
 }
