@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.llm import (
+    alignment,
     bpe,
     chat_format,
     decontam,
@@ -76,6 +77,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_texts(read(spark, sf_dir, "documents"), with_groups=False)
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(read(spark, sf_dir, "documents")))
 
@@ -107,6 +112,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_lm_score": op9_lm_score,
     "op10_url_filter": op10_url_filter,
+    "op11_token_alignment": op11_token_alignment,
     "op12_pii": op12_pii,
     "op13_periodic_runs": op13_periodic_runs,
 }
