@@ -12,10 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import format_fixed
+from ..sources.records import JSON_OPENS, JSON_STAYS, JSON_STRING, read_records
+from .codebook import forward_fill, running_sums
 
 # Frame of the attribution sentence.
 TEXT_HEAD = "The most important features are: "
@@ -115,6 +117,58 @@ def explode_attribution_json(df: DataFrame, col: str = "json") -> DataFrame:
                        "feature", "value")
 
 
+def document_lines(nested: DataFrame, attrs: str = "attrs") -> DataFrame:
+    """The whole attribution as one JSON document (class -> index -> feature -> value) in text lines
+    ``(class_rank, example_index, line)``, one per example and a last one; written in this order they
+    are the document. Classes are few; no line holds more than one example."""
+    inner = F.map_from_entries(F.transform(F.array_sort(F.col(attrs)), lambda a: F.struct(a["feature"], a["value"])))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.create_map(c.cast("string"), F.lit(0))), r"(?s)\A\{(.*):0\}\z", 1)
+    first = nested.groupBy("class_label").agg(F.min("example_index").alias("_first"))
+    first = first.withColumn("class_rank", F.row_number().over(Window.orderBy("class_label")).cast("bigint"))
+    d = nested.join(F.broadcast(first), "class_label")  # a row per class of the model
+    begins = F.col("example_index") == F.col("_first")
+    head = F.when(begins, F.concat(F.when(F.col("class_rank") == 1, "{").otherwise("}, "), quoted(F.col("class_label")), F.lit(": {"))
+                  ).otherwise(F.lit(", "))
+    lines = d.select("class_rank", "example_index", F.concat(
+        head, quoted(F.col("example_index")), F.lit(": "), F.to_json(inner)).alias("line"))
+    end = first.agg(F.max("class_rank").alias("n")).select(
+        (F.coalesce("n", F.lit(0)) + 1).alias("class_rank"), F.lit(0).cast("bigint").alias("example_index"),
+        F.when(F.col("n").isNull(), "{}").otherwise("}}").alias("line"))
+    return lines.unionByName(end)
+
+
+DOCUMENT_CHUNK = 4096  # objects of a document whose depth is summed up in one task
+
+
+def read_attribution_document(spark: SparkSession, path: str, chunk: int = DOCUMENT_CHUNK) -> DataFrame:
+    """One nested JSON document per file (class -> index -> feature -> value), of any size and with any
+    line breaks, to the long form ``(file, class_label, example_index, feature_pos, feature, value)``.
+
+    The text is cut behind every closing brace outside strings, by many tasks per file
+    (``sources/records.py``). The depth in front of a piece is the sum of the braces opened less the
+    pieces before it, the class the last key that opened the second level; both are two-level scans over
+    chunks of pieces. A piece that closes the third level is an example and is parsed by itself. Objects
+    without members give no rows; members that are no numbers are missing."""
+    d = read_records(spark, path, "}", JSON_OPENS, JSON_STAYS)
+    key = rf"({JSON_STRING})\s*+:\s*+\{{"
+    other = rf'(?:[^"]++|{JSON_STRING}(?!\s*+:\s*+\{{))*+'
+    d = d.withColumn("_keys", F.regexp_extract_all("text", F.lit(rf"(?s)\G{other}{key}"), F.lit(1)))
+    bare = F.regexp_replace("text", rf"(?s){JSON_STRING}|[^\"{{]++", "")
+    d = d.withColumn("_opens", F.length(bare).cast("bigint"))
+    at = F.floor(F.col("record_no") / F.lit(chunk))
+    d = running_sums(d, {"_depth": F.col("_opens") - 1}, ["record_no"], ["file"], bucket=at)
+    before = F.col("_depth") - F.col("_opens") + 1
+    d = d.withColumn("_class", F.when((before < 2) & (before + F.col("_opens") >= 2), F.try_element_at("_keys", F.lit(1))))
+    d = forward_fill(d, ["_class"], ["record_no"], ["file"], bucket=at)
+    said = lambda c: F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")[0]
+    body = F.regexp_extract("text", rf"(?s)\A(?:{other}{key})*+(.*)\z", 2)
+    m = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), "map<string,double>")
+    example = d.filter((F.col("_depth") == 2) & (F.col("_opens") > 0)).select(
+        "file", said(F.col("_class")).alias("class_label"),
+        said(F.element_at("_keys", -1)).cast("bigint").alias("example_index"), F.posexplode(m).alias("feature_pos", "feature", "value"))
+    return example.withColumn("feature_pos", F.col("feature_pos").cast("bigint"))
+
+
 def parse_attribution_text(c, value_type: str = "double") -> Column:
     """Dict text (JSON or Python-literal style with single quotes) -> ``map<string, value_type>``."""
     col = F.col(c) if isinstance(c, str) else c

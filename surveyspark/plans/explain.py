@@ -7,16 +7,20 @@ order states the classes, and a linear score with fixed weights per class the mo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_prompt, tokens
-from ..operators.attribution import (attribution_text, explode_attribution_json, explode_attrs, linear_attribution,
-                                     parse_attribution_text, to_json_lines, top_features, top_n)
+from ..operators.attribution import (attribution_text, document_lines, explode_attribution_json, explode_attrs,
+                                     linear_attribution, parse_attribution_text, read_attribution_document,
+                                     to_json_lines, top_features, top_n)
 from ..operators.compare import mean_by_run
 from ..operators.generate import SYSTEM_MESSAGE, explanation_request, head_per_group
 from ..operators.score import features_with_synonyms, keyword_coverage, synonym_expand, tfidf_pair_cosine
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
+from ..sources.named_files import write_named_files
 from .common import SQL_PAIRS, SQL_TOKENS, conversation_pairs, r6, sql_pair_cosine, t
 from .registry import query
 
@@ -258,6 +262,18 @@ def q_attribution_json_roundtrip(spark, sf):
     return back.select("class_label", "example_index", "feature_pos", "feature", r6("value").alias("value"))
 
 
+@query("attribution_document_roundtrip", f"""WITH {SQL_ATTR}
+SELECT class_label, example_index, feature_pos, feature, round(value, 6) AS value FROM attr""")
+def q_attribution_document_roundtrip(spark, sf):
+    """The whole attribution written as one JSON document in one file of the shared checkpoint folder,
+    and read back from it in splits."""
+    out = f"{checkpoint_dir(spark)}/attribution-{uuid.uuid4().hex}"
+    lines = document_lines(nested(spark, sf)).withColumn("name", F.lit("attribution.json"))
+    write_named_files(lines, out, "name", ("class_rank", "example_index"))
+    back = read_attribution_document(spark, f"{out}/attribution.json")
+    return back.select("class_label", "example_index", "feature_pos", "feature", r6("value").alias("value"))
+
+
 @query("parse_attribution_text", """
 SELECT event_id, 'k' AS "key", CAST(json_extract(props, '$.k') AS DOUBLE) AS value FROM events""")
 def q_parse_attribution_text(spark, sf):
