@@ -2,7 +2,8 @@
 
 The ends of the tokens (byte offsets) of both tokenizers are two ascending lists. The shorter list
 drives a galloping intersection: from the place reached in the longer list, steps of 1, 2, 4, ...
-find a range that must hold the next end, and a binary search finds the place in it. Ends in both
+find a range that must hold the next end, and a binary search finds the place in it (many texts
+side by side, one lane each). Ends in both
 lists cut the tokens into groups; the differences of neighbouring places are the ranges of tokens
 of the longer list that overlap each token of the shorter one: the links.
 
@@ -25,10 +26,11 @@ script without spaces, a long run) is encoded whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,8 @@ from surveyspark.llm.words import slices
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_BYTES = 2 << 20  # text bytes of a block
-PARTS_SEEN = 1 << 16  # parts that a worker looks up
+PARTS_SEEN = 1 << 17  # parts that a worker looks up
+BEYOND = "\u0530"  # Latin, Greek and Cyrillic letters stand below, which all pattern engines class alike
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -51,38 +54,63 @@ DOCUMENT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha2
 TABLE = f"block bigint, id bigint, {DOCUMENT}, parts binary, sizes binary, links binary, pair bigint, docs bigint"
 
 
-def gallop(ends: Sequence[int], value: int, at: int) -> int:
-    """First place from ``at`` on whose end is ``value`` or more."""
-    low, high, step = at, at, 1
-    while high < len(ends) and ends[high] < value:
-        low, high, step = high + 1, high + step, 2 * step
-    return bisect_left(ends, value, low, min(high, len(ends)))
-
-
-def overlaps(driver: Sequence[int], other: Sequence[int]) -> tuple[list[tuple[int, int]], list[int]]:
-    """For each token of ``driver`` the range (first, last) of tokens of ``other`` that it overlaps, and
-    the tokens of ``driver`` whose end is an end of ``other``. Both lists end at the same offset."""
-    ranges, common, at = [], [], 0
-    for i, end in enumerate(driver):
-        place = gallop(other, end, at)
-        ranges.append((at, place))
-        at = place
-        if other[place] == end:
-            common.append(i)
-            at += 1
-    return ranges, common
-
-
-def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links (token of A, token of B), and the groups' ends (tokens of A so far, tokens of B so far)."""
-    swap = len(ends_b) < len(ends_a)
-    driver, other = (ends_b, ends_a) if swap else (ends_a, ends_b)
-    ranges, common = overlaps(driver, other)
-    links = [(i, j) for i, (first, last) in enumerate(ranges) for j in range(first, last + 1)]
-    cuts = [(i + 1, ranges[i][1] + 1) for i in common]
-    if swap:
-        links, cuts = [(a, b) for b, a in links], [(a, b) for b, a in cuts]
-    return links, cuts
+def gallop(ends: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each lane the first place from ``at`` on whose end is ``value`` or more; ``ends`` is ascending
+    and holds such an end behind every ``at``."""
+    low, high, step, last = at.copy(), at.copy(), 1, len(ends) - 1
+    open_ = np.flatnonzero(ends[high] < value)
+    while len(open_):
+        low[open_] = high[open_] + 1
+        high[open_] = np.minimum(high[open_] + step, last)
+        step *= 2
+        open_ = open_[ends[high[open_]] < value[open_]]
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        middle = (low[open_] + high[open_]) >> 1
+        less = ends[middle] < value[open_]
+        low[open_] = np.where(less, middle + 1, low[open_])
+        high[open_] = np.where(less, high[open_], middle)
+        open_ = open_[low[open_] < high[open_]]
+    return low
+
+
+def overlaps(driver: np.ndarray, first: np.ndarray, other: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For many texts side by side, ``driver[first[k]:first[k + 1]]`` against ``other`` from place ``at[k]``
+    on: the range (first, last) of places of ``other`` that each token of ``driver`` overlaps, and whether
+    its end is an end of ``other``. A text's lists end at the same offset, offsets ascend over all texts."""
+    low, high, common = (np.zeros(len(driver), kind) for kind in (np.int64, np.int64, bool))
+    order = np.argsort(first[:-1] - first[1:], kind="stable")  # the longest first, so lanes end one by one
+    size, here, at = np.diff(first)[order], first[:-1][order], at[order].copy()
+    for k in range(int(size.max(initial=0))):
+        lanes = int(np.searchsorted(-size, -k, "left"))
+        token = here[:lanes] + k
+        place = gallop(other, driver[token], at[:lanes])
+        low[token], high[token], common[token] = at[:lanes], place, other[place] == driver[token]
+        at[:lanes] = place + common[token]
+    return low, high, common
+
+
+def align(ends_a: np.ndarray, first_a: np.ndarray, ends_b: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of many texts (place of A's token, place of B's token), text by text, and whether the end of
+    each token of A, and of B, is an end of the other. The shorter list of every text drives."""
+    swap = np.diff(first_b) < np.diff(first_a)
+    links, is_cut = [], [np.zeros(len(ends_a), bool), np.zeros(len(ends_b), bool)]
+    for turned in (False, True):
+        mine = swap == turned
+        driver, first, other, begin = (ends_b, first_b, ends_a, first_a) if turned else (ends_a, first_a, ends_b, first_b)
+        size = np.diff(first)[mine]
+        border = np.concatenate([[0], np.cumsum(size)])
+        token = np.repeat(first[:-1][mine] - border[:-1], size) + np.arange(int(border[-1]))
+        low, high, common = overlaps(driver[token], border, other, begin[:-1][mine])
+        is_cut[turned][token] = common
+        is_cut[not turned][high[common]] = True
+        reach = high - low + 1
+        far = np.repeat(low - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
+        near = np.repeat(token, reach)
+        links.append(np.stack([far, near] if turned else [near, far], 1))
+    pairs = np.concatenate(links)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[:, 0], pairs[:, 1], *is_cut
 
 
 def byte_level() -> dict[str, int]:
@@ -106,9 +134,15 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = byte_level()
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        spelt = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))]
+        self.spelt = [pa.array(x, pa.binary()) for x in (self.bytes_a, self.bytes_b)]
+        self.length = [np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b)]
+        # an id as text with what follows it: inside a group, at the end of a group
+        self.said = pa.array([f"{i}{mark}" for x, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for mark in marks for i in range(len(x))])
+        self.ranked = self._ranked(spelt)
         self.seen = _Seen(PARTS_SEEN)
 
     @classmethod
@@ -117,40 +151,77 @@ class Pair:
             cls.made[path_a, path_b] = cls(path_a, path_b)
         return cls.made[path_a, path_b]
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A for a space and each part, ids of B for each part."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        return ids_a, self.b.encode(parts, num_threads=1)
+    def _ranked(self, spelt: dict[int, bytes]):
+        """A as an encoding by ranks, which is several times faster, or None. It is the same if every
+        merge makes a new token and later merges make higher ids: then of all neighbours that spell a
+        token, those that the merges name are met first."""
+        import public_tokenizers
+        import tiktoken
 
-    def _ends(self, ids: list[int], bytes_of, data: bytes) -> list[int] | None:
-        pieces = [bytes_of[i] for i in ids]
-        if b"".join(pieces) != data:
-            return None
-        out, at = [], 0
-        for p in pieces:
-            at += len(p)
-            out.append(at)
-        return out
-
-    def _aligned(self, part: str, a: list[int], b: list[int]):
-        data = b" " + part.encode()
-        ends_a, ends_b = self._ends(a, self.bytes_a, data), self._ends(b, self.bytes_b, data)
-        if ends_a is None or ends_b is None:
+        made = json.loads(self.a.to_str())
+        ids = {t: i for i, t in spelt.items()}
+        byte_of = byte_level()
+        merged = [ids.get(bytes(byte_of[c] for x in (m if isinstance(m, list) else m.split(" ")) for c in x)) for m in made["model"]["merges"]]
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        plain = made["normalizer"] is None and bytewise.items() <= made["pre_tokenizer"].items()
+        ascending = None not in merged and all(x < y for x, y in zip(merged, merged[1:])) and len(ids) == len(merged) + 256
+        if not (plain and ascending and all(bytes([b]) in ids for b in range(256))):
             return None
-        links, cuts = align(ends_a, ends_b)
-        groups, i, j = [], 0, 0
-        for to_a, to_b in cuts:
-            groups.append(",".join(map(str, a[i:to_a])) + "|" + ",".join(map(str, b[j:to_b])))
-            i, j = to_a, to_b
-        return len(a), len(b), len(cuts), ";".join(groups), [a[i] << 32 | b[j] for i, j in links]
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={}).encode_ordinary
+
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A for a space and each part, ids of B for each part."""
+        out, rest = [None] * len(parts), range(len(parts))
+        if self.ranked is not None:
+            rest = [k for k, p in enumerate(parts) if max(p) >= BEYOND]
+            out = [self.ranked(" " + p) if max(p) < BEYOND else None for p in parts]
+        for k, e in zip(rest, self.a.encode_batch_fast([" " + parts[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out, self.b.encode(parts, num_threads=1)
+
+    def _spells(self, which: int, ids: np.ndarray, first: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """For each text: do its tokens spell it?"""
+        data = self.spelt[which].take(pa.array(ids))
+        edge = np.frombuffer(data.buffers()[1], np.int32)[:len(ids) + 1][first] if len(ids) else np.zeros(len(first), np.int32)
+        data = (data.buffers()[2].to_pybytes() if data.buffers()[2] else b"")[:int(edge[-1])]
+        if data == b"".join(texts) and np.array_equal(np.diff(edge), [len(t) for t in texts]):
+            return np.ones(len(texts), bool)
+        return np.array([data[a:b] == t for a, b, t in zip(edge[:-1], edge[1:], texts)], bool)
 
     def _new(self, parts: set[str]):
         order = sorted(parts)
-        return zip(order, map(self._aligned, order, *self.encode(order)))
+        texts = [b" " + p.encode() for p in order]
+        ids, first = [], []
+        for x in self.encode(order):
+            ids.append(np.fromiter(chain.from_iterable(x), np.int64))
+            first.append(np.concatenate([[0], np.cumsum([len(i) for i in x], dtype=np.int64)]))
+        spells = self._spells(0, ids[0], first[0], texts) & self._spells(1, ids[1], first[1], texts)
+        for k in (0, 1):  # the others have no tokens
+            size = np.diff(first[k])
+            ids[k] = ids[k][np.repeat(spells, size)]
+            first[k] = np.concatenate([[0], np.cumsum(np.where(spells, size, 0))])
+        ends = [np.cumsum(self.length[k][ids[k]]) for k in (0, 1)]
+        at_a, at_b, cut_a, cut_b = align(ends[0], first[0], ends[1], first[1])
+        links = (ids[0][at_a] << 32 | ids[1][at_b]).tobytes()
+        link_edge = np.searchsorted(at_a, first[0]) * 8
+        # the groups as text: every token of A stands behind the tokens of B of earlier groups, and so on
+        group_a, group_b = (np.cumsum(c) - c for c in (cut_a, cut_b))
+        place_a = np.arange(len(ids[0])) + np.searchsorted(group_b, group_a, "left")
+        place_b = np.arange(len(ids[1])) + np.searchsorted(group_a, group_b, "right")
+        text = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        text[place_a] = ids[0] + cut_a * len(self.bytes_a)
+        text[place_b] = ids[1] + 2 * len(self.bytes_a) + cut_b * len(self.bytes_b)
+        said = self.said.take(pa.array(text))
+        edge = np.frombuffer(said.buffers()[1], np.int32)[:len(text) + 1][first[0] + first[1]] if len(text) else np.zeros(len(order) + 1, int)
+        groups = said.buffers()[2].to_pybytes().decode("ascii") if len(text) else ""
+        n = [np.diff(first[0]).tolist(), np.diff(first[1]).tolist(), np.diff(np.concatenate([[0], np.cumsum(cut_a)])[first[0]]).tolist()]
+        edge, link_edge = edge.tolist(), link_edge.tolist()
+        return ((p, (n[0][k], n[1][k], n[2][k], groups[edge[k]:edge[k + 1] - 1], links[link_edge[k]:link_edge[k + 1]]) if ok else None)
+                for k, (p, ok) in enumerate(zip(order, spells.tolist())))
 
     def parts(self, parts: list[str]) -> list:
         """For each part None, if its tokens do not spell it, or (tokens of A, of B, groups, the groups
-        as text, the linked pairs of ids)."""
+        as text, the linked pairs of ids as 64-bit numbers)."""
         return list(map(self.seen.learn(set(parts), self._new).__getitem__, parts))
 
     def forget(self) -> None:
@@ -172,13 +243,13 @@ def _block(number: int, ids: pa.Array, texts: list[str], pair: Pair, with_groups
     which, owner = which[stay], owner[stay]
     size = np.where(spoilt, 0, size)
     upto = np.concatenate([[0], np.cumsum(size)])
-    of_part = [x or (0, 0, 0, "", []) for x in of_part]
+    of_part = [x or (0, 0, 0, "", b"") for x in of_part]
     counts = [np.bincount(owner, np.array([x[k] for x in of_part], np.int64)[which], len(texts)).astype(np.int64) for k in range(3)]
     said = [x[3] for x in of_part]
     groups = [";".join(map(said.__getitem__, which[a:b].tolist())) for a, b in zip(upto[:-1], upto[1:])]
 
-    links = np.array([p for x in of_part for p in x[4]], np.int64)
-    sizes = np.array([len(x[4]) for x in of_part], np.int64)
+    links = np.frombuffer(b"".join([x[4] for x in of_part]), np.int64)
+    sizes = np.array([len(x[4]) // 8 for x in of_part], np.int64)
     n_links = np.bincount(owner, sizes[which], len(texts)).astype(np.int64)
     pairs, at = np.unique(links, return_inverse=True)
     # documents that hold a pair: each (document, part) once, then each (document, pair) once

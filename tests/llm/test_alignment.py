@@ -2,6 +2,7 @@ import random
 import sys
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import sha
@@ -19,7 +20,7 @@ def whole(pair, text):
     nothing = (0, 0, "", [])
     if not text:
         return nothing
-    (a,), (b,) = pair.encode([text])
+    a, b = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
     data = (" " + text).encode()
     spans = []
     for ids, bytes_of in ((a, pair.bytes_a), (b, pair.bytes_b)):
@@ -63,7 +64,8 @@ def test_parts_encode_like_the_whole_text(pair):
     chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
     chars = chars[:0x3200] + rng.sample(chars[0x3200:], 20_000)
     texts = [f"a{c} {c}b {c} {d}c" for c, d in zip(chars, rng.sample(chars, len(chars)))]
-    a, b = pair.encode(texts)
+    a = [e.ids for e in pair.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    b = pair.b.encode(texts)
     parts = [alignment._SAFE_SPACE.split(t) for t in texts]
     pa_, pb = pair.encode([p for ps in parts for p in ps])
     at = 0
@@ -73,25 +75,43 @@ def test_parts_encode_like_the_whole_text(pair):
         at += len(ps)
 
 
+def test_ranks_encode_like_the_merges(pair):
+    """Every character below the border between letters, digits, marks and spaces, and random texts of them."""
+    rng = random.Random(6)
+    chars = [chr(c) for c in range(ord(alignment.BEYOND))]
+    texts = [f"{x}{c}{y}" for c in chars for x in ("", "a", "1", " ", "!") for y in ("", "b", "2", " c", "?")]
+    texts += ["".join(rng.choice(chars[:600]) for _ in range(rng.randrange(1, 60))) for _ in range(5000)]
+    texts += ["".join(rng.choice("aeinorst '") for _ in range(200)) for _ in range(3000)]
+    assert pair.ranked is not None
+    got = [pair.ranked(" " + t) for t in texts]
+    assert got == [e.ids for e in pair.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 def test_gallop():
     rng = random.Random(3)
-    for _ in range(300):
-        ends = sorted(rng.sample(range(200), rng.randrange(1, 60)))
-        value, at = rng.randrange(220), rng.randrange(len(ends) + 1)
-        want = next((k for k in range(at, len(ends)) if ends[k] >= value), len(ends))
-        assert alignment.gallop(ends, value, at) == want
+    for _ in range(100):
+        ends = sorted(rng.sample(range(200), rng.randrange(1, 60))) + [200]
+        value, at = [np.array([rng.randrange(n) for _ in range(30)]) for n in (201, len(ends))]
+        want = [next(k for k in range(a, len(ends)) if ends[k] >= v) for v, a in zip(value, at)]
+        assert alignment.gallop(np.array(ends), value, at).tolist() == want
 
 
 def test_align_against_all_ranges():
     rng = random.Random(4)
-    for _ in range(300):
-        n = rng.randrange(1, 40)
-        a, b = (sorted({*rng.sample(range(1, n + 1), rng.randrange(1, n + 1)), n}) for _ in range(2))
-        links, cuts = alignment.align(a, b)
-        spans = [list(zip([0, *x], x)) for x in (a, b)]
+    for _ in range(150):
+        a, b, at = [[]], [[]], 0  # ends of several texts, one after the other
+        for _ in range(rng.randrange(6)):
+            n = rng.choice([1, 2, 5, 40])
+            for x in (a, b):
+                x.append([at + e for e in sorted({*rng.sample(range(1, n + 1), rng.randrange(1, n + 1)), n})])
+            at += n
+        flat = [[e for t in x for e in t] for x in (a, b)]
+        first = [np.cumsum([len(t) for t in x]) for x in (a, b)]
+        i, j, cut_a, cut_b = alignment.align(np.array(flat[0], np.int64), first[0], np.array(flat[1], np.int64), first[1])
+        spans = [list(zip([0, *x], x)) for x in flat]
         want = [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (u, v) in enumerate(spans[1]) if s < v and u < e]
-        assert sorted(links) == want and len(links) == len(a) + len(b) - len(cuts)
-        assert cuts == [(a.index(e) + 1, b.index(e) + 1) for e in a if e in b]
+        assert list(zip(i.tolist(), j.tolist())) == want
+        assert cut_a.tolist() == [e in flat[1] for e in flat[0]] and cut_b.tolist() == [e in flat[0] for e in flat[1]]
 
 
 @pytest.mark.parametrize("block_bytes", [alignment.BLOCK_BYTES, 20_000])
