@@ -2,15 +2,9 @@
 
 Training is Spark ML (random forest: native multiclass; missing values get their
 own branch through a sentinel) on a stratified hash split. Attribution is the
-path-dependent tree game of a fitted forest, computed exactly per leaf path:
-for a leaf with value ``v`` and distinct path features ``D``,
-
-    phi_j += v * (o_j - z_j) * sum_{S in D\\{j}} |S|!(|D|-|S|-1)!/|D|! * prod_S o * prod_{D\\{j}\\S} z
-
-where ``z_j`` is the product of child/parent cover ratios of the path's splits on
-``j`` and ``o_j`` is 1 when the row passes all of them. The forest's class
-probability is the mean over trees of the leaf class shares, so per class
-``sum_j phi_j + base = probability`` exactly.
+path-dependent tree game of a fitted forest, computed exactly by one walk per tree
+(``trees.py``). The forest's class probability is the mean over trees of the leaf class shares,
+so per class ``sum_j phi_j + base = probability`` exactly.
 
 The fitted trees are read back from the model's saved node table (model-sized,
 read once on the driver) and broadcast; rows stream through ``mapInPandas`` in
@@ -19,9 +13,6 @@ Arrow batches, vectorised over the rows of a batch with numpy.
 
 from __future__ import annotations
 
-import math
-import os
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -34,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, cut_lineage
+from ..session import cut_lineage
 from .clean import encode_categories
 from .split import split_stratified
+from .trees import ensemble_values, saved_nodes
 
 
 # Missing feature values (null or NaN) become one low sentinel: the trees then
@@ -87,98 +79,17 @@ def train_multiclass(df: DataFrame, features: Sequence[str], label: str, key: st
 
 def forest_tables(spark: SparkSession, model: PipelineModel) -> list[dict]:
     """Trees of the fitted forest as numpy arrays (model-sized, read from the saved model)."""
-    path = os.path.join(checkpoint_dir(spark), f"forest-{uuid.uuid4().hex}")
-    rf = model.stages[-1]
-    rf.write().overwrite().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data")).select(
-        "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.impurityStats",
-        "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories"
-    ).toPandas()
     trees = []
-    for _, g in nodes.groupby("treeID"):
-        g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        left = np.full(n, -1)
-        right = np.full(n, -1)
-        feat = np.full(n, -1)
-        thr = np.zeros(n)
-        cats: dict[int, np.ndarray] = {}
-        stats = np.zeros((n, len(g["impurityStats"].iloc[0])))
-        for r in g.itertuples(index=False):
-            i = int(r.id)
-            left[i], right[i], feat[i] = r.leftChild, r.rightChild, r.featureIndex
-            st = np.asarray(r.impurityStats, dtype=float)
-            stats[i, :len(st)] = st
-            vals = np.asarray(r.leftCategoriesOrThreshold, dtype=float)
-            if r.numCategories is not None and r.numCategories >= 0:
-                cats[i] = vals
-            elif len(vals):
-                thr[i] = vals[0]
-        cover = stats.sum(axis=1)
-        trees.append({"left": left, "right": right, "feat": feat, "thr": thr, "cats": cats,
-                      "cover": cover, "value": stats / np.where(cover > 0, cover, 1.0)[:, None]})
+    for tree in saved_nodes(spark, model.stages[-1]).values():
+        cover = tree["stats"].sum(axis=1)
+        trees.append(tree | {"cover": cover, "value": tree["stats"] / np.where(cover > 0, cover, 1.0)[:, None]})
     return trees
 
 
-def _leaf_paths(tree: dict) -> list[tuple[int, list[tuple[int, int, bool, float]]]]:
-    """(leaf, [(node, feature, went_left, child/parent cover ratio), ...]) for every leaf."""
-    out = []
-    stack = [(0, [])]
-    while stack:
-        node, path = stack.pop()
-        if tree["left"][node] < 0:
-            out.append((node, path))
-            continue
-        for child, went_left in ((tree["left"][node], True), (tree["right"][node], False)):
-            ratio = tree["cover"][child] / tree["cover"][node] if tree["cover"][node] > 0 else 0.0
-            stack.append((child, path + [(node, int(tree["feat"][node]), went_left, ratio)]))
-    return out
-
-
-def _goes_left(tree: dict, node: int, x: np.ndarray) -> np.ndarray:
-    if node in tree["cats"]:
-        return np.isin(x, tree["cats"][node])
-    with np.errstate(invalid="ignore"):
-        return x <= tree["thr"][node]
-
-
-def _shapley_weights(d: int) -> np.ndarray:
-    return np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)])
-
-
 def forest_attribution_batch(trees: list[dict], X: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """phi[rows, features, classes] and base[classes] for a batch of rows."""
-    n, m = X.shape
-    phi = np.zeros((n, m, n_classes))
-    base = np.zeros(n_classes)
-    for tree in trees:
-        for leaf, path in _leaf_paths(tree):
-            v = tree["value"][leaf]
-            feats = sorted({f for _, f, _, _ in path})
-            d = len(feats)
-            z = {f: 1.0 for f in feats}
-            o = {f: np.ones(n, dtype=bool) for f in feats}
-            for node, f, went_left, ratio in path:
-                z[f] *= ratio
-                left = _goes_left(tree, node, X[:, f])
-                o[f] &= left if went_left else ~left
-            base += v * math.prod(z.values())
-            if d == 0:
-                continue
-            w = _shapley_weights(d)
-            for j in feats:
-                others = [f for f in feats if f != j]
-                poly = np.zeros((d, n))  # coefficient k: sum over |S| = k of prod_S o * prod_rest z
-                poly[0] = 1.0
-                for i, f in enumerate(others):
-                    of = o[f].astype(float)
-                    nxt = poly * z[f]
-                    nxt[1:i + 2] += poly[0:i + 1] * of
-                    poly = nxt
-                s = (w[:, None] * poly).sum(axis=0)
-                phi[:, j, :] += ((o[j].astype(float) - z[j]) * s)[:, None] * v[None, :]
-    t = len(trees)
-    return phi / t, base / t
+    """phi[rows, features, classes] and base[classes] for a batch of rows: the mean over the trees."""
+    phi, base = ensemble_values(trees, X)
+    return phi[:, :, :n_classes] / len(trees), base[:n_classes] / len(trees)
 
 
 def tree_attribution(spark: SparkSession, model: PipelineModel, df: DataFrame, features: Sequence[str],

@@ -50,10 +50,12 @@ def nested(spark, sf):
 
 _W_VALUES = ", ".join(
     f"('{c}', " + ", ".join(f"CAST({w[f]} AS DOUBLE)" for f in FEATURES) + ")" for c, w in WEIGHTS.items())
-SQL_ATTR = f"""li AS (
+SQL_EXAMPLES = """li AS (
   SELECT o.o_orderkey AS example_index, o.o_totalprice, CAST(l.n_lines AS DOUBLE) AS n_lines, l.max_discount, l.max_tax
   FROM orders o JOIN (SELECT l_orderkey, count(*) AS n_lines, max(l_discount) AS max_discount, max(l_tax) AS max_tax
-                      FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey),
+                      FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey)"""
+
+SQL_ATTR = f"""{SQL_EXAMPLES},
 mu AS (SELECT {', '.join(f'avg({f}) AS m_{f}' for f in FEATURES)} FROM li),
 wt AS (SELECT * FROM (VALUES {_W_VALUES}) v(class_label, {', '.join('w_' + f for f in FEATURES)})),
 attr AS (
