@@ -10,8 +10,9 @@ Equal vectors are one class with a multiplicity, so a large group of copies is o
 are cut into pieces of bounded size on both sides, a task compares two pieces, and sends link
 counts and a spanning forest, never pairs.
 
-Vectors of different length never link: every length has cells and an index of its own, and a
-length with at most ``FEW`` distinct vectors is one cell, compared in full.
+Vectors of different length never link: every length has cells and an index of its own, however
+few vectors have it. A vector is first scaled by a power of two, so that neither its norm nor a
+product of two norms leaves the range of doubles.
 
 Bounds: the codebooks of a length are fitted on ``SAMPLE`` of its vectors (the smallest by hash),
 all vectors are indexed; at most ``MAX_CENTROIDS`` per half.
@@ -39,7 +40,7 @@ SAMPLE = 8192
 MAX_CENTROIDS = 512
 PER_CELL = 16  # wanted vectors per cell, as long as the centroids last
 RECALL = 0.98  # one-directional, for neighbours at exactly the threshold
-FEW = 256  # distinct vectors of a length that need no index
+DRAWS = 4096  # neighbours at the threshold, at least, from which the cost of visits is fitted
 PIECE = 2048  # vectors of a cell compared at once
 
 
@@ -60,6 +61,7 @@ def packed(rows: DataFrame) -> DataFrame:
             for v in batch.column(1):
                 x = None if not v.is_valid or v.values.null_count else np.asarray(v.values, np.float64)
                 ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
+                x = np.ldexp(x, -np.frexp(np.abs(x).max())[1]) if ok else x  # exact
                 x = np.sign(x) if ok and len(x) == 1 else x
                 out.append((x + 0.0).tobytes() if ok else None)  # + 0.0: one kind of zero
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "x"])
@@ -74,6 +76,7 @@ class MultiIndex:
         self.half = sample.shape[1] // 2
         self.books = [_centroids(sample[:, :self.half], centroids), _centroids(sample[:, self.half:], centroids)]
         rng = np.random.default_rng(5)
+        sample = np.tile(sample, (-(-min(DRAWS, len(sample) * DRAWS) // len(sample)), 1))
         other = rng.standard_normal(sample.shape)
         other -= (other * sample).sum(1, keepdims=True) * sample
         size = np.linalg.norm(other, axis=1, keepdims=True)
@@ -89,7 +92,7 @@ class MultiIndex:
         whatever else is in ``x``."""
         out = []
         for part, book in zip((x[:, :self.half], x[:, self.half:]), self.books):
-            step = max(1, (4 << 20) // book.size)
+            step = max(1, (4 << 20) // max(1, book.size))
             out.append(np.concatenate([((part[k:k + step, None, :] - book[None]) ** 2).sum(-1)
                                        for k in range(0, len(part), step)] or [np.zeros((0, len(book)))]))
         return out[0], out[1]
@@ -156,16 +159,14 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if not sizes:
         return vectors.select(F.col("vec_id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"),
                               F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    indexes: dict[int, MultiIndex | None] = {}
+    indexes: dict[int, MultiIndex] = {}
     first, n_cells = {}, 0  # the cells of a length are numbered from first[length]
     for width, n in sorted(sizes.items()):
-        indexes[width], first[width] = None, n_cells
-        if n > FEW:
-            known = unpack(classes.where(F.length("x") == width).select("x").orderBy(F.xxhash64("x"), "x").limit(sample)
-                           .toArrow().column("x").combine_chunks())
-            centroids = int(np.clip(np.ceil(np.sqrt(n / PER_CELL)), 2, MAX_CENTROIDS))
-            indexes[width] = MultiIndex(known, min(centroids, len(known)), least, recall)
-        n_cells += len(indexes[width].books[0]) * len(indexes[width].books[1]) if indexes[width] else 1
+        known = unpack(classes.where(F.length("x") == width).select("x").orderBy(F.xxhash64("x"), "x").limit(sample)
+                       .toArrow().column("x").combine_chunks())
+        centroids = int(np.clip(np.ceil(np.sqrt(n / PER_CELL)), 2, MAX_CENTROIDS))
+        indexes[width], first[width] = MultiIndex(known, min(centroids, len(known)), least, recall), n_cells
+        n_cells += len(indexes[width].books[0]) * len(indexes[width].books[1])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +176,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 for width in pc.unique(widths).to_pylist():
                     part = whole.filter(pc.equal(widths, width))
                     index, base = indexes[width], first[width]
-                    found = index.visits(unpack(part.column(1))) if index else [(0, [0])] * part.num_rows
-                    cells, seen = zip(*((base + own, [base + c for c in met]) for own, met in found))
+                    cells, seen = zip(*((base + own, [base + c for c in met]) for own, met in index.visits(unpack(part.column(1)))))
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), part.column(1), part.column(2), pa.array(cells, pa.int64()),
                          pa.array(list(seen), pa.list_(pa.int64()))], names=["id", "x", "times", "home", "seen"])
@@ -202,7 +202,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         ids, times, own = (np.asarray(probe.column(c)) for c in ("id", "times", "home"))
         there, there_times = np.asarray(home.column("home_id")), np.asarray(home.column("home_times"))
         y = unpack(home.column("home_x").combine_chunks())
-        index, base = indexes.get(8 * y.shape[1]), first.get(8 * y.shape[1], 0)
+        index, base = indexes.get(8 * y.shape[1]), first.get(8 * y.shape[1], 0)  # none if there is nothing to compare
         links: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
         for at in range(0, len(ids) if len(there) else 0, piece):
@@ -214,7 +214,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 continue
             # a pair that either side finds is counted where the smaller id probes
             mutual = np.ones(len(p), bool)
-            for k in range(0, len(p) if index else 0, 4096):
+            for k in range(0, len(p), 4096):
                 mutual[k:k + 4096] = index.sees(y[h[k:k + 4096]], own[at + p[k:k + 4096]] - base)
             once = ~mutual | (part_ids[p] < there[h])
             for who, n in ((part_ids[p[once]], there_times[h[once]]), (there[h[once]], times[at + p[once]])):

@@ -257,12 +257,14 @@ def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, switch: flo
     return path
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: float = SWITCH, spans: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (share of all letters that lie in spans of that language
-    and in a script that a trained language uses) and ``lang_spans``: runs of words (counted from 0) with one label. Columns of these names are replaced."""
+    and in a script that a trained language uses) and, with ``spans``, ``lang_spans``: runs of words
+    (counted from 0) with one label. Columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score", "lang_spans")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.expr(
-        "cast(array() as array<struct<lang:string,first:int,last:int>>)").alias("lang_spans")).schema
+    added = [F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
+             F.expr("cast(array() as array<struct<lang:string,first:int,last:int>>)").alias("lang_spans")][:3 if spans else 2]
+    schema = docs.select("*", *added).schema
     text_at = docs.columns.index(text_col)
 
     def label(texts: list[str | None]) -> tuple[list, list, list]:
@@ -276,18 +278,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
         share = per.max(1) / np.maximum(total, 1)
         head = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (text[1:] != text[:-1]))) if len(path) else np.zeros(0, np.int64)
         tail = np.append(head[1:], len(path)) - 1
-        spans: list[list[dict]] = [[] for _ in texts]
+        found: list[list[dict]] = [[] for _ in texts]
         base = w.first[:-1]
-        for h, e, t, p in zip(head.tolist(), tail.tolist(), text[head].tolist(), path[head].tolist()):
-            spans[t].append({"lang": model.langs[p], "first": h - int(base[t]), "last": e - int(base[t])})
+        for h, e, t, p in zip(head.tolist(), tail.tolist(), text[head].tolist(), path[head].tolist()) if spans else ():
+            found[t].append({"lang": model.langs[p], "first": h - int(base[t]), "last": e - int(base[t])})
         said, score = [], []
         for k, t in enumerate(texts):
             letters = t is not None and _LETTER.search(t) is not None
             said.append(model.langs[top[k]] if letters else UND)
             score.append(float(share[k]) if letters else 0.0)
             if not letters:
-                spans[k] = []
-        return said, score, spans
+                found[k] = []
+        return said, score, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
@@ -295,10 +297,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
             for a, b in slices(batch.column(text_at), SLICE):
                 part = batch.slice(a, b - a)
                 texts = part.column(text_at).to_pylist()
-                said, score, spans = label(texts) if model.langs else ([UND] * len(texts), [0.0] * len(texts), [[]] * len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)],
-                    names=[*part.schema.names, "lang_pred", "score", "lang_spans"])
+                said, score, found = label(texts) if model.langs else ([UND] * len(texts), [0.0] * len(texts), [[]] * len(texts))
+                own = [pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(found, span)][:3 if spans else 2]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -312,5 +313,5 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id, held_out, lang_pred, score``, learnt from the rows that are not held out."""
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"))
     model = fit(rows.where(~held_out(F.col("doc_id"))))
-    found = identify(rows.select("doc_id", "text"), model)
+    found = identify(rows.select("doc_id", "text"), model, spans=False)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -18,7 +18,8 @@ hashed place of a set; (6) components of all links.
 
 Edge cases: null or wordless text: the empty set, linked with nothing, its own component; fewer
 than five words: the whole sequence is the one shingle; very long texts are whole sets;
-repeated rows are one class; a null doc_id links with nothing and has a null component; an
+repeated rows are one class, rows that repeat an id with another text are documents of their own
+(each linked by its own text, both under the one id); a null doc_id links with nothing and has a null component; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -124,7 +125,8 @@ class Prefixes:
 
 
 def prefixes(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
-    """Per document: ``id, n, sig_a, sig_b, matches, parity`` and its packed ``prefix``, rarest first."""
+    """Per document: ``id, said`` (hash of its text), ``n, sig_a, sig_b, matches, parity`` and its packed
+    ``prefix``, rarest first."""
     counts = cell_counts(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +146,19 @@ def prefixes(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
                 kept = prefix.shingle[prefix.inside]
                 border = np.concatenate([[0], np.cumsum(prefix.inside)])[sets.first]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sets.size.astype(np.int64)), *sig,
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sets.size.astype(np.int64)), *sig,
                      pa.array(prefix.matches.astype(np.int32)), parity,
                      pa.array([kept[x:y].tobytes() for x, y in zip(border[:-1], border[1:])], pa.binary())],
-                    names=["id", "n", "sig_a", "sig_b", "matches", "parity", "prefix"])
+                    names=["id", "said", "n", "sig_a", "sig_b", "matches", "parity", "prefix"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, parity array<bigint>, prefix binary")
+    return docs.select("id", "text", F.xxhash64("text").alias("said")).mapInArrow(run, "id bigint, said bigint, n bigint, sig_a bigint, sig_b bigint, matches int, parity array<bigint>, prefix binary")
 
 
 def live_table(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """``id, n, sig_a, sig_b, matches`` of every document, with its ``live`` prefix shingles
+    """``id, said, n, sig_a, sig_b, matches`` of every document, with its ``live`` prefix shingles
     (those that occur elsewhere; null without any) and their ``places``."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "sig_a"), F.lit(n_blocks)))
-    order = ("id", "sig_a", "sig_b")
+    order = ("id", "sig_a", "sig_b", "said")
 
     def shingles(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         parts = [np.frombuffer(p, np.uint64) for p in docs.column("prefix").to_pylist()]
@@ -172,13 +174,13 @@ def live_table(rows: DataFrame, n_blocks: int) -> DataFrame:
         keys, where = np.unique(found, return_inverse=True)
         again = blocks.answered(flags, 1, keys, n_blocks)[where]
         spans = list(zip(border[:-1], border[1:]))
-        out = docs.select(["id", "n", "sig_a", "sig_b", "matches", "parity"])
+        out = docs.select(["id", "said", "n", "sig_a", "sig_b", "matches", "parity"])
         tokens = [found[a:b][again[a:b]].tobytes() or None for a, b in spans]
         places = [np.flatnonzero(again[a:b]).astype(np.int32).tobytes() or None for a, b in spans]
         return out.append_column("live", pa.array(tokens, pa.binary())).append_column("places", pa.array(places, pa.binary()))
 
     asked = blocks.occurs_elsewhere(rows.groupBy("block").applyInArrow(ask, blocks.SENT))
-    return blocks.with_answers(rows, asked, live, "id bigint, n bigint, sig_a bigint, sig_b bigint, matches int, "
+    return blocks.with_answers(rows, asked, live, "id bigint, said bigint, n bigint, sig_a bigint, sig_b bigint, matches int, "
                                                   "parity array<bigint>, live binary, places binary")
 
 
@@ -221,13 +223,15 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, t_num: int, t_den:
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS,
-            t_num: int = 80, t_den: int = 100, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+            t_num: int = 80, t_den: int = 100, block_bytes: int = blocks.BLOCK_BYTES, with_first: bool = False) -> DataFrame:
     """Per document: ``id_col, n_shingles, component_id`` (smallest id reachable by links of
-    Jaccard >= t_num / t_den)."""
+    Jaccard >= t_num / t_den) and, ``with_first``, ``said`` (xxhash64 of its text) and ``first``: does it
+    have the smallest id of its component, and of the texts of that id in it the smallest hash?"""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     with blocks.small_batches(spark), blocks.scratch(spark) as keep:
-        return _similar(rows, keep, width, t_num, t_den, block_bytes).withColumnRenamed("id", id_col)
+        out = _similar(rows, keep, width, t_num, t_den, block_bytes).withColumnRenamed("id", id_col)
+        return out if with_first else out.drop("said", "first")
 
 
 def _similar(rows: DataFrame, keep, width: int, t_num: int, t_den: int, block_bytes: int) -> DataFrame:
@@ -235,10 +239,15 @@ def _similar(rows: DataFrame, keep, width: int, t_num: int, t_den: int, block_by
     n_blocks = blocks.count_blocks(rows, "text", 4 * block_bytes)
     table = blocks.stored(live_table(prefixes(rows, width, t_num, t_den), n_blocks))
 
+    # equal sets are one class; a class is a node of its own, whatever ids its documents have
     sig = ["n", "sig_a", "sig_b"]
-    classes = table.where("n > 0 and id is not null").groupBy(*sig).agg(F.min("id").alias("rep"))
-    reps = keep(table.where("live is not null and id is not null").join(classes, sig)
-                         .where("id = rep").drop("rep").dropDuplicates(["id"]))
+    classes = table.where("n > 0 and id is not null").groupBy(*sig).agg(F.min(F.struct("id", "said")).alias("rep"))
+    classes = blocks.stored(classes.select(*sig, F.col("rep.id").alias("rep"), F.col("rep.said").alias("rep_said"),
+                                           F.monotonically_increasing_id().alias("node")))
+    reps = table.where("live is not null and id is not null").join(classes, sig).where("id = rep and said = rep_said")
+    reps = keep(reps.dropDuplicates(["node"]))
+    own = reps.select(F.col("rep").alias("id"), F.col("rep_said").alias("said"), "node")
+    reps = reps.drop("id", "said", "rep", "rep_said").withColumnRenamed("node", "id")
 
     # partners m of n share >= ceil(t (n + m) / (1 + t)) <= n - place + matches - 1
     hi = F.floor(F.lit(t_num + t_den) * (F.col("n") - F.col("place") + F.col("matches") - 1) / F.lit(t_num)) - F.col("n")
@@ -272,7 +281,9 @@ def _similar(rows: DataFrame, keep, width: int, t_num: int, t_den: int, block_by
              .select("token", "class"))
     probe, index = (keep(d.join(lists, ["token", "class"])) for d in (probe, index))
     members = probe.select("id").unionByName(index.select("id")).distinct()
-    texts = keep(rows.join(members, "id", "left_semi").dropDuplicates(["id"]))
+    wanted = own.join(members.withColumnRenamed("id", "node"), "node", "left_semi")
+    texts = rows.withColumn("said", F.xxhash64("text")).join(wanted, ["id", "said"])
+    texts = keep(texts.select(F.col("node").alias("id"), "text").dropDuplicates(["id"]))
 
     # the list's member with the fewest rare shingles in front of this one is its centre, among
     # the smaller and among the larger sides; a document is held against the centre it meets most
@@ -306,8 +317,12 @@ def _similar(rows: DataFrame, keep, width: int, t_num: int, t_den: int, block_by
     rest = keep(met.select("a", "b").join(tried, ["a", "b"], "left_anti"))
     roots = components(first.unionByName(verified(rest, texts, width, t_num, t_den)))
 
-    label = classes.join(roots, classes["rep"] == roots["node"], "left").select(
-        *sig, F.coalesce("root", "rep").alias("component"))
-    out = table.select("id", *sig).join(label, sig, "left")
-    component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    label = classes.join(roots.withColumnsRenamed({"node": "linked"}), F.col("node") == F.col("linked"), "left")
+    label = label.withColumn("root", F.coalesce("root", "node"))
+    least = label.groupBy("root").agg(F.min(F.struct("rep", "rep_said")).alias("least"))
+    label = label.join(least, "root").select(*sig, "least")
+    out = table.select("id", "said", *sig).join(label, sig, "left")
+    alone = F.col("id").isNull() | (F.col("n") == 0)
+    component = F.when(alone, F.col("id")).otherwise(F.col("least.rep"))
+    first = alone | ((F.col("id") == F.col("least.rep")) & (F.col("said") == F.col("least.rep_said")))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), "said", first.alias("first"))

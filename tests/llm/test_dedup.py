@@ -39,6 +39,16 @@ def test_ngram_join(documents, texts, block_bytes):
     assert sum(c != i for i, (_, c) in want.items()) > 20
 
 
+def test_ngram_join_ids_that_are_repeated_with_another_text(spark):
+    one, two = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(1, one), (1, two), (2, [*one[:-1], "z"]), (3, [*two[:-1], "z"]), (3, [*two[:-1], "z"]), (4, ["alone"]), (None, one), (5, []), (5, [])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    got = ngram_join.similar(docs, with_first=True).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.component_id, r.first) for r in got), key=key) == sorted(
+        [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (None, None, True), (5, 5, True), (5, 5, True)], key=key)
+
+
 def test_ngram_join_near_copies_that_do_not_link_with_each_other(spark):
     """Copies of one text with edits at different places: linked through the text, if at all."""
     base = [f"w{k}" for k in range(150)]
@@ -119,6 +129,14 @@ def test_embeddings_of_several_lengths(spark):
         assert sum(r.n_links for r in got.values()) == len(hit) and all(got[i].n_links for i, _ in hit)
 
 
+def test_embeddings_of_any_scale(spark):
+    vectors = [[1e-200, 2e-200], [2.0, 1.0], [1e200, 2e200], [1.0, 2.0], [5e-324, 0.0], [1.0, 0.0], [1.7e308, 1.7e308], [1e-308, 1e-308]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    # cosine of (1, 2) and (2, 1): 0.8; of (1, 1) and (1, 2): 0.949
+    assert got == {0: (2, 0), 1: (0, 1), 2: (2, 0), 3: (2, 0), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+
+
 def test_embedding_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
