@@ -97,9 +97,21 @@ def _json_object(m: Column) -> Column:
         _json_string(e["key"]), F.lit(": "), _json_string(e["value"]))), ", "), F.lit("}"))
 
 
+_JSON_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def json_text(c: Column) -> Column:
+    """JSON text of any value with ``", "`` and ``": "`` separators, no other space outside strings, and
+    strings with the escapes they need (non-ASCII kept); numbers as written."""
+    parts = F.regexp_extract_all(c, F.lit(rf'(?s){_JSON_STRING}|[^"]++'), F.lit(0))
+    said = lambda x: _json_string(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")[0])
+    spaced = lambda x: F.replace(F.replace(F.regexp_replace(x, r"\s+", ""), F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith('"'), said(x)).otherwise(spaced(x))), "")
+
+
 def render_full(messages, add_generation_prompt: bool = False, date_string: str = DEFAULT_DATE,
                 tools: Sequence[dict] | None = None, builtin_tools: Sequence[str] | None = None,
-                tools_in_user_message: bool = True, calls: bool | None = None) -> Column:
+                tools_in_user_message: bool = True, calls: bool | None = None, json_arguments: bool = False) -> Column:
     """The full chat template.
 
     A leading system message is pulled into the system header. ``tools`` are listed in front of
@@ -107,8 +119,9 @@ def render_full(messages, add_generation_prompt: bool = False, date_string: str
     false; ``builtin_tools`` are named in the header and called behind the python tag, and then
     calls end with the message tag. ``tool``/``ipython`` messages render as ipython blocks with
     their content as a JSON string, an assistant message with one entry in ``tool_calls``
-    (``array<struct<name, arguments map<string,string>>>``; ``calls`` says whether the messages
-    have that field, by default when tools are given) as a call. A conversation the template
+    (``array<struct<name, arguments map<string,string>>>``, or with ``json_arguments`` arguments as the
+    text of a JSON object of any values; ``calls`` says whether the messages have that field, by
+    default when tools are given) as a call. A conversation the template
     cannot render yields null; ``template_error`` says why.
     """
     msgs = _c(messages)
@@ -141,9 +154,11 @@ def render_full(messages, add_generation_prompt: bool = False, date_string: str
         if not calls:
             return plain
         call = F.get(m["tool_calls"], F.lit(0))
-        said = F.concat(F.lit('{"name": "'), call["name"], F.lit('", "parameters": '), _json_object(call["arguments"]), F.lit("}"))
+        given = json_text(call["arguments"]) if json_arguments else _json_object(call["arguments"])
+        said = F.concat(F.lit('{"name": "'), call["name"], F.lit('", "parameters": '), given, F.lit("}"))
         if builtin_tools:
-            arguments = F.array_join(F.transform(F.map_entries(call["arguments"]), lambda e: F.concat(
+            named = F.from_json(call["arguments"], "map<string,string>") if json_arguments else call["arguments"]
+            arguments = F.array_join(F.transform(F.map_entries(named), lambda e: F.concat(
                 e["key"], F.lit('="'), e["value"], F.lit('"'))), ", ")
             said = F.when(call["name"].isin(*builtin_tools), F.concat(
                 F.lit(PYTHON_TAG), call["name"], F.lit(".call("), arguments, F.lit(")"))).otherwise(said)

@@ -8,10 +8,8 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import safe_name
 from ..session import cut_lineage
@@ -103,16 +101,62 @@ def t_two_sided_p(t: float, dof: float) -> float | None:
     return betainc_reg(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-@F.pandas_udf(T.DoubleType())
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b))
-                      for a, b in zip(t, dof)], dtype="float64")
+# Lanczos approximation of the gamma function (g = 7, nine terms).
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+           12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(z: Column) -> Column:
+    """ln gamma(z) for z >= 0.5."""
+    total = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        total = total + F.lit(c) / (z + F.lit(float(k - 1)))
+    t = z + F.lit(6.5)
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z - 0.5) * F.log(t) - t + F.log(total)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function (Lentz): a fold over as many steps as it
+    needs to settle, about the root of the larger parameter."""
+    tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    steps = F.lit(100) + F.ceil(F.lit(5.0) * F.sqrt(F.greatest(a, b)))
+
+    def step(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a - 1.0 + 2.0 * m) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 1.0 + 2.0 * m))
+        d1 = 1.0 / tiny(1.0 + even * acc["d"])
+        c1 = tiny(1.0 + even / acc["c"])
+        half = F.struct(d1.alias("d"), c1.alias("c"), (acc["h"] * d1 * c1).alias("h"))
+        return F.element_at(F.transform(F.array(half), lambda s: F.transform(
+            F.array(F.struct((1.0 / tiny(1.0 + odd * s["d"])).alias("d"), tiny(1.0 + odd / s["c"]).alias("c"), s["h"].alias("h"))),
+            lambda e: F.struct(e["d"].alias("d"), e["c"].alias("c"), (e["h"] * e["d"] * e["c"]).alias("h")))[0]), 1)
+
+    first = 1.0 / tiny(1.0 - (a + b) * x / (a + 1.0))
+    start = F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h"))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), steps.cast("int")), lambda m: m.cast("double")), start, step, lambda acc: acc["h"])
+
+
+def beta_share(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta I_x(a, b), for a and b of at least 0.5."""
+    log_front = log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x)
+    low = x < (a + 1.0) / (a + b + 2.0)
+    p, q, y = F.when(low, a).otherwise(b), F.when(low, b).otherwise(a), F.when(low, x).otherwise(1.0 - x)
+    part = F.exp(log_front) * _beta_fraction(p, q, y) / p
+    inside = F.when(low, part).otherwise(1.0 - part)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(inside)
+
+
+def two_sided_p(t: Column, dof: Column) -> Column:
+    """P(|T| >= |t|) of Student's t with ``dof`` degrees of freedom (1 or more); null and NaN stay missing."""
+    known = t.isNotNull() & dof.isNotNull() & ~F.isnan(t) & ~F.isnan(dof)
+    return F.when(known, F.when(F.abs(t) == float("inf"), F.lit(0.0)).otherwise(
+        beta_share(dof / 2.0, F.lit(0.5), dof / (dof + t * t))))
 
 
 def welch_pvalue(df: DataFrame, run_col: str, value: str, run_a: str, run_b: str) -> DataFrame:
-    """Welch test with its two-sided p value (evaluated on the one-row result)."""
+    """Welch test with its two-sided p value, in expressions."""
     r = welch_ttest(df, run_col, value, run_a, run_b)
-    return r.withColumn("p_value", _p_value(F.col("t_stat"), F.col("dof")))
+    return r.withColumn("p_value", two_sided_p(F.col("t_stat"), F.col("dof")))
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],

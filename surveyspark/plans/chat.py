@@ -146,6 +146,46 @@ def q_render_full_tools(spark, sf):
                     template_error("messages").alias("error"))
 
 
+@query("render_full_typed_tools", f"""
+WITH c0 AS (SELECT conv_id, turn * 2 AS o, turn, role, text,
+                   CASE WHEN role = 'assistant' AND turn = 1 THEN 1 ELSE 0 END AS is_call FROM conversations
+            UNION ALL SELECT conv_id, turn * 2 + 1, turn, 'tool', text, 0 FROM conversations
+            WHERE role = 'assistant' AND turn = 1),
+f AS (SELECT conv_id, min(o) AS o0 FROM c0 GROUP BY conv_id),
+c1 AS (SELECT c0.*, CASE WHEN c0.o = f.o0 AND c0.role = 'system' THEN 1 ELSE 0 END AS is_sys FROM c0 JOIN f USING (conv_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS rn FROM c1 WHERE is_sys = 0),
+sys AS (SELECT conv_id, {_s('text')} AS sm FROM c1 WHERE is_sys = 1),
+fu AS (SELECT conv_id, {_s('text')} AS fu FROM r WHERE rn = 1),
+body AS (
+  SELECT conv_id, string_agg(
+    CASE WHEN role IN ('tool', 'ipython') THEN '<|start_header_id|>ipython<|end_header_id|>' || chr(10) || chr(10)
+              || CAST(to_json(text) AS VARCHAR) || '<|eot_id|>'
+         WHEN is_call = 1 THEN '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)
+              || '{{"name": "search", "parameters": {{"conv_id": ' || CAST(conv_id AS VARCHAR) || ', "exact": '
+              || CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END || ', "weights": [1, 2.5, ' || CAST(turn AS VARCHAR)
+              || '], "filter": {{"role": "user", "text": ' || CAST(to_json(text) AS VARCHAR) || ', "none": null}}}}}}<|eot_id|>'
+         ELSE '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || {_s('text')} || '<|eot_id|>'
+    END, '' ORDER BY o) AS b
+  FROM r WHERE rn > 1 GROUP BY conv_id)
+SELECT f.conv_id,
+       {SQL_FULL_HEAD.format(env="|| 'Environment: ipython' || chr(10) ")} || coalesce(sys.sm, '') || '<|eot_id|>'
+       || '<|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10)
+       || 'Given the following functions, please respond with a JSON for a function call '
+       || 'with its proper arguments that best answers the given prompt.' || chr(10) || chr(10)
+       || 'Respond in the format {{"name": function name, "parameters": dictionary of argument name and its value}}.'
+       || 'Do not use variables.' || chr(10) || chr(10) || '{_tool_json(TOOLS)}'
+       || fu.fu || '<|eot_id|>' || coalesce(body.b, '') AS text, CAST(NULL AS VARCHAR) AS error
+FROM f LEFT JOIN sys USING (conv_id) LEFT JOIN fu USING (conv_id) LEFT JOIN body USING (conv_id)""")
+def q_render_full_typed_tools(spark, sf):
+    """Tool arguments given as JSON text: numbers, a boolean, a list and an object."""
+    arguments = "concat('{\\n \"conv_id\" : ', conv_id, ',\"exact\":', conv_id % 2 = 0, ', \"weights\":[1,2.5 , ', t.arguments['turn'], " \
+                "'],\"filter\":{\"role\":\"user\", \"text\":', substring(to_json(array(x.content)), 2, length(to_json(array(x.content))) - 2), ',\"none\":null}}')"
+    m = tool_conversations(spark, sf).withColumn("messages", F.expr(
+        f"transform(messages, x -> struct(x.role, x.content, transform(x.tool_calls, t -> struct(t.name, {arguments} AS arguments)) AS tool_calls))"))
+    return m.select("conv_id", render_full("messages", tools=TOOLS, json_arguments=True).alias("text"),
+                    template_error("messages").alias("error"))
+
+
 # Fixed values for this binding: the built-in tools.
 BUILTIN = ["search", "code_interpreter"]
 

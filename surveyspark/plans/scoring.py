@@ -78,7 +78,17 @@ def q_welch_ttest(spark, sf):
     return _round_stats(w, {"mean_a", "mean_b", "var_a", "var_b", "t_stat", "dof"})
 
 
-@query("welch_pvalue")
+@query("welch_pvalue", f"""WITH u AS ({SQL_WELCH.strip()}),
+e AS (SELECT u.*, w2.t, w2.v FROM u, (SELECT (mean_a - mean_b) / sqrt(a + b) AS t,
+        (a + b) * (a + b) / (a * a / (n_a - 1) + b * b / (n_b - 1)) AS v FROM (
+          SELECT *, var_a / n_a AS a, var_b / n_b AS b FROM (
+            WITH {SQL_RUNS} SELECT count(value) FILTER (WHERE model = 'view') AS n_a, avg(value) FILTER (WHERE model = 'view') AS mean_a,
+              var_samp(value) FILTER (WHERE model = 'view') AS var_a, count(value) FILTER (WHERE model = 'click') AS n_b,
+              avg(value) FILTER (WHERE model = 'click') AS mean_b, var_samp(value) FILTER (WHERE model = 'click') AS var_b FROM runs))) w2),
+area AS (SELECT sum(CASE WHEN r.k IN (0, 20000) THEN 1 WHEN r.k % 2 = 1 THEN 4 ELSE 2 END
+                    * pow(1 + pow(abs(t) * r.k / 20000, 2) / v, -(v + 1) / 2)) * abs(t) / 60000
+                  * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) AS x FROM e, range(0, 20001) AS r(k) GROUP BY t, v)
+SELECT run_a, run_b, n_a, n_b, mean_a, mean_b, var_a, var_b, t_stat, dof, round(1 - 2 * x, 6) AS p_value FROM e, area""")
 def q_welch_pvalue(spark, sf):
     w = welch_pvalue(_runs(spark, sf, ("view", "click")), "model", "value", "view", "click")
     return _round_stats(w, {"mean_a", "mean_b", "var_a", "var_b", "t_stat", "dof", "p_value"})

@@ -103,6 +103,28 @@ def test_welch_and_box(spark):
     assert bx["a"]["n_outliers"] == 1 and bx["a"]["whisker_high"] == 4.0
 
 
+def test_p_value_in_expressions(spark):
+    from surveyspark.operators.compare import two_sided_p
+    cases = [(t, v) for t in (0.0, 1e-6, 0.3, -1.0, 2.0, 5.5, -30.0, 1e6) for v in (1.0, 1.7, 2.0, 10.0, 333.3, 54321.0, 2e6)]
+    df = spark.createDataFrame([*cases, (float("inf"), 3.0), (float("nan"), 3.0), (None, 3.0), (1.0, None)], "t double, v double")
+    for r in df.withColumn("p", two_sided_p(F.col("t"), F.col("v"))).collect():
+        want = t_two_sided_p(r.t, r.v)
+        assert r.p is None if want is None else r.p == pytest.approx(want, rel=1e-8, abs=1e-14), r
+    plan = df.withColumn("p", two_sided_p(F.col("t"), F.col("v")))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_json_text_of_tool_arguments(spark):
+    import json
+
+    from surveyspark.operators.chat import json_text
+    values = [{"a": 1, "b": [1, 2.5, -3e-7, None, True, False], "c": {"d": {}, "e": []}}, [], {}, "x: y, z", "q\"\\ü\n\u2028{}[],:", 12, None, True,
+              {"k,:": "v , w : x", "ключ": "  two  spaces "}]
+    texts = [f(v) for v in values for f in (json.dumps, lambda v: json.dumps(v, indent=3, ensure_ascii=False), lambda v: json.dumps(v, separators=(",", ":")))]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, x string").select("k", json_text(F.col("x")).alias("y")).orderBy("k").collect()
+    assert [r.y for r in got] == [json.dumps(json.loads(t), ensure_ascii=False) for t in texts]
+
+
 def test_entry_and_every_query_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
