@@ -2,8 +2,12 @@
 
 Every stage takes the documents that the one before kept and returns documents (the last one:
 token ids). ``run`` writes each stage as Parquet in the shared checkpoint folder and rereads it.
-Nulls, empty texts, ties, repeated rows and empty tables behave as the operators' docstrings say;
-rows that repeat a doc_id count as one document from the second stage on.
+
+Edge cases: a null, empty or letterless text goes at the first stage, a corpus without labels loses
+no other; of rows that are equal in id and text one stays; rows that repeat an id with another text
+are documents of their own; a null doc_id is never a near duplicate and stays; of tied near
+duplicates the smallest id stays, and its smallest text hash; very long texts are handled whole; an
+empty table gives an empty result; columns other than the five of documents are dropped.
 """
 
 from __future__ import annotations
@@ -17,22 +21,26 @@ from surveyspark.llm import bpe, decontam, lang_id, ngram_join, substring_dedup
 from surveyspark.session import checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIXED = 0.3  # below this share of letters no language can be named
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts in which no language labels ``MIXED`` of the letters."""
+    """Rejects texts without letters, and texts without a letter in a script of any trained language.
+    Without a label in the corpus there is no model, and every text with letters stays."""
     model = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))))
-    found = lang_id.identify(docs.select(*COLUMNS), model)
-    return found.where((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= MIXED)).select(*COLUMNS)
+    found = lang_id.identify(docs.select(*COLUMNS), model, spans=False)
+    if model.langs:
+        return found.where((F.col("lang_pred") != lang_id.UND) & (F.col("score") > 0)).select(*COLUMNS)
+    return found.where(F.rlike("text", F.lit(r"\p{L}"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every component of near duplicates."""
+    """Keeps one document of every component of near duplicates: of the smallest id, and of the texts
+    that this id has in the component the one of smallest hash."""
     docs = docs.select(*COLUMNS)
-    kept = ngram_join.similar(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = ngram_join.similar(docs, with_first=True).where("first and doc_id is not null").select("doc_id", "said").distinct()
     alone = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(alone).select(*COLUMNS)
+    one = docs.withColumn("said", F.xxhash64("text")).join(kept, ["doc_id", "said"], "left_semi").dropDuplicates(["doc_id", "said"])
+    return one.unionByName(alone, allowMissingColumns=True).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
