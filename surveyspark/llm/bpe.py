@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.words import slices, stream
+from surveyspark.llm.words import returning, slices, stream
 
 TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken"
 # bounds of the per-worker look-ups; they only save time, results do not depend on them
@@ -311,11 +311,6 @@ class Codec:
         ids = self.match_ids.learn({p for found in pieces.values() for p in found}, self._new_matches)
         return {w: ",".join([ids[p] for p in found]) for w, found in pieces.items()}
 
-    def forget(self) -> None:
-        """Empties the look-ups: a worker that waits for another task holds no memory for them."""
-        self.match_ids, self.word_ids = _Seen(CACHE_ENTRIES), _Seen(CACHE_ENTRIES)
-        self.rules.fits.clear()
-
     def words(self, text: str) -> list[str]:
         """Parts of a text that can be encoded one by one. A match never runs past a single
         space that stands between two other characters (it can only begin with it), so a
@@ -347,12 +342,17 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process and rank file."""
+    """One codec per task and rank file."""
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Codec(path, pattern)
     return _CODECS[path, pattern]
 
 
+def drop_codecs() -> None:
+    """A worker that waits for another task holds no tables and no look-ups."""
+    _CODECS.clear()
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
     """Encode and decode every text: ``id_col, n_tokens, ids_sha256, decoded_sha256`` and,
@@ -380,7 +380,5 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                          pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        c.forget()
-
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(returning(run, drop_codecs), schema).withColumnRenamed("id", id_col)

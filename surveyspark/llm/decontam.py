@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.words import Family, Words, has_window, owner, slices, window_hashes
+from surveyspark.llm.words import Family, Words, has_window, owner, returning, slices, window_hashes
 
 LEAST = 5  # tokens of the shortest tile
 COVERAGE = 0.5  # share of the item's tokens under tiles
@@ -193,5 +193,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     both = pa.array([x + y for x, y in zip(before, new)], leak)
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], both], names=part.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(returning(run), schema)
     return out

@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.words import slices
+from surveyspark.llm.words import returning, slices
 
 ORDERS = (2, 3, 4)
 CELLS = 1 << 16  # hashed n-grams per order
-SLICE = 1 << 20
+SLICE = 1 << 19
 SWITCH = 6.0  # log penalty of a change of language
 SPREAD = 8.0  # a word speaks at most this strongly against a language
 SMOOTH = 0.5
@@ -182,7 +182,7 @@ def train_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                  pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], names=["lang", "order", "cell", "n"])
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
-    return rows.mapInArrow(run, "lang string, order int, cell bigint, n bigint").groupBy("lang", "order", "cell").agg(
+    return rows.mapInArrow(returning(run), "lang string, order int, cell bigint, n bigint").groupBy("lang", "order", "cell").agg(
         F.sum("n").alias("n"))
 
 
@@ -301,7 +301,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
                 own = [pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(found, span)][:3 if spans else 2]
                 yield pa.RecordBatch.from_arrays([*part.columns, *own], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(returning(run), schema)
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:

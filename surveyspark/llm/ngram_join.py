@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.llm import blocks
 from surveyspark.llm.components import components
-from surveyspark.llm.words import Family, Words, has_window, mix, owner, slices, window_hashes
+from surveyspark.llm.words import Family, Words, has_window, mix, owner, returning, slices, window_hashes
 
 WORDS = 5
 CELLS = 1 << 17  # cells of the frequency estimate: 1 MB, whatever the corpus
@@ -90,7 +90,7 @@ def cell_counts(docs: DataFrame, width: int = WORDS) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(returning(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     found = rows.toArrow()  # at most CELLS rows
     out = np.zeros(CELLS, np.int64)
     out[np.asarray(found.column("cell"))] = np.asarray(found.column("n"))
@@ -151,7 +151,7 @@ def prefixes(docs: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
                      pa.array([kept[x:y].tobytes() for x, y in zip(border[:-1], border[1:])], pa.binary())],
                     names=["id", "said", "n", "sig_a", "sig_b", "matches", "parity", "prefix"])
 
-    return docs.select("id", "text", F.xxhash64("text").alias("said")).mapInArrow(run, "id bigint, said bigint, n bigint, sig_a bigint, sig_b bigint, matches int, parity array<bigint>, prefix binary")
+    return docs.select("id", "text", F.xxhash64("text").alias("said")).mapInArrow(returning(run), "id bigint, said bigint, n bigint, sig_a bigint, sig_b bigint, matches int, parity array<bigint>, prefix binary")
 
 
 def live_table(rows: DataFrame, n_blocks: int) -> DataFrame:
@@ -198,7 +198,7 @@ def entries(prefixes: DataFrame) -> DataFrame:
                 names=["token", "place", "id", "n", "matches"])
 
     return prefixes.select("id", "n", "matches", "live", "places").mapInArrow(
-        run, "token bigint, place bigint, id bigint, n bigint, matches bigint")
+        returning(run), "token bigint, place bigint, id bigint, n bigint, matches bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
@@ -219,7 +219,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, t_num: int, t_den:
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(returning(run), "a bigint, b bigint")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS,

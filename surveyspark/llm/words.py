@@ -7,16 +7,39 @@ memory proportional to the slice it is given (``slices`` cuts a column by bytes)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20  # text bytes handled at once; one longer text is one slice
+SLICE_BYTES = 1 << 19  # text bytes handled at once; one longer text is one slice
 
 _MASK = (1 << 64) - 1
 
 
+def give_back() -> None:
+    """Free memory returns to the system: a worker that waits for another task holds none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def returning(run: Callable, *last: Callable) -> Callable:
+    """``run`` over a partition; then ``last`` are called and free memory is given back."""
+
+    def all_of(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for end in last:
+                end()
+            give_back()
+
+    return all_of
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the splitmix64 finisher)."""
     x = x.astype(np.uint64, copy=True)

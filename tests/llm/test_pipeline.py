@@ -26,6 +26,24 @@ def test_stages_against_plain_versions(spark, texts, tmp_path):
     assert 90_003 in got and 90_002 not in got
 
 
+def test_repeated_ids_null_ids_and_no_labels(spark):
+    one, two, clean = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, one), (1, two), (1, one), (2, one + " z"), (3, two + " z"), (None, clean), (None, clean), (4, "- 12 -"), (5, None), (6, "short")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], COLUMNS)
+    lettered = corpus_pipeline.language(spark, docs, "")
+    assert lettered.count() == 8 and lettered.columns == list(corpus_pipeline.COLUMNS)
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, lettered, "").collect()))
+    assert got == sorted([(1, one), (1, two), (0, clean), (0, clean), (6, "short")])
+
+
+def test_mixed_languages_stay(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"),
+                                                        ("el gato y el perro", "es")] * 9)]
+    mixed = "the cat and the dog. der hund und die katze. le chat et le chien. el gato y el perro."
+    docs = spark.createDataFrame([(k, t, lang, "s", 1) for k, t, lang in rows] + [(1000, mixed, None, "s", 1), (1001, "漢字", None, "s", 1)], COLUMNS)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {k for k, *_ in rows} | {1000}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
