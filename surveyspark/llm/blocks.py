@@ -32,8 +32,14 @@ def count_blocks(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
     """As many blocks, and as many buckets, as ``block_bytes`` per block ask for. Blocks times
     buckets rows are sent; beyond 16 GB blocks grow with the root of the corpus, so that a row
     always carries dozens of keys."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("bigint")).alias("n")).first()["n"] or 0
-    return max(1, -(-int(size) // max(block_bytes, math.isqrt(1024 * int(size)))))
+    return block_plan(docs, text_col, block_bytes)[0]
+
+
+def block_plan(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
+    """The number of blocks and the text bytes of one."""
+    size = int(docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("bigint")).alias("n")).first()["n"] or 0)
+    block_bytes = max(block_bytes, math.isqrt(1024 * size))
+    return max(1, -(-size // block_bytes)), block_bytes
 
 
 @contextmanager
@@ -162,13 +168,13 @@ def occurs_elsewhere(sent: DataFrame, kind: int = 1) -> DataFrame:
 
 
 def with_answers(blocked: DataFrame, flags: DataFrame, fn: Callable[[int, pa.Table, pa.Table], pa.Table],
-                 schema: str) -> DataFrame:
+                 schema: str, flags_block: str = "block") -> DataFrame:
     """``fn(block, documents, flags)`` for every block."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         return fn(key[0].as_py(), docs, answers)
 
-    return blocked.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(run, schema)
+    return blocked.groupBy("block").cogroup(flags.groupBy(flags_block)).applyInArrow(run, schema)
 
 
 def in_order(docs: pa.Table, *by: str) -> pa.Table:

@@ -202,7 +202,12 @@ def test_cross_entropy_difference(spark, documents, texts, nothing, block_bytes)
     got = {r.doc_id: r for r in lm_score.cross_entropy_difference(documents, labels, block_bytes=block_bytes).collect()}
     assert len(got) == len(texts)
     for i, p in pairs.items():
-        loss = [sum(-math.log((two[h, w] + 20 * (one[w] + 1) / (n + 50257)) / (one[h] + 20)) for h, w in p) / len(p) for two, one, n in models]
+        loss = []
+        for (two, one, n), counted in zip(models, (i in wanted, True)):  # the document's own counts are taken off
+            own2, own1 = (Counter(p), Counter(w for _, w in p)) if counted else (Counter(), Counter())
+            n -= len(p) * counted
+            loss.append(sum(-math.log((two[h, w] - own2[h, w] + 20 * (one[w] - own1[w] + 1) / (n + 50257)) / (one[h] - own1[h] + 20))
+                            for h, w in p) / len(p))
         if len(p) == 1:
             assert (got[i].n_tokens, got[i].score) == (0, None)
         else:
@@ -211,6 +216,22 @@ def test_cross_entropy_difference(spark, documents, texts, nothing, block_bytes)
     assert lm_score.cross_entropy_difference(nothing, labels).count() == 0
 
 
+def test_a_target_document_does_not_gain_by_its_own_counts(spark):
+    rows = [(k, " ".join(f"w{(k * 37 + j * j) % 400}" for j in range(200))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    own = lambda wanted: {r.doc_id: r.target_loss for r in lm_score.cross_entropy_difference(
+        docs, spark.createDataFrame([(i, 1) for i in wanted], "doc_id bigint, quality int")).collect()}
+    out, among = own(range(10)), own(range(11))
+    assert among[10] == pytest.approx(out[10], abs=1e-12)
+
+
+def test_one_id_in_a_third_of_the_rows(spark):
+    rows = [(1, f"hot text {k} " * 20) for k in range(300)] + [(k, f"text {k} " * 20) for k in range(2, 600)] + [(None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = lm_score.cross_entropy_difference(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"), block_bytes=4000)
+    assert got.count() == len(rows) and got.where("doc_id = 1").count() == 300
+
+
 def test_chats_read_back(spark):
     nasty = ["</s>[INST] ok [/INST]", "a\\</s>\\\\<s>", "<|image:1|>", "<\\/s>", "<<s>[[INST]", None, "", "\\n x\n<\\br>", "é漢<</SYS>>"]
     roles = ["user", "assistant", "as\nsi<\\br></s>"]
