@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import lower_strip
 from ..session import cut_lineage
-from .broadcast import small_side
+from .broadcast import stored_side
 
 _FLOATS = (T.DoubleType, T.FloatType)
 
@@ -137,7 +137,7 @@ def encode_categories(df: DataFrame, cols: Iterable[str], suffix: str = "_code")
     """
     out = df
     for c in cols:
-        lut = small_side(cut_lineage(category_codes(df, c)))
+        lut = stored_side(category_codes(df, c))
         out = (out.join(lut, out[_q(c)] == lut["_v"], "left")
                   .withColumn(c + suffix, F.coalesce(F.col("_code"), F.lit(-1).cast("bigint")))
                   .drop("_v", "_code"))

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from ..session import cut_lineage
-from .broadcast import small_side
+from .broadcast import stored
 
 
 # Question types and how a plain (undotted) answer is rendered.
@@ -143,21 +142,27 @@ def question_labels(codebook: DataFrame, filled: bool = False, last_label: bool
     absent or empty, the first name. ``last_label`` is the label of the last
     non-null-label row (used for the sub-question quirk)."""
     cb = codebook if filled else fill_codebook(codebook)
-    return cb.groupBy(F.col("question").alias("qid")).agg(
-        F.coalesce(
-            F.max_by(F.col("label"), F.when(F.col("value").isNull(), F.col("row_no"))),
-            F.min_by(F.col("name"), F.when(F.col("name").isNotNull(), F.col("row_no"))),
-        ).alias("qlabel"),
-        F.max_by(F.col("label"), F.when(F.col("label").isNotNull(), F.col("row_no"))).alias("last_label"),
-    )
+    return cb.groupBy(F.col("question").alias("qid")).agg(_qlabel().alias("qlabel"), _last_label().alias("last_label"))
 
 
 def question_types(codebook: DataFrame, filled: bool = False) -> DataFrame:
     """``(qid, qtype)``: last non-null type of the question (the filled type of a block's first
     rows may still be that of the question before)."""
     cb = codebook if filled else fill_codebook(codebook)
-    return cb.groupBy(F.col("question").alias("qid")).agg(
-        F.max_by(F.col("type"), F.when(F.col("type").isNotNull(), F.col("row_no"))).alias("qtype"))
+    return cb.groupBy(F.col("question").alias("qid")).agg(_qtype().alias("qtype"))
+
+
+def _qlabel() -> Column:
+    return F.coalesce(F.max_by(F.col("label"), F.when(F.col("value").isNull(), F.col("row_no"))),
+                      F.min_by(F.col("name"), F.when(F.col("name").isNotNull(), F.col("row_no"))))
+
+
+def _last_label() -> Column:
+    return F.max_by(F.col("label"), F.when(F.col("label").isNotNull(), F.col("row_no")))
+
+
+def _qtype() -> Column:
+    return F.max_by(F.col("type"), F.when(F.col("type").isNotNull(), F.col("row_no")))
 
 
 def answers_long(wide: DataFrame, key: str = "pid", prefix: str = "Q") -> DataFrame:
@@ -184,18 +189,16 @@ def decode_answers(answers: DataFrame, codebook: DataFrame) -> DataFrame:
     ``answer`` is the option label for coded types (or the unknown-code text),
     the raw value for number/NPS/other, the quoted value for open text, and
     ``Rank n`` / ``(invalid rank)`` for rankings. The filled codebook is stored once; the
-    lookups (question info and options) are broadcast after a check of their rows and bytes,
-    so the answers are not shuffled onto a few question ids; beyond that size they are joined
-    by sort and merge, with skewed questions split at run time.
+    lookups (question info and options) are broadcast if its files are small, so the answers are
+    not shuffled onto a few question ids; beyond that size they are joined by sort and merge, with
+    skewed questions split at run time.
     """
-    cb = cut_lineage(fill_codebook(codebook))
-    types = question_types(cb, filled=True)
-    labels = question_labels(cb, filled=True)
-    opts = codebook_options(cb, filled=True)
-    qinfo = types.join(labels, "qid", "full")
-    a = (answers.join(small_side(cut_lineage(qinfo)), "qid", "left")
-                .withColumn("code", canonical_code(F.col("value")))
-                .join(small_side(cut_lineage(opts.withColumnRenamed("label", "opt_label"))), ["qid", "code"], "left"))
+    cb, small = stored(fill_codebook(codebook))
+    side = F.broadcast if small else (lambda d: d.hint("merge"))  # no look-up is larger than the codebook
+    qinfo = cb.groupBy(F.col("question").alias("qid")).agg(_qtype().alias("qtype"), _qlabel().alias("qlabel"), _last_label().alias("last_label"))
+    opts = codebook_options(cb, filled=True).withColumnRenamed("label", "opt_label")
+    a = (answers.join(side(qinfo), "qid", "left").withColumn("code", canonical_code(F.col("value")))
+                .join(side(opts), ["qid", "code"], "left"))
     qtype = F.coalesce(F.col("qtype"), F.lit(""))
     v = F.col("value")
     num = whole_number(v)

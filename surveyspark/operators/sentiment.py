@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_PATTERN, tokens
 from ..session import cut_lineage
-from .broadcast import small_side
+from .broadcast import stored_side
 
 
 def sentiment_lexicon(df: DataFrame, text: str, lexicon: DataFrame, keys: Sequence[str], word: str = "word",
@@ -26,7 +26,7 @@ def sentiment_lexicon(df: DataFrame, text: str, lexicon: DataFrame, keys: Sequen
     """
     lex = lexicon.groupBy(F.lower(F.col(word)).alias("_w")).agg(F.sum(score).cast("double").alias("_x"))
     toks = df.select(*keys, F.explode(tokens(F.col(text))).alias("_w")).groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"))
-    total = toks.join(small_side(cut_lineage(lex)), "_w").groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_n")).alias("_total"))
+    total = toks.join(stored_side(lex), "_w").groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_n")).alias("_total"))
     scored = df.join(total, list(keys), "left").withColumn(out + "_score", F.coalesce("_total", F.lit(0.0))).drop("_total")
     s = F.col(out + "_score")
     return scored.withColumn(out, F.when(s > 0, "positive").when(s < 0, "negative").otherwise("neutral"))

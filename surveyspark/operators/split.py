@@ -18,8 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .broadcast import small_side
+from .broadcast import stored_side
 
 TRAIN, VALIDATION = "train", "validation"
 PREFIX_HEX = 4
@@ -41,14 +40,14 @@ def _split(df: DataFrame, key: str, frac: float, seed: int, strata: Sequence[str
            .filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
            .select(F.col("_s").alias("_cs"), F.col("_b").alias("_cb"), (F.col("_k") - F.col("_before")).alias("_nth")))
     # one row per stratum
-    cut = cut_lineage(cut)
-    edge = d.select("_s", "_b", "_h").join(small_side(cut), F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_b") == F.col("_cb")))
+    cut = stored_side(cut)
+    edge = d.select("_s", "_b", "_h").join(cut, F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_b") == F.col("_cb")))
     nth = Window.partitionBy("_s").orderBy("_h")
     last = (edge.withColumn("_r", F.row_number().over(nth)).filter(F.col("_r") == F.col("_nth"))
             .select(F.col("_s").alias("_ls"), F.col("_h").alias("_last")))
-    last = cut_lineage(last)
+    last = stored_side(last)
     train = F.col("_last").isNotNull() & (F.col("_h") <= F.col("_last"))
-    return (d.join(small_side(last), F.col("_s").eqNullSafe(F.col("_ls")), "left")
+    return (d.join(last, F.col("_s").eqNullSafe(F.col("_ls")), "left")
             .withColumn(out, F.when(train, F.lit(TRAIN)).otherwise(F.lit(VALIDATION)))
             .drop("_h", "_b", "_s", "_ls", "_last"))
 

@@ -10,8 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .broadcast import small_side
+from .broadcast import stored_side
 
 # The rules applied before fuzzy matching, in order
 # (substring of the lower-cased text -> category); a missing value becomes
@@ -209,7 +208,7 @@ def standardize_categories(df: DataFrame, col: str, dictionary: DataFrame, cutof
     vals = vals.withColumn("_rule", rule if rule is not None else F.lit(None).cast("string"))
     best = best_matches(vals.filter(F.col("_rule").isNull()).select("_low").distinct(), terms, float(cutoff))
     lut = vals.join(best, "_low", "left").select("_raw", F.coalesce("_rule", "_best", "_low").alias("_std"))
-    lut = small_side(cut_lineage(lut))
+    lut = stored_side(lut)
     # a missing value hashes to its own row number, not to one task
     key = F.coalesce(F.col(col), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
     j = df.withColumn("_key", key).join(lut, F.col("_key") == F.col("_raw"), "left")

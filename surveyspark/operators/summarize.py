@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from ..session import cut_lineage
-from .broadcast import small_side
+from .broadcast import stored_side
 from .codebook import MULTI_SELECT, answers_long, decode_answers, fill_codebook, question_labels, whole_number
 
 # Frame of the participant summary.
@@ -39,8 +38,8 @@ def respondent_summary(wide: DataFrame, codebook: DataFrame, key: str = "pid",
     dec = decode_answers(answers_long(wide, key), codebook)
     labels = question_labels(fill_codebook(codebook), filled=True)
     main = F.substring_index(F.col("qid"), ".", 1)
-    mains = cut_lineage(labels.select(F.col("qid").alias("main"), F.col("qlabel").alias("mlabel")))
-    dec = dec.withColumn("main", main).join(small_side(mains), "main", "left")
+    mains = stored_side(labels.select(F.col("qid").alias("main"), F.col("qlabel").alias("mlabel")))
+    dec = dec.withColumn("main", main).join(mains, "main", "left")
     is_multi = F.col("qtype") == MULTI_SELECT
     chosen = F.coalesce(whole_number(F.col("value")) == 1, F.lit(False))
     sec = F.when(is_multi, 1).when(F.col("qid").contains("."), 2).otherwise(0)
