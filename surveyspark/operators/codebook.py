@@ -46,27 +46,27 @@ def forward_fill(df: DataFrame, cols: Sequence[str], order: Sequence[str],
             w = w.partitionBy(*part)
         return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
     d = in_buckets(df, part, bucket)
-    wb = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy("_scan_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({c: F.last(F.col(c), ignorenulls=True).over(wb) for c in cols})
     ordkey = F.struct(*[F.col(o) for o in order])
-    last = d.groupBy("_key").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordkey)).alias(f"_l_{c}")
+    last = d.groupBy("_scan_key").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordkey)).alias(f"_l_{c}")
                                    for c in cols])
     wc = over_buckets(part)
-    carry = last.select("_key", *[F.last(F.col(f"_l_{c}"), ignorenulls=True).over(wc).alias(f"_c_{c}") for c in cols])
-    out = d.join(carry, "_key").withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) for c in cols})
-    return out.drop("_key", *[f"_c_{c}" for c in cols])
+    carry = last.select("_scan_key", *[F.last(F.col(f"_l_{c}"), ignorenulls=True).over(wc).alias(f"_c_{c}") for c in cols])
+    out = d.join(carry, "_scan_key").withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) for c in cols})
+    return out.drop("_scan_key", *[f"_c_{c}" for c in cols])
 
 
 def in_buckets(df: DataFrame, part: Sequence[str], bucket: Column) -> DataFrame:
-    """Adds ``_key``, a struct of the partition and its bucket. A struct is never null, so null keys are
+    """Adds ``_scan_key``, a struct of the partition and its bucket. A struct is never null, so null keys are
     keys like any other, and window, aggregation and join by it share one exchange of the rows."""
-    return df.withColumn("_key", F.struct(*[F.col(p).alias(f"p{i}") for i, p in enumerate(part)], bucket.alias("bucket")))
+    return df.withColumn("_scan_key", F.struct(*[F.col(p).alias(f"p{i}") for i, p in enumerate(part)], bucket.alias("bucket")))
 
 
 def over_buckets(part: Sequence[str]):
-    """Window over the buckets in front of a bucket, on a table of one row per ``_key``."""
-    w = Window.orderBy("_key.bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return w.partitionBy(*[f"_key.p{i}" for i in range(len(part))]) if part else w
+    """Window over the buckets in front of a bucket, on a table of one row per ``_scan_key``."""
+    w = Window.orderBy("_scan_key.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return w.partitionBy(*[f"_scan_key.p{i}" for i in range(len(part))]) if part else w
 
 
 def join_null_safe(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -96,13 +96,13 @@ def running_sums(df: DataFrame, cols: dict[str, Column], order: Sequence[str], p
             w = w.partitionBy(*part)
         return d.withColumns({o: F.sum(f"_x_{o}").over(w) for o in cols}).drop(*[f"_x_{o}" for o in cols])
     d = in_buckets(d, part, bucket)
-    wb = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy("_scan_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({f"_r_{o}": F.sum(f"_x_{o}").over(wb) for o in cols})
-    tot = d.groupBy("_key").agg(*[F.sum(f"_x_{o}").alias(f"_t_{o}") for o in cols])
+    tot = d.groupBy("_scan_key").agg(*[F.sum(f"_x_{o}").alias(f"_t_{o}") for o in cols])
     wc = over_buckets(part)
-    carry = tot.select("_key", *[F.coalesce(F.sum(f"_t_{o}").over(wc), F.lit(0)).alias(f"_c_{o}") for o in cols])
-    out = d.join(carry, "_key").withColumns({o: F.col(f"_r_{o}") + F.col(f"_c_{o}") for o in cols})
-    return out.drop("_key", *[f"_{p}_{o}" for o in cols for p in ("x", "r", "c")])
+    carry = tot.select("_scan_key", *[F.coalesce(F.sum(f"_t_{o}").over(wc), F.lit(0)).alias(f"_c_{o}") for o in cols])
+    out = d.join(carry, "_scan_key").withColumns({o: F.col(f"_r_{o}") + F.col(f"_c_{o}") for o in cols})
+    return out.drop("_scan_key", *[f"_{p}_{o}" for o in cols for p in ("x", "r", "c")])
 
 
 _NUMERIC = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
