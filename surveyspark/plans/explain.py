@@ -18,6 +18,7 @@ from ..operators.attribution import (attribution_text, document_lines, explode_a
                                      to_json_lines, top_features, top_n)
 from ..operators.compare import mean_by_run
 from ..operators.generate import SYSTEM_MESSAGE, explanation_request, head_per_group
+from ..operators.keywords import find_keywords
 from ..operators.score import features_with_synonyms, keyword_coverage, synonym_expand, tfidf_pair_cosine
 from ..session import checkpoint_dir, cut_lineage
 from ..sources.named_files import write_named_files
@@ -283,3 +284,15 @@ def q_parse_attribution_text(spark, sf):
     # the props are JSON; Python-literal dict text (single quotes) parses the same way
     m = parse_attribution_text(F.regexp_replace("props", '"', "'"))
     return ev.select("event_id", F.explode(m).alias("key", "value"))
+
+
+# --- many keywords at once ----------------------------------------------------------
+
+@query("keyword_documents", r"""WITH k AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS keyword FROM benchmark)
+SELECT keyword, CAST(count(*) AS BIGINT) AS n_documents FROM k, documents WHERE contains(lower(text), keyword) GROUP BY keyword""")
+def q_keyword_documents(spark, sf):
+    """For every word of the benchmark, the number of documents that hold it as a substring."""
+    words = t(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("keyword"))
+    hits = find_keywords(t(spark, sf, "documents"), ["doc_id"], "text", words)
+    return hits.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_documents"))
