@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from surveyspark.llm.blocks import stored
 from surveyspark.llm.bpe import load_ranks, tokenizer_path
 from surveyspark.llm.words import slices
 
@@ -33,8 +34,8 @@ BLOCK = "file bigint, block bigint, data binary, ids binary"
 
 def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.tiktoken",
                  separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Every partition as one flat file: blocks of ``block_tokens`` 16-bit ids cut regardless of
-    documents. ``ids`` names, in order, the documents whose separator is in the block (the file
+    """Every partition as one flat file, stored as a table in the shared checkpoint folder (so every later
+    pass reads the same files): blocks of ``block_tokens`` 16-bit ids cut regardless of documents. ``ids`` names, in order, the documents whose separator is in the block (the file
     itself does not)."""
     import public_tokenizers
 
@@ -68,7 +69,7 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield from cut(False)
         yield from cut(True)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, BLOCK)
+    return stored(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, BLOCK))
 
 
 def read_files(spark: SparkSession, path: str, item_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
