@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import lower_strip
 from ..session import cut_lineage
 from .broadcast import stored_side
+from .codebook import whole_number
 
 _FLOATS = (T.DoubleType, T.FloatType)
 
@@ -56,10 +57,11 @@ def drop_sparse_columns(df: DataFrame, threshold: float = 50.0) -> DataFrame:
     return df.drop(*sparse_columns(df, threshold))
 
 
-def split_target(df: DataFrame, target: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Features (all but the target) and the target (with ``key`` when given)."""
-    y = df.select(*([key] if key else []), target)
-    return df.drop(target), y
+def split_target(df: DataFrame, target: str, key: str | None = None, as_int: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Features (all but the target) and the target (with ``key`` when given). ``as_int``: the target
+    as a whole number, fractions cut off; null where it is no number."""
+    y = whole_number(F.col(target)).alias(target) if as_int else F.col(target)
+    return df.drop(target), df.select(*([key] if key else []), y)
 
 
 def drop_named_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:

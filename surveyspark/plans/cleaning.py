@@ -10,7 +10,7 @@ from ..operators.clean import (category_codes, drop_named_columns, drop_sparse_c
                                normalize_text, null_profile, rename_by_dictionary, split_target)
 from ..operators.standardize import standardize_categories
 from ..session import checkpoint_dir
-from ..sources.lookups import read_name_map, read_term_lines, write_term_lines
+from ..sources.lookups import read_name_map, read_template_config, read_term_lines, read_term_list, write_term_lines
 from .common import r6, t
 from .registry import query
 
@@ -162,6 +162,39 @@ def q_standardize_categories(spark, sf):
 
 # --- lookup files (S9): written from the tables, read back by their readers ---------------
 
+@query("split_target_int", """
+SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS p_size FROM part""")
+def q_split_target_int(spark, sf):
+    """A target written as text with a fraction, or as no number, cast to a whole number."""
+    size = F.when(F.col("p_partkey") % 9 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5")))
+    _x, y = split_target(t(spark, sf, "part").withColumn("p_size", size), "p_size", key="p_partkey", as_int=True)
+    return y
+
+
+@query("template_config_roundtrip", """
+SELECT n_regionkey AS group_pos, r_name AS "group", n_nationkey AS field_pos, '^' || n_name || '("|,)' AS pattern,
+       'My "nation",' || chr(10) || n_name || ': {}' AS template
+FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def q_template_config_roundtrip(spark, sf):
+    """A prompt template per nation, written as CSV with quotes, commas and line breaks, and read back."""
+    n = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    path = f"{checkpoint_dir(spark)}/template-{uuid.uuid4().hex}"
+    config = n.select(F.col("n_regionkey").alias("group_pos"), F.col("r_name").alias("group"), F.col("n_nationkey").alias("field_pos"),
+                      F.concat(F.lit("^"), "n_name", F.lit('("|,)')).alias("pattern"),
+                      F.concat(F.lit('My "nation",\n'), "n_name", F.lit(": {}")).alias("template"))
+    config.coalesce(1).write.csv(path, header=True, escape='"')
+    return read_template_config(spark, path)
+
+
+@query("term_array_roundtrip", "SELECT r_regionkey AS pos, r_name AS term FROM region")
+def q_term_array_roundtrip(spark, sf):
+    """The regions, a few terms, as one JSON array read with their places."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda x: x["r_name"])
+    path = f"{checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
+    t(spark, sf, "region").agg(F.to_json(names).alias("value")).write.text(path)
+    return read_term_list(spark, path).select(F.col("pos").cast("int").alias("pos"), "term")
+
+
 @query("term_list_roundtrip", """
 SELECT CAST(row_number() OVER (ORDER BY p_name) - 1 AS BIGINT) AS pos, p_name AS term FROM (SELECT DISTINCT p_name FROM part)
 """)
