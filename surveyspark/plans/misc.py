@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import safe_name
 from ..operators.compare import alias_names
 from ..operators.generate import head_per_group
+from ..operators.lexicon import learnt_sentiment, word_odds
 from ..operators.metrics import accuracy_f1, classification_report, log_loss
 from ..operators.score import features_with_synonyms, keyword_coverage
 from ..operators.sentiment import fit_sentiment, sentiment_lexicon, sentiment_trained
@@ -126,6 +127,29 @@ def q_sentiment_trained(spark, sf):
     return sentiment_trained(docs, "text", model, {0: "neutral", 1: "negative"}).select("doc_id", "sentiment")
 
 
+@query("sentiment_word_odds", r"""
+WITH t AS (SELECT DISTINCT doc_id, toxic, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word
+           FROM documents JOIN labels USING (doc_id)),
+n AS (SELECT word, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS n1, CAST(count(*) FILTER (toxic = 0) AS BIGINT) AS n0 FROM t GROUP BY word),
+s AS (SELECT *, sum(n1) OVER () AS a1, sum(n0) OVER () AS a0 FROM n),
+p AS (SELECT *, 1000.0 * (n1 + n0) / (a1 + a0) AS a FROM s),
+o AS (SELECT *, ln((n1 + a) / (a1 + 1000 - n1 - a)) - ln((n0 + a) / (a0 + 1000 - n0 - a)) AS odds FROM p)
+SELECT word, n1, n0, round(odds, 6) AS odds, round(odds / sqrt(1 / (n1 + a) + 1 / (n0 + a)), 6) AS z FROM o""")
+def q_sentiment_word_odds(spark, sf):
+    """Log-odds of every word between toxic and other labelled documents."""
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    o = word_odds(d, "text", "toxic")
+    return o.select("word", "n1", "n0", r6("odds").alias("odds"), r6("z").alias("z"))
+
+
+@query("sentiment_learnt")
+def q_sentiment_learnt(spark, sf):
+    """Every document by a lexicon learnt from the labelled ones and spread over neighbouring words."""
+    docs = t(spark, sf, "documents").select("doc_id", "text")
+    train = docs.join(t(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    return learnt_sentiment(docs, train, ["doc_id"], "text", "toxic")
+
+
 # Fixed values for this binding: German keywords with synonym lists (one keyword
 # has no entry and falls back to itself).
 DE_KEYWORDS = ["und", "nicht", "keit", "heit", "lich"]
