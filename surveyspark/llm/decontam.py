@@ -171,8 +171,9 @@ def _leaks(col: pa.Array, seeds: Seeds, coverage: float) -> list[list[tuple[int,
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE,
-               chunk_bytes: int = CHUNK_BYTES, short: bool = False) -> DataFrame:
-    """``docs`` with ``leaks``: the items found in each text; ``short``: also those of fewer than ``least`` tokens."""
+               chunk_bytes: int = CHUNK_BYTES, short: bool = True) -> DataFrame:
+    """``docs`` with ``leaks``: the items found in each text; unless ``short`` is off, also those of fewer than
+    ``least`` tokens, as a whole."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_chunks = max(1, -(-int(total) // chunk_bytes))
