@@ -235,8 +235,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 def _similar(rows: DataFrame, keep, width: int, t_num: int, t_den: int, block_bytes: int) -> DataFrame:
-    # prefixes hold about a fifth of the shingles, so a block takes the texts of four
-    n_blocks = blocks.count_blocks(rows, "text", 4 * block_bytes)
+    # prefixes hold about a fifth of the shingles, so a block takes the texts of two
+    n_blocks = blocks.count_blocks(rows, "text", 2 * block_bytes)
     table = blocks.stored(live_table(prefixes(rows, width, t_num, t_den), n_blocks))
 
     # equal sets are one class; a class is a node of its own, whatever ids its documents have

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+HASH_BYTES = 1 << 19
 SLICE_BYTES = 1 << 19  # text bytes handled at once; one longer text is one slice
 
 _MASK = (1 << 64) - 1
@@ -127,17 +128,22 @@ class Words:
 
     def hashes(self, family: Family) -> np.ndarray:
         """64-bit hash of every word."""
-        if len(self.start) == 0:
-            return np.zeros(0, np.uint64)
-        lo = self.start[0]
-        reach = np.diff(np.append(self.start, len(self.data)))
-        inside = np.arange(len(self.data) - lo, dtype=np.int32)
-        inside -= np.repeat((self.start - lo).astype(np.int32), reach)
-        with np.errstate(over="ignore"):
-            part = family.table[self.data[lo:]]
-            part *= family.place(int(reach.max()))[inside]
-            total = np.add.reduceat(part, self.start - lo)
-            return mix(total + (self.end - self.start).astype(np.uint64) * family.factor[63])
+        n = len(self.start)
+        out = np.empty(n, np.uint64)
+        # stretches of words of about HASH_BYTES, since a byte takes twenty while it is hashed
+        cut = np.unique(np.searchsorted(self.start, np.arange(0, len(self.data), HASH_BYTES))).tolist()
+        for a, b in zip(cut, [*cut[1:], n]):
+            lo, hi = (int(self.start[k]) if k < n else len(self.data) for k in (a, b))
+            start = self.start[a:b] - lo
+            reach = np.diff(np.append(start, hi - lo))
+            inside = np.arange(hi - lo, dtype=np.int32)
+            inside -= np.repeat(start.astype(np.int32), reach)
+            with np.errstate(over="ignore"):
+                part = family.table[self.data[lo:hi]]
+                part *= family.place(int(reach.max(initial=0)))[inside]
+                total = np.add.reduceat(part, start) if b > a else np.zeros(0, np.uint64)
+                out[a:b] = mix(total + (self.end[a:b] - self.start[a:b]).astype(np.uint64) * family.factor[63])
+        return out
 
 
 def window_hashes(word_hash: np.ndarray, width: int, family: Family) -> np.ndarray:
