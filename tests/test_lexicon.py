@@ -60,3 +60,25 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, text string, y int")
     assert learn_lexicon(none, none, "text", "y").count() == 0
     assert best_cut(spark.createDataFrame([], "score double, y int"), "y") < -1
+
+
+def test_words_by_hash_or_by_themselves(spark, monkeypatch):
+    """Scores are the same either way, and equal hashes are noticed; texts are split once."""
+    from surveyspark.operators import lexicon
+
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(["bad", "worse"] if k % 3 == 0 else ["fine", "nice"], k=3) + rng.choices(["and", "the", "of", "to"], k=8)), int(k % 3 == 0))
+            for k in range(300)] + [(300, None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, y int")
+    calls, split = [], lexicon.tokens
+    monkeypatch.setattr(lexicon, "tokens", lambda c: calls.append(c) or split(c))
+    by_hash = sorted(tuple(r) for r in lexicon.learnt_sentiment(df.drop("y"), df, ["id"], "text", "y").collect())
+    assert len(calls) == 2  # the rows and the labelled rows
+    monkeypatch.setattr(lexicon, "_hashed", lambda words: False)
+    by_word = sorted(tuple(r) for r in lexicon.learnt_sentiment(df.drop("y"), df, ["id"], "text", "y").collect())
+    assert [(a, c) for a, _, c in by_hash] == [(a, c) for a, _, c in by_word] and len({c for *_, c in by_hash}) == 2
+    assert max(abs(a[1] - b[1]) for a, b in zip(by_hash, by_word)) < 1e-9
+    monkeypatch.undo()
+    assert lexicon._hashed(df.select(F.col("text").alias("word")).filter("word is not null"))
+    monkeypatch.setattr(lexicon.F, "xxhash64", lambda c: F.length(c))
+    assert not lexicon._hashed(spark.createDataFrame([("ab",), ("cd",)], "word string"))
