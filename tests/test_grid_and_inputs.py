@@ -103,3 +103,31 @@ def test_checkpoint_folder_when_the_setting_is_absent(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
     assert out.stdout.strip().splitlines()[-1] == "7 3"
+
+
+def test_rows_of_cells_equal_cells(spark):
+    """Words as rows of cells give the tables and lines that single cells give; cells are taken apart behind the joins only."""
+    import random
+
+    from surveyspark.operators.crosstab import combine_blocks, crosstab_questions, crosstab_sections, question_tables, words_as_cells, words_in_rows
+
+    rng = random.Random(11)
+    word = lambda: rng.choice(["", "a", "b,c", 'q"', "dd", "Summe"])
+    texts = [(f, "\n".join(rng.choice(["-", "-", " ".join(word() for _ in range(rng.randrange(1, 7))), "x", " y"]) for _ in range(90))) for f in range(4)]
+    lines = number_lines(spark.createDataFrame(texts + [(9, "a\r\nb\n")], "file long, text string"), "file", "text").localCheckpoint()
+    sec = crosstab_sections(lines, F.col("line") == "-").localCheckpoint()
+    own = crosstab_questions(sec)
+    tables = combine_blocks(sec, own)
+    want = combine_blocks(sec, own, words_as_cells(sec)).localCheckpoint()
+    assert sorted(tuple(r) for r in tables.collect()) == sorted(tuple(r) for r in want.collect())
+    plan = tables._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Join")  # tree from the top: explode, below it the joins
+    got = grid_lines(combine_blocks(sec, own, in_rows=True))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in grid_lines(want).collect())
+    rows = words_in_rows(lines.withColumnRenamed("line_no", "row_no"))
+    assert {tuple(map(tuple, (r.cols, r.vals))) for r in rows.filter("file = 9").collect()} == {((0,), ("a",)), ((0,), ("b",))}
+    cells = lines.select("file", F.col("line_no").alias("row_no"), F.posexplode(F.split("line", " ")).alias("col_no", "value"))
+    cells = cells.withColumn("value", F.nullif("value", F.lit("")))
+    for chunk in (7, 4096):
+        a = sorted(tuple(r) for r in question_tables(rows, chunk_rows=chunk).collect())
+        assert a and a == sorted(tuple(r) for r in question_tables(cells).collect())
