@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import format_fixed
 from ..sources.records import JSON_OPENS, JSON_STAYS, JSON_STRING, read_records
+from .broadcast import stored
 from .codebook import forward_fill, running_sums
 
 # Frame of the attribution sentence.
@@ -155,6 +156,7 @@ def read_attribution_document(spark: SparkSession, path: str, chunk: int = DOCUM
     d = d.withColumn("_keys", F.regexp_extract_all("text", F.lit(rf"(?s)\G{other}{key}"), F.lit(1)))
     bare = F.regexp_replace("text", rf"(?s){JSON_STRING}|[^\"{{]++", "")
     d = d.withColumn("_opens", F.length(bare).cast("bigint"))
+    d, _ = stored(d.select("file", "record_no", "text", "_keys", "_opens"))  # read by both scans, for their chunks and for their rows
     at = F.floor(F.col("record_no") / F.lit(chunk))
     d = running_sums(d, {"_depth": F.col("_opens") - 1}, ["record_no"], ["file"], bucket=at)
     before = F.col("_depth") - F.col("_opens") + 1

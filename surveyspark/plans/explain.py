@@ -16,6 +16,7 @@ from ..functions.text import strip_prompt, tokens
 from ..operators.attribution import (attribution_text, document_lines, explode_attribution_json, explode_attrs,
                                      linear_attribution, parse_attribution_text, read_attribution_document,
                                      to_json_lines, top_features, top_n)
+from ..operators.broadcast import stored
 from ..operators.compare import mean_by_run
 from ..operators.generate import SYSTEM_MESSAGE, explanation_request, head_per_group
 from ..operators.keywords import find_keywords
@@ -271,7 +272,8 @@ def q_attribution_document_roundtrip(spark, sf):
     """The whole attribution written as one JSON document in one file of the shared checkpoint folder,
     and read back from it in splits."""
     out = f"{checkpoint_dir(spark)}/attribution-{uuid.uuid4().hex}"
-    lines = document_lines(nested(spark, sf)).withColumn("name", F.lit("attribution.json"))
+    # read for the classes, for the last line, for the borders of the sort and by the writer: stored once
+    lines = document_lines(stored(nested(spark, sf))[0]).withColumn("name", F.lit("attribution.json"))
     write_named_files(lines, out, "name", ("class_rank", "example_index"))
     back = read_attribution_document(spark, f"{out}/attribution.json")
     return back.select("class_label", "example_index", "feature_pos", "feature", r6("value").alias("value"))
