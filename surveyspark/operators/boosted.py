@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .clean import category_codes
-from .broadcast import small_side
+from .broadcast import small_side, stored
 from .model import MISSING
 from .split import VALIDATION, split_stratified
 from .trees import attribution_rows, decisions, leaf_of, saved_nodes
@@ -96,7 +96,8 @@ def train_boosted(df: DataFrame, features: Sequence[str], label: str, key: str,
     stopped by the validation part. Returns the model and the predictions of the validation part:
     ``key``, label, ``label_index`` and the columns of ``predict``. Labels are few (one ensemble each)."""
     features = list(features)
-    known = df.filter(F.col(label).isNotNull()).select(key, label, *features)
+    # the examples and their split are read by many passes: each is a stored table
+    known, _ = stored(df.filter(F.col(label).isNotNull()).select(key, label, *features))
     codes = {}
     for f in features:
         if isinstance(df.schema[f].dataType, T.StringType):
@@ -104,7 +105,7 @@ def train_boosted(df: DataFrame, features: Sequence[str], label: str, key: str,
             codes[f] = (table, table.count())
     labels = sorted(r[0] for r in known.select(label).distinct().collect())
     model = BoostedModel(labels, features, [], codes, max_categories)
-    split = cut_lineage(split_stratified(model.inputs(known), key, label, 1.0 - test_frac, seed))
+    split, _ = stored(split_stratified(model.inputs(known), key, label, 1.0 - test_frac, seed))
     rows = model.assembled(split).withColumn("_held", F.col("split") == VALIDATION)
     bins = max([32, *(n + 1 for _, n in codes.values() if n < max_categories)])
     for value in labels:
