@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from .broadcast import stored
 from .clean import encode_categories
 from .split import split_stratified
 from .trees import ensemble_values, saved_nodes
@@ -57,10 +57,10 @@ def train_multiclass(df: DataFrame, features: Sequence[str], label: str, key: st
     ``prediction`` (label text), ``pred_index``, ``probability`` as an array and the features as
     the model saw them.
     """
-    # the labelled split is read by every training pass and by validation: cut its
-    # lineage once into the shared checkpoint folder
-    known = model_inputs(df.filter(F.col(label).isNotNull()), features)
-    d = cut_lineage(split_stratified(known, key, label, 1.0 - test_frac, seed))
+    # the examples are read by the category codes and the split, the labelled split by every training pass
+    # and by validation: each is a stored table
+    known, _ = stored(df.filter(F.col(label).isNotNull()).select(key, label, *features))
+    d, _ = stored(split_stratified(model_inputs(known, features), key, label, 1.0 - test_frac, seed))
     idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
     vec = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
