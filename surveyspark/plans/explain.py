@@ -36,14 +36,14 @@ WEIGHTS = {
 HEAD_N = 100
 
 
-def examples(spark, sf):
-    """One row per order: its total price and features of its line items."""
+def examples(spark, sf, *carry):
+    """One row per order: its total price, features of its line items and the columns ``carry`` of the order."""
     li = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).cast("double").alias("n_lines"), F.max("l_discount").alias("max_discount"),
         F.max("l_tax").alias("max_tax"))
-    o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", *carry)
     return o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(
-        F.col("o_orderkey").alias("example_index"), *FEATURES)
+        F.col("o_orderkey").alias("example_index"), *FEATURES, *carry)
 
 
 def nested(spark, sf):

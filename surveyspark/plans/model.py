@@ -24,10 +24,8 @@ ALL_FEATURES = [*FEATURES, "o_orderpriority"]
 
 def labelled_examples(spark, sf):
     """The examples with their class and a text feature that is missing for some."""
-    o = t(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("example_index"), "o_orderstatus",
-        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
-    return examples(spark, sf).join(o, "example_index")
+    d = examples(spark, sf, "o_orderstatus", "o_orderpriority")
+    return d.withColumn("o_orderpriority", F.when(F.col("example_index") % 11 != 0, F.col("o_orderpriority")))
 
 
 _FITS: dict[tuple, tuple] = {}  # fits of the running application, the last few

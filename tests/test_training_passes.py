@@ -24,3 +24,13 @@ def test_examples_are_made_once(spark, train):
     _, predictions = train(df, ["a", "b"], "y", "k", max_depth=2, **small)
     assert sorted(predictions.columns)[:2] == ["a", "b"] and 38 <= predictions.count() <= 42
     assert seen.value == len(made)
+
+
+def test_orders_are_read_once_for_their_examples(spark):
+    from conftest import SF001
+
+    from surveyspark.plans.model import labelled_examples
+
+    d = labelled_examples(spark, SF001)
+    assert len(d.inputFiles()) == 2 and d._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2
+    assert {r.example_index % 11 == 0 for r in d.filter("o_orderpriority is null").collect()} == {True}
